@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import shards, urls
+from palimpsest.llm import pieces, quality, shards, urls
 
 N_SHARDS = 40
+#: Where the public tokenizer files lie; a parameter, never copied here.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return urls.filter_urls(pages, urls.spam_list(pages))
 
 
+def op6_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * N_SHARDS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_perplexity_bands": op1_perplexity_bands,
     "op2_url_filter": op2_url_filter,
+    "op6_piece_ids": op6_piece_ids,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
 
