@@ -151,3 +151,30 @@ def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, width: int = 3) -
         h = mix(h * np.uint64(0x9FB21C651E98DF25) + words[k : k + n])
     first = np.flatnonzero(rows[:n] == rows[width - 1 :])
     return h[first], rows[first], first
+
+
+#: Bits of the fixed-size filters that keep rows without a partner from being moved.
+FILTER_BITS = 1 << 26
+
+
+def membership_filter(df: DataFrame, column: str):  # noqa: ANN201
+    """A broadcast bit set of the long ``column``, FILTER_BITS (8 MiB) whatever the input.
+
+    A row that passes may still have no partner; the join that follows decides.
+    """
+    word = F.floor(F.pmod(column, F.lit(FILTER_BITS)) / 64).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {FILTER_BITS}) % 64 as int))")
+    have = df.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    w, b = (np.asarray(have.column(c).combine_chunks()) if have.num_rows else np.zeros(0, np.int64) for c in ("w", "b"))
+    return df.sparkSession.sparkContext.broadcast((w, b))
+
+
+def filter_words(value: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[value[0]] = value[1].view(np.uint64)
+    return out
+
+
+def in_filter(words: np.ndarray, key: int) -> bool:
+    bit = key % FILTER_BITS
+    return bool(int(words[bit >> 6]) >> (bit & 63) & 1)

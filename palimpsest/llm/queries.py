@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import near, pieces, quality, shards, urls
+from palimpsest.llm import near, pieces, quality, repeats, shards, urls
 
 N_SHARDS = 40
 #: Where the public tokenizer files lie; a parameter, never copied here.
@@ -31,6 +31,10 @@ def op6_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op7_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perplexity_bands": op1_perplexity_bands,
     "op2_url_filter": op2_url_filter,
     "op6_piece_ids": op6_piece_ids,
+    "op7_suffix_array_repeats": op7_suffix_array_repeats,
     "op8_jaccard_tiles": op8_jaccard_tiles,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
