@@ -178,3 +178,21 @@ def filter_words(value: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 def in_filter(words: np.ndarray, key: int) -> bool:
     bit = key % FILTER_BITS
     return bool(int(words[bit >> 6]) >> (bit & 63) & 1)
+
+
+def bounded_sample(rows: DataFrame, by: str, per_class: int, text: str = "text", seed: int = 7) -> DataFrame:
+    """At most ``per_class`` different rows of each value of ``by``, chosen by a hash of the text.
+
+    ``per_class`` is the documented bound of what classifiers are fitted on.
+    Rows with null ``by`` or text are left out. The classes are counted first,
+    so that about twice the bound at most is ever moved.
+    """
+    from pyspark.sql import Window
+
+    rows = rows.where(F.col(by).isNotNull() & F.col(text).isNotNull())
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    u = F.pmod(F.xxhash64(F.lit(seed), text), F.lit(1 << 30))
+    few = rows.withColumn("_u", u).join(counts, by).where(F.col("_u") < (2.0 * per_class + 50) / F.col("_n") * (1 << 30))
+    few = few.dropDuplicates([by, "_u"])
+    order = Window.partitionBy(by).orderBy("_u")
+    return few.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_class).drop("_n", "_u", "_k")

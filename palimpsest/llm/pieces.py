@@ -217,6 +217,18 @@ class _Segments(dict):
         return [x for p in reversed(path) for x in m.emit(p)]
 
 
+_LOADED: dict[bytes, tuple[PieceModel, _Segments]] = {}
+
+
+def loaded(serialized: bytes) -> tuple[PieceModel, _Segments]:
+    """The model and its segments, kept by a Python worker from task to task."""
+    if serialized not in _LOADED:
+        _LOADED.clear()
+        model = PieceModel(serialized)
+        _LOADED[serialized] = model, _Segments(model)
+    return _LOADED[serialized]
+
+
 def encode_text(model: PieceModel, cache: _Segments, text: str) -> np.ndarray:
     parts = model.cut.findall(model.prepare(text))
     return np.fromiter(itertools.chain.from_iterable(map(cache.__getitem__, parts)), np.int32)
@@ -224,11 +236,8 @@ def encode_text(model: PieceModel, cache: _Segments, text: str) -> np.ndarray:
 
 def _encode(model_bytes):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = cache = None
+        model, cache = loaded(model_bytes.value)
         for batch in batches:
-            if model is None:
-                model = PieceModel(model_bytes.value)
-                cache = _Segments(model)
             _, off = flat(batch.column(1))
             i = 0
             while i < batch.num_rows:
@@ -271,9 +280,8 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
+        model, _ = loaded(shared.value)
         for batch in batches:
-            model = model or PieceModel(shared.value)
             at = batch.schema.get_field_index(ids)
             texts = [None if x is None else model.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])

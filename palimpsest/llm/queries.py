@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import near, pieces, quality, repeats, shards, urls
+from palimpsest.llm import contamination, langid, near, pieces, quality, repeats, shards, urls
 
 N_SHARDS = 40
 #: Where the public tokenizer files lie; a parameter, never copied here.
@@ -27,6 +27,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.spam_list(pages))
 
 
+def op3_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -46,6 +54,8 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perplexity_bands": op1_perplexity_bands,
     "op2_url_filter": op2_url_filter,
+    "op3_byte_network_language": op3_byte_network_language,
+    "op4_qgram_leaks": op4_qgram_leaks,
     "op6_piece_ids": op6_piece_ids,
     "op7_suffix_array_repeats": op7_suffix_array_repeats,
     "op8_jaccard_tiles": op8_jaccard_tiles,
