@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import contamination, langid, near, pieces, quality, repeats, shards, urls
+from palimpsest.llm import contamination, langid, near, pieces, quality, repeats, shards, toxicity, urls
 
 N_SHARDS = 40
 #: Where the public tokenizer files lie; a parameter, never copied here.
@@ -47,6 +47,10 @@ def op8_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * N_SHARDS)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_piece_ids": op6_piece_ids,
     "op7_suffix_array_repeats": op7_suffix_array_repeats,
     "op8_jaccard_tiles": op8_jaccard_tiles,
+    "op9_weak_supervision": op9_weak_supervision,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
 
