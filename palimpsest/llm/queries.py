@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import contamination, langid, near, pieces, quality, repeats, shards, toxicity, urls
+from palimpsest.llm import contamination, langid, licences, near, pieces, quality, repeats, shards, toxicity, urls
 
 N_SHARDS = 40
 #: Where the public tokenizer files lie; a parameter, never copied here.
@@ -35,6 +35,10 @@ def op4_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_byte_network_language": op3_byte_network_language,
     "op4_qgram_leaks": op4_qgram_leaks,
+    "op5_licence_paragraphs": op5_licence_paragraphs,
     "op6_piece_ids": op6_piece_ids,
     "op7_suffix_array_repeats": op7_suffix_array_repeats,
     "op8_jaccard_tiles": op8_jaccard_tiles,
