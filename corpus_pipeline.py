@@ -1,13 +1,81 @@
-"""Corpus pipeline: quality, near copies, repeats, contamination, tokens."""
+"""Corpus pipeline: quality rules, near copies, repeats, contamination, tokens.
+
+Counted with the subpackage palimpsest.llm. Each stage takes all that the one
+before it kept, written as Parquet and read again, so that a lost executor
+costs one stage at most and no plan outgrows its stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palimpsest.llm import contamination, near, pieces, quality, repeats
+from palimpsest.llm.common import shared_folder
+from palimpsest.llm.queries import PIECE_MODEL
+
+Docs = DataFrame
+
+
+def _columns(docs: Docs) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def _once(docs: Docs, verdict: Docs, id_column: str = "doc_id") -> Docs:
+    """Rows of ``docs`` whose id is in ``verdict``; null ids match null."""
+    return docs.join(verdict, docs[id_column].eqNullSafe(verdict["_id"]), "left_semi").select(*_columns(docs))
+
+
+def quality_stage(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Drops documents that the quality rules reject. Rows of one id are kept if any of them is."""
+    kept = quality.judge(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return _once(docs, kept)
+
+
+def near_copy_stage(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Keeps one document of each group of near copies, the one with the least id; of its repeated rows one."""
+    found = near.near_duplicates(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = _once(docs, first)
+    row = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    return kept.withColumn("_row", F.row_number().over(row)).where("_row = 1").select(*_columns(docs))
+
+
+def repeat_stage(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Cuts repeated strings out of the texts; all rows stay, n_chars follows the text."""
+    return repeats.clean_documents(docs)
+
+
+def leak_stage(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Drops documents that hold a passage of the benchmark."""
+    return contamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*_columns(docs))
+
+
+def token_stage(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Piece ids of every document."""
+    return pieces.encode(docs, PIECE_MODEL)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("ngram_jaccard_join", near_copy_stage),
+    ("suffix_array_dedup", repeat_stage),
+    ("benchmark_decontamination", leak_stage),
+    ("sentencepiece_ids", token_stage),
+]
+
+#: SQL cannot express the perplexity, suffix and token stages; tests use brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        out = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
     return docs

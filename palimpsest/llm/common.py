@@ -7,12 +7,13 @@ no per-row Python strings, and no temporary larger than a fixed multiple of
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -31,25 +32,21 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where the session has none (tests)."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, own only where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="palimpsest-ckpt-")
-    spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="palimpsest-shared-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -187,8 +184,6 @@ def bounded_sample(rows: DataFrame, by: str, per_class: int, text: str = "text",
     Rows with null ``by`` or text are left out. The classes are counted first,
     so that about twice the bound at most is ever moved.
     """
-    from pyspark.sql import Window
-
     rows = rows.where(F.col(by).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
     u = F.pmod(F.xxhash64(F.lit(seed), text), F.lit(1 << 30))

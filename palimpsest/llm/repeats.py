@@ -295,7 +295,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """What is left of every row of ``docs`` without repeated strings of SPAN bytes.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
-    ``keep_text``, kept_text (undecodable bytes at cuts dropped) and spans. Null
+    ``keep_text``, kept_text (undecodable bytes at cuts dropped), spans and the
+    text's key k1, k2. Null
     texts are empty; texts under SPAN bytes stay; of equal rows or texts of SPAN
     bytes or more nothing stays; other columns are not read; an empty table
     gives an empty result. Matches never cross documents.
@@ -322,5 +323,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.when(gone, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "_all")).alias("kept_sha256"),
     ]
     if keep_text:
-        cols += [F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"), "spans"]
+        cols += [F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"), "spans", "k1", "k2"]
     return out.select(*cols)
+
+
+def clean_documents(docs: DataFrame, text: str = "text", count: str = "n_chars") -> DataFrame:
+    """``docs`` with repeated strings cut out of the texts; ``count``, if there, follows.
+
+    All rows and columns stay; texts without repeats, null ones among them, as they are.
+    """
+    names = [f"`{c}`" for c in docs.columns]
+    left = remove_repeats(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), keep_text=True)
+    left = left.where("n_removed > 0").select("k1", "k2", F.col("kept_text").alias("_kept")).dropDuplicates(["k1", "k2"])
+    k1, k2 = key_columns(F.coalesce(F.col(text), F.lit("")))
+    joined = docs.withColumns({"_k1": k1, "_k2": k2}).join(left, (F.col("_k1") == left["k1"]) & (F.col("_k2") == left["k2"]), "left")
+    cut = F.col("_kept").isNotNull()
+    new = {text: F.when(cut, F.col("_kept")).otherwise(F.col(text))}
+    if count in docs.columns:
+        new[count] = F.when(cut, F.length("_kept").cast("long")).otherwise(F.col(count))
+    return joined.withColumns(new).select(*names)
