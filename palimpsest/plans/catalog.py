@@ -515,3 +515,37 @@ SELECT host, array_to_string(l[i:], '.') AS suffix FROM p, unnest(range(1, great
 def domain_suffixes(spark, d):
     hosts = table(spark, d, "pages").where("url is not null").select(F.regexp_extract("url", "://([^/?#:]*)", 1).alias("host")).distinct()
     return hosts.select("host", F.explode(U.domain_suffixes(F.col("host"))).alias("suffix"))
+
+
+@register()
+def page_text(spark, d):
+    return table(spark, d, "pages").select("page_id", X.page_text("html").alias("text"))
+
+
+@register()
+def rewrite_html(spark, d):
+    from palimpsest.functions.rewrite.html import page_rewriter
+
+    return table(spark, d, "pages").select("page_id", page_rewriter(PREFIX)("html", "url").alias("html"))
+
+
+@register()
+def fuzzy_best_match(spark, d):
+    """Pages asked for under another query string, against all pages by prefix."""
+    from palimpsest.operators.fuzzy import best_matches
+
+    pages = table(spark, d, "pages").where("url is not null")
+    asked = pages.select(F.col("page_id").alias("req_id"), F.concat(F.substring_index("url", "#", 1), F.when(F.col("url").contains("?"), "&v=1").otherwise("?v=1")).alias("url"))
+    held = pages.select("url", F.lit(200).alias("status"), F.col("page_id").alias("ts_ms"))
+    return best_matches(asked, held).select("req_id", "url", "hit_url", "score")
+
+
+@register()
+def payload_replay(spark, d):
+    """The whole resolve: as-of capture, payload by digest, status text, byte range."""
+    c = caps(spark, d)
+    found = lookup.lookup(reqs(spark, d), c, CAPTURE_COLUMNS).where("hit is not null").select("req_id", "url", "hit.*")
+    bodies = c.select("digest", F.concat_ws(":", "digest", "mime").cast("binary").alias("payload")).groupBy("digest").agg(F.min("payload").alias("payload"))
+    full = lookup.with_payload(found, bodies)
+    part = X.byte_range(F.col("payload"), F.lit("bytes=0-9"))
+    return full.select("req_id", "event_id", U.status_text(F.col("status")).alias("status_text"), part["content_range"].alias("content_range"), F.octet_length(part["body"]).alias("n_body"))
