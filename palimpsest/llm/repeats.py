@@ -23,9 +23,9 @@ from palimpsest.llm.suffix import repeated_starts
 SPAN = 400
 GRAM = 40
 #: Bytes of runs whose suffixes are sorted at once.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Hashes with more different runs than this are settled by counting string hashes.
-HOT_RUNS = 4096
+HOT_RUNS = 2048
 SEEN = 1_000_000
 
 
