@@ -40,7 +40,7 @@ def near_copy_stage(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     kept = _once(docs, first)
     row = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return kept.withColumn("_row", F.row_number().over(row)).where("_row = 1").select(*_columns(docs))
+    return kept.withColumn("__pipeline_row", F.row_number().over(row)).where("__pipeline_row = 1").select(*_columns(docs))
 
 
 def repeat_stage(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:

@@ -334,11 +334,12 @@ def clean_documents(docs: DataFrame, text: str = "text", count: str = "n_chars")
     """
     names = [f"`{c}`" for c in docs.columns]
     left = remove_repeats(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), keep_text=True)
-    left = left.where("n_removed > 0").select("k1", "k2", F.col("kept_text").alias("_kept")).dropDuplicates(["k1", "k2"])
+    own = [f"__repeats_{x}" for x in ("a", "b", "c", "d", "kept")]  # clash with no column of a table
+    left = left.where("n_removed > 0").select(F.col("k1").alias(own[2]), F.col("k2").alias(own[3]), F.col("kept_text").alias(own[4])).dropDuplicates(own[2:4])
     k1, k2 = key_columns(F.coalesce(F.col(text), F.lit("")))
-    joined = docs.withColumns({"_k1": k1, "_k2": k2}).join(left, (F.col("_k1") == left["k1"]) & (F.col("_k2") == left["k2"]), "left")
-    cut = F.col("_kept").isNotNull()
-    new = {text: F.when(cut, F.col("_kept")).otherwise(F.col(text))}
+    joined = docs.withColumns({own[0]: k1, own[1]: k2}).join(left, (F.col(own[0]) == F.col(own[2])) & (F.col(own[1]) == F.col(own[3])), "left")
+    kept = F.col(own[4])
+    new = {text: F.when(kept.isNotNull(), kept).otherwise(F.col(text))}
     if count in docs.columns:
-        new[count] = F.when(cut, F.length("_kept").cast("long")).otherwise(F.col(count))
+        new[count] = F.when(kept.isNotNull(), F.length(kept).cast("long")).otherwise(F.col(count))
     return joined.withColumns(new).select(*names)
