@@ -24,7 +24,7 @@ from palimpsest.llm.common import flat
 
 MARK = "▁"
 #: Segments remembered by one Python worker before it starts anew.
-CACHE = 500_000
+CACHE = 1_000_000
 UNKNOWN_PENALTY = 10.0
 BATCH_BYTES = 4 << 20
 
@@ -57,7 +57,13 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         self.low = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self._stable: dict[tuple[str, str], bool] = {}
+        order = sorted(self.scores, key=lambda x: -self.scores[x])
+        self.rank = {x: i for i, x in enumerate(order)}
+        #: the last merge of a piece: its two halves
+        self._halves: dict[str, tuple[str, str]] = {}
+        self._tied = len(set(self.scores.values())) < len(self.scores)
         self._own: dict[str, bool] = {}
+        self._heads: dict[str, bool] | None = None
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         starts_only = not any(MARK in p.lstrip(MARK) for p in self.ids)
         # where no piece spans a boundary all paths meet: cut there at once
@@ -85,12 +91,64 @@ class PieceModel:
             ok = self._own[piece] = len(piece) == 1 or self.merged(piece) == [piece]
         return ok
 
+    def halves(self, piece: str) -> tuple[str, str]:
+        out = self._halves.get(piece)
+        if out is None:
+            parts = list(piece)
+            while len(parts) > 2:
+                best, at = None, 0
+                for i in range(len(parts) - 1):
+                    s = self.scores.get(parts[i] + parts[i + 1])
+                    if s is not None and (best is None or s > best):
+                        best, at = s, i
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            out = self._halves[piece] = (parts[0], parts[1])
+        return out
+
     def stable(self, a: str, b: str) -> bool:
+        """Whether merging the text of two pieces gives the two pieces.
+
+        Merges are undone from the latest to the earliest; before each, the pieces
+        that then met at the boundary must not have merged first. Pieces of equal
+        score (runs of spaces) have no such order; their text is merged anew.
+        """
         ok = self._stable.get((a, b))
         if ok is None:
-            ok = self._stable[a, b] = self.merged(a + b) == [a, b]
+            if self._tied and MARK + MARK in a + b:
+                ok = self.merged(a + b) == [a, b]
+            else:
+                ok = self._unmerged(a, b)
+            if len(self._stable) >= CACHE:
+                self._stable.clear()
+            self._stable[a, b] = ok
         return ok
 
+    def _unmerged(self, a: str, b: str) -> bool:
+        rank, limit = self.rank, len(self.rank)
+        while True:
+            c = rank.get(a + b)
+            if c is not None and c < limit:
+                return False
+            ra = rank[a] if len(a) > 1 else -1
+            rb = rank[b] if len(b) > 1 else -1
+            if ra > rb:
+                limit, a = ra, self.halves(a)[1]
+            elif rb >= 0:  # of equal merges the left one comes first
+                limit, b = rb + 1, self.halves(b)[0]
+            else:
+                return True
+
+    def heads(self) -> dict[str, bool]:
+        """Every beginning of a piece; True where it is one that merging alone gives."""
+        if self._heads is None:
+            out: dict[str, bool] = {}
+            for p in self.ids:
+                for i in range(1, len(p)):
+                    out.setdefault(p[:i], False)
+                out[p] = self.own(p)
+            self._heads = out
+        return self._heads
+
     def emit(self, piece: str) -> list[int]:
         i = self.ids.get(piece)
         if i is not None:
@@ -199,17 +257,26 @@ class _Segments(dict):
         if not m.bpe:
             v = StreamingViterbi(m)
             return v.feed(seg) + v.finish()
-        ids, n, longest = m.ids, len(seg), m.longest
+        heads, n, known = m.heads(), len(seg), m._stable
         back: list[str | None] = [""] + [None] * n
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                prev = back[j]
-                if prev is None:
-                    continue
+        for j in range(n):
+            prev = back[j]
+            if prev is None:
+                continue
+            for i in range(j + 1, n + 1):
                 piece = seg[j:i]
-                if (piece in ids or i - j == 1) and m.own(piece) and (j == 0 or m.stable(prev, piece)):
+                whole = heads.get(piece)
+                if whole is None:
+                    if i == j + 1:  # a character outside the vocabulary stands alone
+                        whole = True
+                    else:
+                        break
+                if whole and back[i] is None:
+                    if j:
+                        ok = known.get((prev, piece))
+                        if not (m.stable(prev, piece) if ok is None else ok):
+                            continue
                     back[i] = piece
-                    break
         path, i = [], n
         while i > 0:
             path.append(back[i])
