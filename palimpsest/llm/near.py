@@ -2,7 +2,8 @@
 
 Documents with equal shingle sets form a class; classes are compared. Two
 classes can only be similar if they share a shingle among the rarest 30 % of
-each (prefix filter, with one global order: heavy shingles last). Classes that
+each (prefix filter, with one global order: shingles of frequent words later,
+shingles that many documents share last). Classes that
 share one meet in size-banded tiles, where hashed bitmap signatures bound the
 overlap from above by bit counts. What passes is grouped into candidate
 components, and only there are whole sorted shingle arrays intersected, each
@@ -31,21 +32,38 @@ HEAVY_IN_SLICE = 8
 SLICE_BYTES = 32 << 20
 #: The table of heavy shingles, which only orders prefixes, has at most so many rows.
 HEAVY_ROWS = 1 << 18
+#: Hashed words whose frequency classes are known; the table is 1 MiB.
+WORD_SLOTS = 1 << 20
+WORD_IN_TASK = 64
+#: A shingle is a frequency class (8 bits, from its words) above 56 bits of hash, so
+#: that the order of shingles as numbers has the rarer ones first.
+CLASS_BITS, MAX_CLASS = 56, 84
 #: Bits of the fixed-size filter of classes that need their whole arrays.
 ACTIVE_BITS = 1 << 26
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, ASCII case folded.
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and rows of the words of each text, ASCII case folded."""
+    low = LOWER[data]
+    starts, ends, rows = words_of(low, off)
+    return range_hash(prefix_hash(low), starts, ends), rows
+
+
+def shingle_sets(data: np.ndarray, off: np.ndarray, classes: np.ndarray | None = None) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text, ASCII case folded.
 
     A text of fewer than WIDTH words has its whole word sequence as its only
-    shingle; one without words has none.
+    shingle; one without words has none. ``classes`` has the frequency class of
+    each word slot; the sum over a shingle's words is its class, so that the
+    likely rarer shingles come first.
     """
     n = len(off) - 1
-    low = LOWER[data]
-    starts, ends, rows = words_of(low, off)
-    words = range_hash(prefix_hash(low), starts, ends)
-    h, hrow, _ = shingles(words, rows, n, WIDTH)
+    words, rows = word_hashes(data, off)
+    h, hrow, first = shingles(words, rows, n, WIDTH)
+    h >>= np.uint64(64 - CLASS_BITS)
+    if classes is not None and len(h):
+        of_word = classes[(words & np.uint64(WORD_SLOTS - 1)).astype(np.int64)].astype(np.uint64)
+        h |= (of_word[first] + of_word[first + 1] + of_word[first + 2]) << np.uint64(CLASS_BITS)
     cut = np.searchsorted(hrow, np.arange(n + 1))
     at = np.searchsorted(rows, np.arange(n + 1))
     out = []
@@ -63,7 +81,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
             with np.errstate(over="ignore"):
                 for x in w:
                     whole = mix(whole * np.uint64(0x9FB21C651E98DF25) + x)
-            out.append(np.array([whole], np.uint64) if len(w) else np.zeros(0, np.uint64))
+            out.append(np.array([whole >> np.uint64(64 - CLASS_BITS)], np.uint64) if len(w) else np.zeros(0, np.uint64))
     return out
 
 
@@ -92,35 +110,48 @@ def signature(s: np.ndarray, level: int) -> bytes:
 
 
 def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def report(sets: list[np.ndarray]) -> pa.RecordBatch:
-        k, n = np.unique(np.concatenate(sets), return_counts=True)
-        k, n = k[n >= HEAVY_IN_SLICE], n[n >= HEAVY_IN_SLICE]
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+    """(what, key, n): heavy shingles of each slice (0) and frequent word slots of the task (1)."""
+    slots = np.zeros(WORD_SLOTS, np.int64)
+
+    def report(what: int, k: np.ndarray, n: np.ndarray, least: int) -> pa.RecordBatch:
+        k, n = k[n >= least], n[n >= least]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), what, np.int32)), pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], names=["what", "key", "n"])
 
     held, size = [], 0
     for batch in batches:
         data, off = flat(batch.column(0))
         for _, _, d, o in chunks(data, off):
+            words, _ = word_hashes(d, o)
+            slots += np.bincount((words & np.uint64(WORD_SLOTS - 1)).astype(np.int64), minlength=WORD_SLOTS)
             held += shingle_sets(d, o)
             size += len(d)
             if size >= SLICE_BYTES:
-                yield report(held)
+                yield report(0, *np.unique(np.concatenate(held), return_counts=True), HEAVY_IN_SLICE)
                 held, size = [], 0
     if held:
-        yield report(held)
+        yield report(0, *np.unique(np.concatenate(held), return_counts=True), HEAVY_IN_SLICE)
+    yield report(1, np.arange(WORD_SLOTS), slots, WORD_IN_TASK)
+
+
+def word_classes(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Four classes a doubling of the count; slots that are nowhere frequent have class 0."""
+    out = np.zeros(WORD_SLOTS, np.uint8)
+    out[keys] = np.minimum(MAX_CLASS, np.round(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    return out
 
 
 def _describe(heavy):  # noqa: ANN001, ANN202
     """(doc_id, text) to (doc_id, n, k1, k2, prefix keys, signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = heavy.value
+        keys, counts, slots, slot_counts = heavy.value
+        classes = word_classes(slots, slot_counts)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             data, off = flat(batch.column(1))
             n, k1, k2, prefixes, marks = [], [], [], [], []
             for _, _, d, o in chunks(data, off):
-                for s in shingle_sets(d, o):
+                for s in shingle_sets(d, o, classes):
                     n.append(len(s))
                     key = class_key(s)
                     k1.append(key[0])
@@ -153,8 +184,9 @@ def _prefix(s: np.ndarray, k1: int, keys: np.ndarray, counts: np.ndarray) -> np.
     """
     p = prefix_length(len(s))
     if len(keys):
-        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-        hot = keys[at] == s
+        bare = s & np.uint64((1 << CLASS_BITS) - 1)
+        at = np.minimum(np.searchsorted(keys, bare), len(keys) - 1)
+        hot = keys[at] == bare
         if hot.any():
             light = s[~hot]
             if len(light) >= p:
@@ -172,7 +204,12 @@ def _prefix(s: np.ndarray, k1: int, keys: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, k1), all of a token in one task, to distinct groups (bucket, k1)."""
+    """(token, k1), all of a token in one task, to distinct (bucket, k1).
+
+    A token's classes go to the bucket of the least of them. Copies with edits
+    share many tokens, but these have few different least classes, so that a
+    class is in few buckets; any two classes of a token are in one of them.
+    """
     tokens, classes = [], []
     for b in batches:
         tokens.append(np.asarray(b.column(0)))
@@ -197,15 +234,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     size = np.diff(np.append(start, len(t)))
-    bucket = np.add.reduceat(mix(c.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), start) + size.astype(np.uint64)
-    _, first = np.unique(bucket, return_index=True)
-    first = first[size[first] > 1]
-    keep = np.zeros(len(start), bool)
-    keep[first] = True
-    rows = np.repeat(keep, size)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(bucket, size)[rows].view(np.int64)), pa.array(c[rows])], names=["bucket", "k1"]
-    )
+    rows = np.repeat(size > 1, size)
+    pairs = np.unique(np.stack([np.repeat(c[start], size)[rows], c[rows]], 1), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["bucket", "k1"])
 
 
 def _fold(mark: bytes, level: int) -> np.ndarray:
@@ -285,13 +316,13 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table
 
 
 def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (bucket, k1, n, mark) to star edges (u, v) of pairs that pass the bound."""
+    """Sorted (bucket, a, b, k1, n, mark) to star edges (u, v) of pairs that pass the bound."""
     u, v = [], []
-    for t in _groups(batches, 1):
+    for t in _groups(batches, 3):
         if t.num_rows < 2:
             continue
-        k, n = t.column(1).to_numpy(), t.column(2).to_numpy()
-        root = stars(len(k), bounded_pairs(n, t.column(3).to_pylist()))
+        k, n = t.column(3).to_numpy(), t.column(4).to_numpy()
+        root = stars(len(k), bounded_pairs(n, t.column(5).to_pylist()))
         far = np.flatnonzero(root != np.arange(len(k)))
         if len(far):
             u.append(k[far])
@@ -303,11 +334,12 @@ def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
 
-def _arrays(active):  # noqa: ANN001, ANN202
+def _arrays(active, heavy):  # noqa: ANN001, ANN202
     """Texts to (k1, k2, set) of classes that the filter lets through, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bits = active.value
+        classes = word_classes(*heavy.value[2:])
         have = np.zeros(ACTIVE_BITS // 64, np.uint64)
         have[words] = bits
         seen: set[tuple[int, int]] = set()
@@ -315,7 +347,7 @@ def _arrays(active):  # noqa: ANN001, ANN202
             data, off = flat(batch.column(0))
             for _, _, d, o in chunks(data, off):
                 k1, k2, sets = [], [], []
-                for s in shingle_sets(d, o):
+                for s in shingle_sets(d, o, classes):
                     if not len(s):
                         continue
                     key = class_key(s)
@@ -389,6 +421,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _tiled(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """``rows`` with tile, a and b: a group of more than TILE rows becomes tiles, and
+    each row goes to every pair (a, b) of tiles with its own, so that no task
+    holds more than two tiles of a group however large it is."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"))
+    own = rows.join(sizes, group).withColumn("tile", F.pmod(F.xxhash64(key), F.col("_tiles")).cast("int"))
+    every = own.select("*", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"))
+    return every.withColumns({"a": F.least("tile", "_other"), "b": F.greatest("tile", "_other")}).drop("_tiles", "_other")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Similar documents and component of every row of ``docs``.
 
@@ -401,18 +443,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    heavy = rows.select("text").mapInArrow(_heavy, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = heavy.orderBy(F.desc("n"), "token").limit(HEAVY_ROWS).toArrow()
-    keys, counts = (np.asarray(top.column(c).combine_chunks()) if top.num_rows else np.zeros(0, np.int64) for c in ("token", "n"))
-    keys = keys.view(np.uint64)
-    order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], counts[order]))
+    heavy = durable(rows.select("text").mapInArrow(_heavy, "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")))
+
+    def columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        t = df.toArrow()
+        k, n = (np.asarray(t.column(c).combine_chunks()) if t.num_rows else np.zeros(0, np.int64) for c in ("key", "n"))
+        order = np.argsort(k)
+        return k[order], n[order]
+
+    keys, counts = columns(heavy.where("what = 0").orderBy(F.desc("n"), "key").limit(HEAVY_ROWS))
+    shared = spark.sparkContext.broadcast((keys.view(np.uint64), counts, *columns(heavy.where("what = 1"))))  # at most WORD_SLOTS rows
     described = durable(rows.mapInArrow(_describe(shared), f"doc_id {kind}, n long, k1 long, k2 long, prefix array<long>, mark binary"))
 
     posts = described.where("prefix is not null").select(F.explode("prefix").alias("token"), "k1")
     met = posts.repartition("token").mapInArrow(_meet, "bucket long, k1 long").distinct()
     marks = described.where("mark is not null").select("k1", "k2", "n", "mark").dropDuplicates(["k1", "k2"]).select("k1", "n", "mark")
-    tiles = met.join(marks, "k1").select("bucket", "k1", "n", "mark").repartition("bucket").sortWithinPartitions("bucket", "k1")
+    placed = _tiled(met, "bucket", "k1")
+    tiles = placed.join(marks, "k1").select("bucket", "a", "b", "k1", "n", "mark").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
     candidate = components(tiles.mapInArrow(_bound, "u long, v long").distinct())
     candidate = durable(candidate)
 
@@ -421,16 +468,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     have = have.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most ACTIVE_BITS / 64 rows
     words, bits = (np.asarray(have.column(c).combine_chunks()) if have.num_rows else np.zeros(0, np.int64) for c in ("w", "b"))
     active = spark.sparkContext.broadcast((words, bits.view(np.uint64)))
-    sets = rows.select("text").mapInArrow(_arrays(active), "k1 long, k2 long, tokens binary")
+    sets = rows.select("text").mapInArrow(_arrays(active, shared), "k1 long, k2 long, tokens binary")
 
     classes = described.where("n > 0").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-    sizes = candidate.groupBy("root").agg(F.count("*").alias("_size"))
-    member = candidate.join(sizes, "root").join(classes, candidate["node"] == classes["k1"]).select(
-        F.col("root").alias("comp"), F.ceil(F.col("_size") / TILE).cast("int").alias("_tiles"), "k1", "k2", "copies"
-    )
-    member = member.withColumn("tile", F.pmod(F.xxhash64("k1", "k2"), F.col("_tiles")).cast("int"))
-    placed = member.select("*", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"))
-    placed = placed.select("comp", F.least("tile", "_other").alias("a"), F.greatest("tile", "_other").alias("b"), "tile", "k1", "k2", "copies")
+    member = candidate.join(classes, candidate["node"] == classes["k1"]).select(F.col("root").alias("comp"), "k1", "k2", "copies")
+    placed = _tiled(member, "comp", "k1")
     work = placed.join(sets, ["k1", "k2"]).select("comp", "a", "b", "tile", "k1", "k2", "copies", "tokens")
     work = work.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b")
     found = durable(work.mapInArrow(_verify, "node string, other string, links long"))
