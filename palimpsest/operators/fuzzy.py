@@ -59,6 +59,10 @@ def best_matches(requests: DataFrame, captures: DataFrame, rules: tuple[FuzzyRul
     n = asked.join(held.groupBy("prefix").agg(F.count("*").alias("_n")), "prefix").select("req_id", "_n")
     met = met.join(n, "req_id").withColumn("_many", F.col("_n") > 2)
     scored = met.withColumn("score", _scorer(rules)("url", "hit_url", "status", "rule", "_many")).where("score is not null")
+    # an exact capture of the canonical URL settles the matter: the newest
+    newest = captures.groupBy(F.col("url").alias("canon")).agg(F.max("ts_ms").alias("hit_ts_ms"))
+    exact = asked.where(F.col("canon") != F.col("url")).join(newest, "canon").select("req_id", "url", F.col("canon").alias("hit_url"), "hit_ts_ms", F.lit(2e18).alias("score"))
+    scored = scored.select("req_id", "url", "hit_url", "hit_ts_ms", "score").unionByName(exact)
     best = scored.groupBy("req_id", "url").agg(F.max(F.struct("score", F.expr("-hit_ts_ms").alias("_t"), "hit_url")).alias("_b"))
     return best.select("req_id", "url", F.col("_b.hit_url").alias("hit_url"), (-F.col("_b._t")).alias("hit_ts_ms"), F.round("_b.score", 6).alias("score"))
 

@@ -23,23 +23,28 @@ def client_windows(hits: DataFrame, client: str = "client", ts: str = "ts", late
     )
 
 
+#: State of a client and URL ends when the watermark is this far beyond its last request.
+FORGET_MS = 86_400_000
+
+
 def _repeats(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
-    seen = state.get[0] if state.exists else 0
+    seen, newest = state.get[0] if state.exists else 0, 0
     for b in batches:
         b = b.sort_values("ts", kind="stable")
         yield pd.DataFrame({"client": key[0], "url": key[1], "ts": b["ts"].to_numpy(), "skip": range(seen, seen + len(b))})
         seen += len(b)
+        newest = max(newest, int(b["ts"].max().timestamp() * 1000))
     state.update((seen,))
-    state.setTimeoutDuration(86_400_000)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + FORGET_MS)
 
 
-def repeat_counts(requests: DataFrame) -> DataFrame:
+def repeat_counts(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Requests (client, url, ts) with how often each was made before (ST2); state ends after a day unasked."""
-    return requests.groupBy("client", "url").applyInPandasWithState(
-        _repeats, "client string, url string, ts timestamp, skip long", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return requests.withWatermark("ts", late).groupBy("client", "url").applyInPandasWithState(
+        _repeats, "client string, url string, ts timestamp, skip long", "seen long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
