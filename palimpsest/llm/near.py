@@ -434,7 +434,8 @@ def _tiled(rows: DataFrame, group: str, key: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Similar documents and component of every row of ``docs``.
 
-    Returns doc_id, n_shingles, n_similar, component_id, class_id. Null, empty
+    Returns doc_id, n_shingles, n_similar, component_id and class_id (the least
+    doc_id with an equal set; rows without shingles are their own class). Null, empty
     and blank texts have no shingles, link with nothing and are their own
     component; repeated rows count as documents of their own; a null doc_id
     names a component only if no other id is in it; other columns are not read;
@@ -486,12 +487,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     known = known.select(
         "k1", "k2",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_similar"),
-        F.coalesce("_first", "least").alias("_component"),
+        F.coalesce("_first", "least").alias("_component"), F.col("least").alias("_class"),
     )
     out = described.select("doc_id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.coalesce("_similar", F.lit(0)).cast("long").alias("n_similar"),
         F.coalesce("_component", "doc_id").alias("component_id"),
-        F.when(F.col("n") > 0, name).alias("class_id"),
+        F.coalesce("_class", "doc_id").alias("class_id"),
     )
