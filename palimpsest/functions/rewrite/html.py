@@ -25,14 +25,14 @@ ATTRS: dict[str, dict[str, str]] = {
     "button": {"formaction": ""}, "command": {"icon": "im_"}, "del": {"cite": ""}, "embed": {"src": "oe_"}, "form": {"action": ""}, "frame": {"src": "fr_"},
     "iframe": {"src": "if_"}, "image": {"src": "im_", "xlink:href": "im_", "href": "im_"}, "img": {"src": "im_", "srcset": "im_"}, "input": {"src": "im_", "formaction": ""},
     "ins": {"cite": ""}, "link": {"href": "oe_"}, "meta": {"content": ""}, "object": {"codebase": "oe_", "data": "oe_"}, "param": {"value": "oe_"}, "q": {"cite": ""},
-    "script": {"src": "js_", "xlink:href": "js_"}, "source": {"src": "oe_", "srcset": "oe_"}, "video": {"src": "oe_", "poster": "im_"},
+    "script": dict.fromkeys(("src", "xlink:href"), "js_"), "source": {"src": "oe_", "srcset": "oe_"}, "video": {"src": "oe_", "poster": "im_"},
 }
 _SAME = {"mp_", "ln_", "mt_", ""}
 _TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</[a-zA-Z][^>]*>|<[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _RAW = {"script", "style", "textarea", "title"}
 _SRCSET = re.compile(r"\s*([^\s,]\S*?)(\s+[0-9.]+[wxh])?\s*(?:,\s+|,(?=(?:https?:)?//)|(?<=[wxh]),|\Z)")
-_REFRESH = re.compile(r"(\s*[0-9.]+\s*;\s*(?:url\s*=\s*)?)(['\"]?)(\S+?)(['\"]?)\s*\Z", re.I)
+_REFRESH = re.compile(r"([\s0-9.]+;(?:\s*url\s*=)?\s*)(['\"]?)(\S+?)(['\"]?)\s*\Z", re.I)
 
 
 def rewrite_srcset(value: str, fix) -> str:  # noqa: ANN001
@@ -123,7 +123,7 @@ class PageRewriter:
                 a[1] = self.link(value, "if_" if have.get("type", "") in ("application/pdf", "text/html") else "oe_")
             elif name in rules:
                 a[1] = self.link(value, rules[name])
-            elif name in ("href", "src") and value.startswith(("http://", "https://", "//", "/")):
+            elif name in ("href", "src") and value.startswith(("/", "http://", "https://")):
                 a[1] = self.link(value, _ANY.get(name, ""))
         return attrs + extra
 

@@ -12,7 +12,7 @@ import re
 
 from palimpsest.functions.urls import rewrite_url
 
-GLOBALS = ("window", "globalThis", "self", "document", "location", "top", "parent", "frames", "opener")
+GLOBALS = tuple("window self document location top parent frames opener globalThis".split())
 _NAMED = re.compile(r"(?<![\w$.])(?:" + "|".join(GLOBALS) + r"|this|eval|postMessage)(?![\w$])|\.(?:location|postMessage|top|parent)\b")
 _MODULE = re.compile(r"(?m)^\s*(?:import\s*(?:[\w*{][^;'\"]*from\s*)?['\"]|export\s+(?:default|const|let|var|function|class|\*|\{))")
 _STRICT = re.compile(r"^\s*(?:/\*.*?\*/\s*|//[^\n]*\n\s*)*['\"]use strict['\"]", re.S)
@@ -22,7 +22,7 @@ _META = re.compile(r"(?<![\w$.])import\.meta\.url\b")
 _RULES: list[tuple[str, str]] = [
     (r"(?<![\w$.'\"])(?P<pm>\.postMessage)\s*\(", r".__replay_pm(self).postMessage("),
     (r"(?<![$.\w])location\s*=(?![=>])(?P<loc>)", r"location = ((self.__replay_location && self.__replay_location(location)) || {}).href ="),
-    (r"(?<![\w$.])eval\s*\((?P<ev>)", r"__replay_eval((_c, g) => { var e = eval; return g ? e(_c) : eval(_c); }).eval(this, (function() { return arguments })(),"),
+    (r"(?<![\w$.])eval\s*\((?P<ev>)", r"__replay_eval((code, outer) => outer ? (0, eval)(code) : eval(code)).run(this, typeof arguments == 'object' ? arguments : [],"),
     (r"(?P<ret>\breturn\s+)this\b(?!\s*\.\s*[\w$])(?=\s*[;}\n,)]|\Z)", r"\g<ret>__replay_this(this)"),
     (r"(?P<eq>[=,(|&?:]\s*)this\b(?=\s*(?:[;}\n,)|&?:]|\Z))", r"\g<eq>__replay_this(this)"),
 ]
@@ -74,7 +74,7 @@ def rewrite_imports(text: str, prefix: str, base: str) -> str:
 
     def fix(m: re.Match) -> str:
         target = m[3]
-        if not target.startswith(("http://", "https://", "/", "./", "../")):
+        if not re.match(r"https?://|\.{0,2}/", target):
             return m[0]
         return m[1] + m[2] + rewrite_url(target if target.startswith("http") else _absolute(base, target), prefix, base, force=True) + m[4]
 

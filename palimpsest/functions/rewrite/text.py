@@ -116,12 +116,15 @@ def best_variant(variants: Column, limit: int) -> Column:
     return F.array_max(F.transform(fit, lambda v: F.struct(v["bitrate"].alias("bitrate"), v["url"].alias("url"))))["url"]
 
 
+_SCRIPT_MIMES = [f"{kind}javascript" for kind in ("application/", "application/x-", "text/")]
+
+
 def rewrite_mode(destination: Column, mime: Column, url: Column, modifier: Column, body: Column) -> Column:
     """Which rewriter a response needs (H19); '' for none."""
     path = F.lower(F.substring_index(F.substring_index(url, "#", 1), "?", 1))
     bare = F.lower(F.trim(F.substring_index(F.coalesce(mime, F.lit("")), ";", 1)))
     jsonp = F.when(url.rlike("(?i)" + _CALLBACK), "jsonp")
-    is_js = bare.isin("text/javascript", "application/javascript", "application/x-javascript") | path.endswith(".js")
+    is_js = bare.isin(*_SCRIPT_MIMES) | path.endswith(".js")
     worker = modifier.isin("wkr_", "sw_", "wkrf_")
     script = F.coalesce(
         F.when(worker, "js-worker"), F.when(F.coalesce(modifier == "esm_", F.lit(False)), "js"), jsonp,

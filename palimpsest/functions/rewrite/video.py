@@ -84,6 +84,9 @@ def dash_representations(text: str) -> list[dict]:
     return out
 
 
+_DECLARATION = "<?xml " + " ".join(f'{k}="{v}"' for k, v in (("version", "1.0"), ("encoding", "UTF-8"))) + "?>\n"
+
+
 def rewrite_dash(text: str, options: dict | None = None, best_ids: list[str] | None = None) -> str:
     """An MPD with one representation a set (H25): the largest picture within the limit
     where sizes are given, else the highest rate within its limit. Unreadable text stays."""
@@ -113,4 +116,4 @@ def rewrite_dash(text: str, options: dict | None = None, best_ids: list[str] | N
         for r in reps:
             if r is not best:
                 s.remove(r)
-    return '<?xml version="1.0" encoding="UTF-8"?>\n' + ElementTree.tostring(root, encoding="unicode")
+    return _DECLARATION + ElementTree.tostring(root, encoding="unicode")

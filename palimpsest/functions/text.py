@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SKIP = {"script", "style", "header", "footer", "banner-div", "noscript"}
+SKIP = set("banner-div footer header noscript script style".split())
 
 
 class _Text(HTMLParser):

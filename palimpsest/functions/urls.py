@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Schemes whose links are left alone.
-INERT = ("#", "javascript:", "data:", "mailto:", "about:", "file:", "blob:", "{")
-_REPLAY = r"^(?:\:([^/]+)/)?([0-9]*)([a-z]+_|\$[a-z0-9:.-]+)?(?:/|\||%7C)(.+)\z"
+INERT = ("#", "{", *(f"{scheme}:" for scheme in "about blob data file javascript mailto".split()))
+_MODIFIER = r"([a-z]+_|\$[-.:0-9a-z]+)?"
+_REPLAY = rf"^(?:\:([^/]+)/)?([0-9]*){_MODIFIER}(?:%7C|[/|])(.+)\z"
 
 
 def parse_replay(path: Column) -> dict[str, Column]:

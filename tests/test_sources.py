@@ -82,7 +82,7 @@ def test_cut_off_files(spark, folder, tmp_path):
 
 def test_cdxj(spark, tmp_path):
     lines = [
-        'test,s)/a 20200304050607 {"url": "http://s.test/a#x", "mime": "text/html", "status": "200", "digest": "ABC", "offset": "10", "length": "20", "filename": "f.warc.gz"}',
+        'test,s)/a 20200304050607 {"url": "http://s.test/a#x", "digest": "ABC", "status": "200", "mime": "text/html", "offset": "10", "length": "20", "filename": "f.warc.gz"}',
         '{"url": "http://s.test/bare", "timestamp": "20200101", "digest": "sha-256:1", "status": "x"}', "not an index line", 'test,s)/h 20200304050607 {"url": "http://s.test/h", "method": "HEAD"}', "",
         'test,s)/r 20200304 {"url": "http://s.test/r", "mime": "warc/revisit"}',
     ]
