@@ -40,12 +40,13 @@ TEMPLATES: dict[str, list[str]] = {
     "mit": [
         "Released under the MIT License.",
         "This software is distributed under the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        "Permission is hereby granted, free of charge, to any person",
+        "obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
+        "You may modify it under the terms of the GNU General Public License.",
         "Distributed under the terms of the GNU General Public License version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
