@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions import predicates as P
 from palimpsest.functions import text as X
@@ -549,3 +551,85 @@ def payload_replay(spark, d):
     full = lookup.with_payload(found, bodies)
     part = X.byte_range(F.col("payload"), F.lit("bytes=0-9"))
     return full.select("req_id", "event_id", U.status_text(F.col("status")).alias("status_text"), part["content_range"].alias("content_range"), F.octet_length(part["body"]).alias("n_body"))
+
+
+_VARIANTS = """v AS (SELECT e.event_id, n, (320 << n) + k AS w, (200 << n) AS h, 100000 * (n + 1) + k AS rate
+  FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 5 = 0) e, unnest([0, 1, 2]) t(n))"""
+
+
+def _variants(spark, d):
+    e = table(spark, d, "events").where("event_id % 5 = 0").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return e.select("event_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("n"), "k").selectExpr("event_id", "n", "shiftleft(320, n) + k as w", "shiftleft(200, n) as h", "100000 * (n + 1) + k as rate")
+
+
+@register(f"WITH {_VARIANTS} SELECT event_id, 'v' || arg_max(n, w * h) || '.m3u8' AS uri FROM v WHERE w * h <= 412800 GROUP BY event_id")
+def hls_select(spark, d):
+    from palimpsest.functions.rewrite.video import hls_variants, rewrite_hls
+
+    @F.pandas_udf(T.StringType())
+    def kept(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hls_variants(rewrite_hls(t))[0]["uri"])
+
+    line = F.format_string("#EXT-X-STREAM-INF:BANDWIDTH=%d,RESOLUTION=%dx%d\nv%d.m3u8", "rate", "w", "h", "n")
+    lists = _variants(spark, d).groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
+    return lists.select("event_id", kept(F.concat(F.lit("#EXTM3U\n"), F.col("t"))).alias("uri"))
+
+
+@register(f"WITH {_VARIANTS} SELECT event_id, 'r' || arg_max(n, w * h) AS rep_id FROM v WHERE w * h <= 412800 GROUP BY event_id")
+def dash_select(spark, d):
+    from palimpsest.functions.rewrite.video import dash_representations, rewrite_dash
+
+    @F.pandas_udf(T.StringType())
+    def kept(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: dash_representations(rewrite_dash(t))[0]["rep_id"])
+
+    rep = F.format_string('<Representation id="r%d" bandwidth="%d" width="%d" height="%d"/>', "n", F.col("rate") + 2_000_000, "w", "h")
+    sets = _variants(spark, d).groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list(rep)), "").alias("t"))
+    return sets.select("event_id", kept(F.concat(F.lit("<MPD><Period><AdaptationSet>"), F.col("t"), F.lit("</AdaptationSet></Period></MPD>"))).alias("rep_id"))
+
+
+@register(f"WITH {_VARIANTS} SELECT event_id, 'u' || arg_max(n, rate) AS url FROM v WHERE rate <= 250000 AND n <> 1 GROUP BY event_id")
+def variant_select(spark, d):
+    row = F.struct(F.col("rate").cast("long").alias("bitrate"), F.when(F.col("n") == 1, "application/x-other").otherwise("video/mp4").alias("content_type"), F.concat(F.lit("u"), "n").alias("url"))
+    rows = _variants(spark, d).groupBy("event_id").agg(F.collect_list(row).alias("variants"))
+    return rows.select("event_id", R.best_variant(F.col("variants"), 250_000).alias("url"))
+
+
+@register("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 206 WHEN strlen(text) <= 100 * (doc_id % 3) THEN 416 ELSE 206 END AS status,
+  CASE doc_id % 3 WHEN 2 THEN least(40, strlen(text)) ELSE CASE WHEN strlen(text) > 100 * (doc_id % 3) THEN least(50, strlen(text) - 100 * (doc_id % 3)) END END AS n_body FROM documents WHERE strlen(text) > 0""")
+def byte_ranges(spark, d):
+    """Ranges from the start, from byte 100, and of the last 40 bytes."""
+    docs = table(spark, d, "documents").where("octet_length(text) > 0").select("doc_id", F.col("text").cast("binary").alias("body"))
+    header = F.expr("case doc_id % 3 when 0 then 'bytes=0-49' when 1 then 'bytes=100-149' else 'bytes=-40' end")
+    part = X.byte_range(F.col("body"), header)
+    return docs.select("doc_id", part["status"].alias("status"), F.octet_length(part["body"]).cast("long").alias("n_body"))
+
+
+@register("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'id=' || user_id || '; Path=/' || CASE WHEN event_id % 3 = 0 THEN '; Secure' ELSE '' END ELSE 'id=' || user_id || '; Path=/' END AS cookie FROM events""")
+def cookie_rewrite(spark, d):
+    header = F.expr("concat('id=', user_id, '; Expires=Wed, 01 Jan 2031 00:00:00 GMT; Path=/; HttpOnly', case when event_id % 3 = 0 then '; Secure' else '' end)")
+    return table(spark, d, "events").select("event_id", U.cookies(header, F.expr("event_id % 2 = 0")).alias("cookie"))
+
+
+@register()
+def rewrite_css(spark, d):
+    """Style sheets of the pages, with a link each."""
+    @F.pandas_udf(T.StringType())
+    def css(texts: pd.Series, base: pd.Series) -> pd.Series:
+        return pd.Series([R.rewrite_css(t, PREFIX, b) for t, b in zip(texts, base, strict=True)])
+
+    style = F.concat(F.regexp_extract("html", "<style>([^<]*)</style>", 1), F.lit(" b{background:url(/bg.png)}"))
+    return table(spark, d, "pages").where("url is not null").select("page_id", css(style, F.col("url")).alias("css"))
+
+
+@register()
+def rewrite_js(spark, d):
+    """Scripts of the pages, with a use of a global each."""
+    from palimpsest.functions.rewrite.js import rewrite_js as js
+
+    @F.pandas_udf(T.StringType())
+    def scripts(texts: pd.Series, base: pd.Series) -> pd.Series:
+        return pd.Series([js(t, PREFIX, b) for t, b in zip(texts, base, strict=True)])
+
+    script = F.concat(F.regexp_extract("html", "<script>(.*?)</script>", 1), F.lit(";window.seen = document.title"))
+    return table(spark, d, "pages").where("url is not null").select("page_id", scripts(script, F.col("url")).alias("js"))
