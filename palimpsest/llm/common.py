@@ -177,6 +177,10 @@ def in_filter(words: np.ndarray, key: int) -> bool:
     return bool(int(words[bit >> 6]) >> (bit & 63) & 1)
 
 
+#: Classes whose counts are broadcast; a row of them takes some ten bytes.
+MAX_BROADCAST_CLASSES = 100_000
+
+
 def bounded_sample(rows: DataFrame, by: str, per_class: int, text: str = "text", seed: int = 7) -> DataFrame:
     """At most ``per_class`` different rows of each value of ``by``, chosen by a hash of the text.
 
@@ -185,7 +189,9 @@ def bounded_sample(rows: DataFrame, by: str, per_class: int, text: str = "text",
     so that about twice the bound at most is ever moved.
     """
     rows = rows.where(F.col(by).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    counts = durable(rows.groupBy(by).agg(F.count("*").alias("_n")))
+    if counts.count() <= MAX_BROADCAST_CLASSES:  # else the join moves the texts once
+        counts = F.broadcast(counts)
     u = F.pmod(F.xxhash64(F.lit(seed), text), F.lit(1 << 30))
     few = rows.withColumn("_u", u).join(counts, by).where(F.col("_u") < (2.0 * per_class + 50) / F.col("_n") * (1 << 30))
     few = few.dropDuplicates([by, "_u"])
