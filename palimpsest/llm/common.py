@@ -7,6 +7,8 @@ no per-row Python strings, and no temporary larger than a fixed multiple of
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -50,11 +52,40 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of plans that nothing refers to any more.
+
+    They would stay until the driver happens to collect its garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 modulo 3; null ids count as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
+def tidied(function):  # noqa: ANN001, ANN201
+    """A mapInArrow function that gives free memory back when its task ends.
+
+    Python workers live on from task to task; without this, each keeps the most
+    that any of its tasks ever held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets (one more than rows) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import LOWER, SPACE, chunks, flat
+from palimpsest.llm.common import LOWER, SPACE, chunks, flat, tidied
 
 #: Bytes of a gram: eight, so that a gram is a machine word and needs no hash.
 Q = 8
@@ -233,7 +233,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id
         local = part.orderBy("_key").collect()
         shared = spark.sparkContext.broadcast(([r["_t"].encode() for r in local], rate))
         keys = spark.createDataFrame([(i, r["_key"]) for i, r in enumerate(local)], "nth int, _key string")
-        hits = rows.mapInArrow(_search(shared), f"doc_id {kind}, nth int, start_byte long, end_byte long, edits int")
+        hits = rows.mapInArrow(tidied(_search(shared)), f"doc_id {kind}, nth int, start_byte long, end_byte long, edits int")
         hits = hits.join(F.broadcast(keys), "nth").drop("nth")  # as many rows as the block has passages
         out = hits if out is None else out.unionByName(hits)
     return out.join(items.select("item_id", "_key"), "_key").select("doc_id", "item_id", "start_byte", "end_byte", "edits")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import LOWER, bounded_sample, chunks, flat, held_out
+from palimpsest.llm.common import LOWER, bounded_sample, chunks, flat, held_out, tidied
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -140,7 +140,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), held_out(F.col(doc_id)).alias("_out"))
     rows = rows.where("not _out and lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", "text")
     sample = bounded_sample(rows, "lang", PER_LANGUAGE).select("lang", "text")
-    t = sample.mapInArrow(_training_windows, "lang string, window binary").toArrow()
+    t = sample.mapInArrow(tidied(_training_windows), "lang string, window binary").toArrow()
     names = np.array(t.column("lang").to_pylist(), dtype=object)
     if not len(names):
         return [], None
@@ -193,4 +193,4 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), letter.alias("_letter"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(_predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidied(_predict(model)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

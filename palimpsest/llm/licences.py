@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import LOWER, bounded_sample, chunks, flat, mix, prefix_hash, range_hash
+from palimpsest.llm.common import LOWER, bounded_sample, chunks, flat, mix, prefix_hash, range_hash, tidied
 from palimpsest.llm.toxicity import _OUTSIDE
 
 SLOTS = 1 << 16
@@ -314,7 +314,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     background = sample.select(F.substring(line, 1, 2000).alias("line")).orderBy("line").collect()
     model = docs.sparkSession.sparkContext.broadcast(train([r["line"].encode() for r in background]))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(
-        _scan(model),
+    return rows.mapInArrow(tidied(_scan(model)),
         f"doc_id {kind}, line long, start_byte long, end_byte long, family string, probability double, similarity double, confirmed boolean, paragraph string",
     )

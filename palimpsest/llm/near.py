@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import LOWER, chunks, durable, flat, mix, prefix_hash, range_hash, shingles, words_of
+from palimpsest.llm.common import LOWER, chunks, durable, flat, mix, prefix_hash, range_hash, release, shingles, tidied, words_of
 from palimpsest.llm.graph import components
 
 PERCENT = 70
@@ -29,9 +29,11 @@ WIDTH = 3
 TILE = 1024
 #: A shingle that this many documents of one slice share is reported as heavy.
 HEAVY_IN_SLICE = 8
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 #: The table of heavy shingles, which only orders prefixes, has at most so many rows.
 HEAVY_ROWS = 1 << 18
+#: Classes that a task remembers, so as to describe each once.
+SEEN = 200_000
 #: Hashed words whose frequency classes are known; the table is 1 MiB.
 WORD_SLOTS = 1 << 20
 WORD_IN_TASK = 64
@@ -160,7 +162,7 @@ def _describe(heavy):  # noqa: ANN001, ANN202
                         prefixes.append(None)
                         marks.append(None)
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(key)
                     prefixes.append(_prefix(s, key[0], keys, counts))
                     marks.append(signature(s, level_of(len(s))))
@@ -354,7 +356,7 @@ def _arrays(active, heavy):  # noqa: ANN001, ANN202
                     bit = key[0] % ACTIVE_BITS
                     if not int(have[bit // 64]) >> (bit % 64) & 1 or key in seen:
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(key)
                     k1.append(key[0])
                     k2.append(key[1])
@@ -431,6 +433,16 @@ def _tiled(rows: DataFrame, group: str, key: str) -> DataFrame:
     return every.withColumns({"a": F.least("tile", "_other"), "b": F.greatest("tile", "_other")}).drop("_tiles", "_other")
 
 
+def _candidates(described: DataFrame) -> DataFrame:
+    """(node, root): classes that may be similar, by candidate component."""
+    posts = described.where("prefix is not null").select(F.explode("prefix").alias("token"), "k1")
+    met = posts.repartition("token").mapInArrow(tidied(_meet), "bucket long, k1 long").distinct()
+    marks = described.where("mark is not null").select("k1", "k2", "n", "mark").dropDuplicates(["k1", "k2"]).select("k1", "n", "mark")
+    placed = _tiled(met, "bucket", "k1")
+    tiles = placed.join(marks, "k1").select("bucket", "a", "b", "k1", "n", "mark").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    return durable(components(tiles.mapInArrow(tidied(_bound), "u long, v long").distinct()))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Similar documents and component of every row of ``docs``.
 
@@ -444,7 +456,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    heavy = durable(rows.select("text").mapInArrow(_heavy, "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")))
+    heavy = durable(rows.select("text").mapInArrow(tidied(_heavy), "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")))
 
     def columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         t = df.toArrow()
@@ -454,30 +466,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     keys, counts = columns(heavy.where("what = 0").orderBy(F.desc("n"), "key").limit(HEAVY_ROWS))
     shared = spark.sparkContext.broadcast((keys.view(np.uint64), counts, *columns(heavy.where("what = 1"))))  # at most WORD_SLOTS rows
-    described = durable(rows.mapInArrow(_describe(shared), f"doc_id {kind}, n long, k1 long, k2 long, prefix array<long>, mark binary"))
+    described = durable(rows.mapInArrow(tidied(_describe(shared)), f"doc_id {kind}, n long, k1 long, k2 long, prefix array<long>, mark binary"))
 
-    posts = described.where("prefix is not null").select(F.explode("prefix").alias("token"), "k1")
-    met = posts.repartition("token").mapInArrow(_meet, "bucket long, k1 long").distinct()
-    marks = described.where("mark is not null").select("k1", "k2", "n", "mark").dropDuplicates(["k1", "k2"]).select("k1", "n", "mark")
-    placed = _tiled(met, "bucket", "k1")
-    tiles = placed.join(marks, "k1").select("bucket", "a", "b", "k1", "n", "mark").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    candidate = components(tiles.mapInArrow(_bound, "u long, v long").distinct())
-    candidate = durable(candidate)
+    candidate = _candidates(described)
+    release(spark)
 
     bit = F.pmod(F.col("node"), F.lit(ACTIVE_BITS))
     have = candidate.select(F.floor(bit / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(node, {ACTIVE_BITS}) % 64 as int))").alias("b"))
     have = have.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most ACTIVE_BITS / 64 rows
     words, bits = (np.asarray(have.column(c).combine_chunks()) if have.num_rows else np.zeros(0, np.int64) for c in ("w", "b"))
     active = spark.sparkContext.broadcast((words, bits.view(np.uint64)))
-    sets = rows.select("text").mapInArrow(_arrays(active, shared), "k1 long, k2 long, tokens binary")
+    sets = rows.select("text").mapInArrow(tidied(_arrays(active, shared)), "k1 long, k2 long, tokens binary")
 
     classes = described.where("n > 0").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     member = candidate.join(classes, candidate["node"] == classes["k1"]).select(F.col("root").alias("comp"), "k1", "k2", "copies")
     placed = _tiled(member, "comp", "k1")
     work = placed.join(sets, ["k1", "k2"]).select("comp", "a", "b", "tile", "k1", "k2", "copies", "tokens")
     work = work.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b")
-    found = durable(work.mapInArrow(_verify, "node string, other string, links long"))
+    found = durable(work.mapInArrow(tidied(_verify), "node string, other string, links long"))
 
+    del sets, placed, work
+    release(spark)
     roots = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     name = F.format_string("%016x%016x", "k1", "k2")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import flat
+from palimpsest.llm.common import flat, tidied
 
 MARK = "▁"
 #: Segments remembered by one Python worker before it starts anew.
-CACHE = 1_000_000
+CACHE = 300_000
 UNKNOWN_PENALTY = 10.0
 BATCH_BYTES = 4 << 20
 
@@ -338,7 +338,7 @@ def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str =
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(_encode(shared), f"doc_id {kind}, n_ids long, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(tidied(_encode(shared)), f"doc_id {kind}, n_ids long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
@@ -354,4 +354,4 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded string")
+    return encoded.mapInArrow(tidied(run), f"{fields}, decoded string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, chunks, durable, flat, mix, per_row, prefix_hash, range_hash, shingles, words_of
+from palimpsest.llm.common import SPACE, chunks, durable, flat, mix, per_row, prefix_hash, range_hash, shingles, tidied, words_of
 
 ORDER = 4
 CLASSES = 64
@@ -77,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, n) over all texts; one partial table of at most 2**24 rows a task."""
-    partial = docs.select(F.col(text).alias("text")).mapInArrow(_count, "key int, n long")
+    partial = docs.select(F.col(text).alias("text")).mapInArrow(tidied(_count), "key int, n long")
     return partial.groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -217,7 +217,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, lang string, " + ", ".join(f"{m} long" for m in METRICS) + ", log_ppl double"
-    scored = durable(rows.mapInArrow(_score(model), schema))
+    scored = durable(rows.mapInArrow(tidied(_score(model)), schema))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     q = scored.where(~failed).groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
     width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import chunks, durable, filter_words, flat, in_filter, membership_filter, mix, prefix_hash, range_hash
+from palimpsest.llm.common import chunks, durable, filter_words, flat, in_filter, membership_filter, mix, prefix_hash, range_hash, tidied
 from palimpsest.llm.suffix import repeated_starts
 
 SPAN = 400
@@ -26,7 +26,7 @@ GRAM = 40
 SHARD_BYTES = 1 << 20
 #: Hashes with more different runs than this are settled by counting string hashes.
 HOT_RUNS = 2048
-SEEN = 1_000_000
+SEEN = 200_000
 
 
 def text_key(text: bytes) -> tuple[int, int]:
@@ -266,7 +266,7 @@ def repeated_intervals(docs: DataFrame, text: str = "text") -> tuple[DataFrame,
     k1, k2 = key_columns(F.col("text"))
     whole = durable(texts.select(k1.alias("k1"), k2.alias("k2")).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
 
-    runs = durable(texts.mapInArrow(_emit_runs, RUN_SCHEMA))
+    runs = durable(texts.mapInArrow(tidied(_emit_runs), RUN_SCHEMA))
     spread = "(min(k1) < max(k1) or min(k2) < max(k2))"
     shared = runs.groupBy("h").agg(F.expr(f"{spread} or max(twice)").alias("more"), F.expr("min(s) < max(s) or max(twice)").alias("differ")).where("more")
     near = durable(runs.join(shared.select("h", "differ"), "h"))
@@ -279,13 +279,13 @@ def repeated_intervals(docs: DataFrame, text: str = "text") -> tuple[DataFrame,
     def cut(some: DataFrame) -> DataFrame:
         lists = some.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "p0", "p1")).alias("runs"))
         active = membership_filter(some.select("k1").distinct(), "k1")
-        bodies = texts.mapInArrow(_texts(active), "k1 long, k2 long, text string")
-        return bodies.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(_cut, "h long, k1 long, k2 long, p0 int, bytes binary")
+        bodies = texts.mapInArrow(tidied(_texts(active)), "k1 long, k2 long, text string")
+        return bodies.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(tidied(_cut), "h long, k1 long, k2 long, p0 int, bytes binary")
 
     by_hash = cut(todo.where("not hot")).repartition("h").sortWithinPartitions("h")
-    found = settled.unionByName(by_hash.mapInArrow(_sort_shards, "k1 long, k2 long, lo int, hi int"))
+    found = settled.unionByName(by_hash.mapInArrow(tidied(_sort_shards), "k1 long, k2 long, lo int, hi int"))
     if not todo.where("hot").isEmpty():
-        strings = cut(todo.where("hot")).mapInArrow(_string_hashes, "w1 long, w2 long, k1 long, k2 long, p int").distinct()
+        strings = cut(todo.where("hot")).mapInArrow(tidied(_string_hashes), "w1 long, w2 long, k1 long, k2 long, p int").distinct()
         twice = strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
         found = found.unionByName(strings.join(twice, ["w1", "w2"]).select("k1", "k2", F.col("p").alias("lo"), (F.col("p") + SPAN).alias("hi")))
     return durable(found), whole
@@ -309,9 +309,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     partial = durable(partial)
     active = membership_filter(partial.select("k1"), "k1")
     texts = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= SPAN)
-    bodies = texts.mapInArrow(_texts(active), "k1 long, k2 long, text string")
+    bodies = texts.mapInArrow(tidied(_texts(active)), "k1 long, k2 long, text string")
     schema = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<array<int>>"
-    cleaned = bodies.join(partial, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(lambda it: _finish(it, keep_text), schema)
+    cleaned = bodies.join(partial, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(tidied(lambda it: _finish(it, keep_text)), schema)
     cleaned = durable(cleaned if keep_text else cleaned.drop("kept_text", "spans")).dropDuplicates(["k1", "k2"])
     out = rows.join(cleaned, ["k1", "k2"], "left").join(whole.withColumn("_whole", F.lit(True)), ["k1", "k2"], "left")
     empty = hashlib.sha256(b"").hexdigest()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import LOWER, chunks, durable, flat, held_out, per_row, prefix_hash, range_hash
+from palimpsest.llm.common import LOWER, chunks, durable, flat, held_out, per_row, prefix_hash, range_hash, tidied
 
 #: Hashed entries of each family: words, and beginnings of 4, 5 and 6 bytes.
 SLOTS = 1 << 19
@@ -266,7 +266,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     kind = dict(rows.dtypes)["doc_id"]
     few = F.broadcast(chosen)  # 3 * PER_LABEL ids at most
     sample = rows.join(few, rows["doc_id"] == chosen["_id"]).select("_y", "text")
-    total = sample.mapInArrow(_count_entries, "entry int, n0 long, n1 long").groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    total = sample.mapInArrow(tidied(_count_entries), "entry int, n0 long, n1 long").groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     t0, t1 = float(min(sizes.get(0, 0), PER_LABEL)), float(min(sizes.get(1, 0), PER_LABEL))
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     odds = F.log(a / F.greatest(t1 - F.col("n1") + 1, F.lit(0.5))) - F.log(b / F.greatest(t0 - F.col("n0") + 1, F.lit(0.5)))
@@ -297,4 +297,4 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         model = fit_linear([np.array(r["hits"], np.int32) for r in seen], np.array([post[r["pattern"]] for r in seen]), len(entries))
     else:
         model = (np.zeros(max(1, len(entries))), -1e9)
-    return votes.select("doc_id", "held_out", "hits").mapInArrow(_score(spark.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return votes.select("doc_id", "held_out", "hits").mapInArrow(tidied(_score(spark.sparkContext.broadcast(model))), f"doc_id {kind}, held_out boolean, score double, predicted int")
