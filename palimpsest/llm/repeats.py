@@ -267,14 +267,16 @@ def repeated_intervals(docs: DataFrame, text: str = "text") -> tuple[DataFrame,
     whole = durable(texts.select(k1.alias("k1"), k2.alias("k2")).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
 
     runs = durable(texts.mapInArrow(tidied(_emit_runs), RUN_SCHEMA))
-    spread = "(min(k1) < max(k1) or min(k2) < max(k2))"
+    # rows of one text repeat its places; different places of one text count like those of two texts
+    spread = "(min(k1) < max(k1) or min(k2) < max(k2) or min(p0) < max(p0))"
+    place = F.xxhash64("k1", "k2", "p0")
     shared = runs.groupBy("h").agg(F.expr(f"{spread} or max(twice)").alias("more"), F.expr("min(s) < max(s) or max(twice)").alias("differ")).where("more")
     near = durable(runs.join(shared.select("h", "differ"), "h"))
-    same = near.groupBy("h", "s").agg(F.expr(f"{spread} or min(p0) < max(p0)").alias("multi"), F.min("k1").alias("_first"))
+    same = near.groupBy("h", "s").agg(F.expr(spread).alias("multi"), F.min(place).alias("_first"))
     state = near.join(same, ["h", "s"])
     settled = state.where("multi").select("k1", "k2", F.col("p0").alias("lo"), (F.col("p1") + SPAN).alias("hi")).distinct()
     many = near.where("differ").groupBy("h").agg(F.approx_count_distinct("s").alias("_n")).select("h", (F.col("_n") > HOT_RUNS).alias("hot"))
-    todo = durable(state.where("differ and k1 = _first").select("h", "k1", "k2", "p0", "p1").join(many, "h"))
+    todo = durable(state.where(F.col("differ") & (place == F.col("_first"))).select("h", "k1", "k2", "p0", "p1").join(many, "h"))
 
     def cut(some: DataFrame) -> DataFrame:
         lists = some.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "p0", "p1")).alias("runs"))

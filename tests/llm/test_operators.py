@@ -192,6 +192,22 @@ def test_repeats(docs, empty, monkeypatch, hot):
         assert clean.count() == docs.count()
 
 
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_repeats_far_apart_in_one_text(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_RUNS", hot)
+    r = random.Random(31)
+    alone = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    x, y, line = alone(450), alone(400), alone(368) + "\n"
+    texts = [alone(500) + x + alone(900) + x, y + alone(400) + y, alone(100) + line * 5 + alone(100), "".join(alone(400) + line for _ in range(5)), alone(2000)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = sorted(tuple(x)[:5] for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    want = [(i, *x) for i, x in enumerate(_brute_repeats([t.encode() for t in texts], repeats.SPAN))]
+    assert got == want
+    assert [x[2] > 0 for x in got] == [True, True, True, False, False]
+    clean = {x.doc_id: x.text for x in repeats.clean_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert x not in clean[0] and y not in clean[1] and clean[4] == texts[4]
+
+
 def _brute_near(rows):
     sets = []
     for t in rows:
