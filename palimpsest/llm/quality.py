@@ -25,6 +25,9 @@ MIN_WORDS = 50
 BAND = 3.0
 #: Short texts scatter more: bands are wider by sqrt(1 + SHORT / n_words).
 SHORT = 60.0
+#: Junk mixed into prose can leave the mean as it is but not the spread of a text's
+#: log probabilities, which may exceed the median by this many deviations (MAD, scaled).
+SPREAD_BAND = 4.0
 
 
 def _classes() -> np.ndarray:
@@ -172,7 +175,7 @@ METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def _score(model):  # noqa: ANN001, ANN202
-    """Batches of (doc_id, lang, text) to base rules and mean log perplexity."""
+    """Batches of (doc_id, lang, text) to base rules, mean and spread of log perplexity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
@@ -184,12 +187,14 @@ def _score(model):  # noqa: ANN001, ANN202
             parts: list[dict[str, np.ndarray]] = []
             for _, _, d, o in chunks(data, off):
                 part = base_rules(d, o)
-                total = per_row(table[keys_of(d, o)].astype(np.float64), o)
-                part["log_ppl"] = -total / np.maximum(1, np.diff(o))
+                logs = table[keys_of(d, o)].astype(np.float64)
+                n = np.maximum(1, np.diff(o))
+                part["log_ppl"] = -per_row(logs, o) / n
+                part["spread"] = np.sqrt(np.maximum(0, per_row(logs * logs, o) / n - part["log_ppl"] ** 2))
                 parts.append(part)
             if parts:
-                cols = [pa.array(np.concatenate([p[m] for p in parts])) for m in [*METRICS, "log_ppl"]]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "lang", *METRICS, "log_ppl"])
+                cols = [pa.array(np.concatenate([p[m] for p in parts])) for m in [*METRICS, "log_ppl", "spread"]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "lang", *METRICS, "log_ppl", "spread"])
 
     return run
 
@@ -198,14 +203,16 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Base rules and perplexity verdict of every row of ``docs``.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, log_ppl, low, high. Null and empty texts have no words and
+    base_failed, kept, log_ppl, low, high, spread, spread_high. Null and empty texts have no words and
     fail the base rules; null languages share the bands of ``und``; repeated
     rows are judged alike; other columns are not read; an empty table gives an
     empty result. Very long texts are read whole.
 
     A language's bands come from the quartiles of log perplexity of its texts
     that pass the base rules: BAND interquartile ranges (more for short texts)
-    below the lower and above the upper quartile. The counted table that is sent to executors has
+    below the lower and above the upper quartile. The standard deviation of a text's
+    log probabilities has an upper limit from the median and the median deviation,
+    which junk cannot move far unless most of a language is junk. The counted table that is sent to executors has
     at most 2**24 keys; everything else stays distributed.
     """
     spark = docs.sparkSession
@@ -216,16 +223,20 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     model = spark.sparkContext.broadcast((keys[order], counts[order]))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, lang string, " + ", ".join(f"{m} long" for m in METRICS) + ", log_ppl double"
+    schema = f"doc_id {kind}, lang string, " + ", ".join(f"{m} long" for m in METRICS) + ", log_ppl double, spread double"
     scored = durable(rows.mapInArrow(tidied(_score(model)), schema))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    q = scored.where(~failed).groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
+    fit = scored.where(~failed)
+    q = fit.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"), F.percentile_approx("spread", 0.5, 10_000).alias("_mid"))
+    away = F.percentile_approx(F.abs(F.col("spread") - F.col("_mid")), 0.5, 10_000)
+    mad = fit.join(q.select("lang", "_mid"), "lang").groupBy("lang").agg(F.greatest(1.4826 * away, F.lit(0.01)).alias("_dev"))
     width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01))
-    bands = q.select("lang", F.col("q")[0].alias("_q1"), F.col("q")[1].alias("_q3"), width.alias("_w"))
-    reach = BAND * F.col("_w") * F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1)))
+    bands = q.select("lang", F.col("q")[0].alias("_q1"), F.col("q")[1].alias("_q3"), width.alias("_w"), "_mid").join(mad, "lang")
+    wider = F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1)))
+    reach = BAND * F.col("_w") * wider
     out = scored.join(bands, "lang", "left").withColumn("base_failed", failed)
-    out = out.withColumns({"low": F.col("_q1") - reach, "high": F.col("_q3") + reach})
-    inside = F.col("log_ppl").between(F.col("low"), F.col("high"))
+    out = out.withColumns({"low": F.col("_q1") - reach, "high": F.col("_q3") + reach, "spread_high": F.col("_mid") + SPREAD_BAND * F.col("_dev") * wider})
+    inside = F.col("log_ppl").between(F.col("low"), F.col("high")) & (F.col("spread") <= F.col("spread_high"))
     return out.select(
-        "doc_id", *METRICS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl", "low", "high",
+        "doc_id", *METRICS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "log_ppl", "low", "high", "spread", "spread_high",
     )

@@ -76,6 +76,30 @@ def test_quality_rejects_noise_and_keeps_prose(spark, docs):
     assert not kept & {900 + i for i in range(5)}
 
 
+def test_quality_rejects_symbol_noise_and_tables_in_each_language(spark):
+    r = random.Random(32)
+    base = {
+        "en": "the of thing and with house where people under river always morning because after window",
+        "de": "der und über nicht schaft Haus wohnen Leute unter Fluss immer Morgen weil nach Fenster",
+        "fr": "le être çon eaux qui maison où gens sous rivière toujours matin parce après fenêtre",
+        "es": "el ser ción aguas que casa donde gente bajo río siempre mañana porque después ventana",
+    }
+    rows, junk = [], set()
+    for lang, words in base.items():
+        w = words.split()
+        make = lambda n, w=w: [r.choice(w) + (r.choice(w) if r.random() < 0.3 else "") + (r.choice(".,") if r.random() < 0.1 else "") for _ in range(n)]
+        rows += [(len(rows) + i, " ".join(make(r.randint(80, 250))), lang) for i in range(60)]
+        for _ in range(3):
+            noisy = " ".join(x + (r.choice("*#%&$") * 3 if r.random() < 0.25 else "") for x in make(200))
+            table = "\n".join(" | ".join(make(4)) for _ in range(40))
+            for t in (noisy, table):
+                junk.add(len(rows))
+                rows.append((len(rows), t, lang))
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert not [x.doc_id for x in out if x.kept and x.doc_id in junk]
+    assert sum(x.kept for x in out) >= 0.97 * (len(rows) - len(junk))
+
+
 def test_url_filter(spark):
     r = random.Random(10)
     hosts = ["a.net", "example.net", "x.example.net", "example.com", "www.example.com", "m.news.org", "org", "spam-farm.org", "b.spam-farm.org", "notexample.com"]
