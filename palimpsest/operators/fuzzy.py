@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,10 +42,19 @@ def _scorer(rules: tuple[FuzzyRule, ...]):  # noqa: ANN202
     return run
 
 
+def _own_cuts(rules: tuple[FuzzyRule, ...]) -> list[Column]:
+    """Prefixes of a captured URL that end at a rule's own split; null without one past the start."""
+    out = []
+    for mark, last in dict.fromkeys((r.split, r.split_last) for r in rules if r.split and (r.split != "?" or r.split_last)):
+        head = F.regexp_extract("url", rf"(?s)\A(.{'+' if last else '+?'}\Q{mark}\E)", 1)
+        out.append(F.when(head != "", head))
+    return out
+
+
 def best_matches(requests: DataFrame, captures: DataFrame, rules: tuple[FuzzyRule, ...] = RULES) -> DataFrame:
     """``requests`` (req_id, url) with hit_url, hit_ts_ms and score.
 
-    Requests and captures meet in an equi-join on the prefix up to the query;
+    Requests and captures meet in an equi-join on the prefix up to the query or a rule's split;
     the score is an Arrow UDF over what meets; the best is an aggregate, so a
     prefix with many captures is not gathered. A request whose prefix is its
     whole URL and that no rule covers has no match. Scores have no threshold.
@@ -53,7 +62,7 @@ def best_matches(requests: DataFrame, captures: DataFrame, rules: tuple[FuzzyRul
     route = _route(rules)("url")
     asked = requests.withColumn("_r", route).select("*", "_r.rule", "_r.prefix", "_r.canon").drop("_r")
     asked = asked.where((F.col("rule") >= 0) | (F.col("prefix") != F.col("url")) | (F.col("canon") != F.col("url")) | F.col("url").endswith("?"))
-    cuts = F.array_distinct(F.array(F.regexp_extract("url", r"^([^?]*\?)", 1), F.col("url"), F.regexp_replace("url", r"[?#].*", "?"), F.substring_index("url", "?", 1)))
+    cuts = F.array_distinct(F.array(F.regexp_extract("url", r"^([^?]*\?)", 1), F.col("url"), F.regexp_replace("url", r"[?#].*", "?"), F.substring_index("url", "?", 1), *_own_cuts(rules)))
     held = captures.select(F.col("url").alias("hit_url"), "status", F.col("ts_ms").alias("hit_ts_ms"), F.explode(cuts).alias("prefix")).where("prefix <> ''")
     met = asked.join(held, "prefix")
     n = asked.join(held.groupBy("prefix").agg(F.count("*").alias("_n")), "prefix").select("req_id", "_n")

@@ -219,6 +219,38 @@ def test_fuzzy_lookup(spark):
     assert got[0] == "https://s.test/q?a=1&b=2" and 1 not in got and got[2] == "https://s.test/lib.js"
 
 
+def test_fuzzy_lookup_by_each_rule(spark):
+    from palimpsest.functions.fuzzy_match import RULES, rule_for
+
+    pairs = [
+        ("https://r1.googlevideo.com/videoplayback?id=1&itag=2&x=%s", "3", "4"),
+        ("https://www.youtube.com/get_video_info?video_id=a&t=%s", "1", "2"),
+        ("https://www.washingtonpost.com/wp-apps/imrs.php?src=u&w=%s", "1", "2"),
+        ("https://static.news.test/resizer/%s/img/a.jpg", "AA/100x200", "BB/300x400"),
+        ("https://lh3.googleusercontent.com/p/pic%s", "=s64-c", "=s128"),
+        ("https://www.youtube.com/embed/x?a=%s", "1", "2"),
+        ("https://www.youtube.com/channel/c?view=%s", "1", "2"),
+        ("https://www.youtube.com/@name?view=%s", "1", "2"),
+        ("https://a-vod.akamaized.net/exp=%s/12/34.mp4", "1~x", "2~y"),
+        ("https://player.vimeo.com/video/77?h=%s", "1", "2"),
+        ("https://static.wixstatic.com/media/p.png/v1/fill/w_%s/p.png", "10,h_10", "20,h_20"),
+        ("https://pbs.twimg.com/profile_images/1/face_%s.jpg", "normal", "400x400"),
+        ("https://www.youtube.com/youtubei/v1/player?videoId=v&k=%s", "1", "2"),
+        ("https://cdn.test/videoplayback?id=1&itag=2&x=%s", "1", "2"),
+        ("https://www.facebook.com/ajax/pagelet/generic.php/photoviewerinitpagelet?data=1&_x=%s", "1", "2"),
+        ("https://twitter.com/u/status/1?s=%s", "20", "21"),
+        ("https://api.test/graphql?q=2&cursor=%s", "1", "2"),
+        ("https://www.facebook.com/ajax/bulk-route-definitions?route_urls[0]=/a&_n=%s", "1", "2"),
+        ("https://s.test/q?a=1&_=%s", "123", "456"),
+        ("https://s.test/lib.js?v=%s", "1", "2"),
+    ]
+    assert {rule_for(u.replace("%s", a))[0] for u, a, _ in pairs} == set(RULES)
+    ask = spark.createDataFrame([(i, u.replace("%s", a)) for i, (u, a, _) in enumerate(pairs)], "req_id long, url string")
+    caps = spark.createDataFrame([(u.replace("%s", b), 200, i) for i, (u, _, b) in enumerate(pairs)], "url string, status int, ts_ms long")
+    got = {x.req_id: x.hit_url for x in fuzzy.best_matches(ask, caps).collect()}
+    assert got == {i: u.replace("%s", b) for i, (u, _, b) in enumerate(pairs)}
+
+
 def test_integrity(spark):
     import json
 
