@@ -1,15 +1,19 @@
 """Operator 7, suffix-array dedup: bytes of long strings that occur twice.
 
-Every SPAN-byte string has a least GRAM-byte hash among its grams; runs of
-string starts with the same least hash are filed under it. Strings can only be
-equal within one hash, so hashes seen in one place only are dropped, runs with
-equal bytes are settled at once, and one copy of each different run of the
-remaining hashes goes to a shard whose suffix array tells which starts repeat.
+Two lengths are judged at once: strings of SPAN bytes, and strings of PASSAGE
+bytes, whose runs of PASSAGE_WORDS words or more are repeated passages. Every
+PASSAGE-byte string has a least GRAM-byte hash among its grams; runs of string
+starts with the same least hash are filed under it. Strings can only be equal
+within one hash, so hashes seen in one place only are dropped, runs whose bytes
+(with all that completes their last SPAN-byte string) are equal are settled at
+once, and one copy of each different run of the remaining hashes goes to a shard
+whose suffix array tells which starts repeat, and for how many bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +25,9 @@ from palimpsest.llm.common import chunks, durable, filter_words, flat, in_filter
 from palimpsest.llm.suffix import repeated_starts
 
 SPAN = 400
+#: Shorter strings that make up repeated passages: 50 words are some 280 bytes of prose.
+PASSAGE = 240
+PASSAGE_WORDS = 50
 GRAM = 40
 #: Bytes of runs whose suffixes are sorted at once.
 SHARD_BYTES = 1 << 20
@@ -54,9 +61,10 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[: n - width + 1], head[width - 1 : n])
 
 
-def runs_of(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of string starts with one least gram hash: row, p0, p1 (in the text),
-    h, s (hash of the bytes p0 to p1 + span) and twice (the least gram is in the run twice)."""
+def runs_of(data: np.ndarray, off: np.ndarray, span: int = PASSAGE, gram: int = GRAM, reach: int = SPAN) -> dict[str, np.ndarray]:
+    """Runs of string starts with one least gram hash: row, p0, p1 (in the text), p2 (the end of
+    the last string of ``reach`` bytes, or of the text), h, s (hash of the bytes p0 to p2) and
+    twice (the least gram is in the run twice)."""
     h = prefix_hash(data)
     at = np.arange(max(0, len(data) - gram + 1))
     grams = range_hash(h, at, at + gram)
@@ -66,7 +74,7 @@ def runs_of(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRA
     rows = np.flatnonzero(size >= span)
     if not len(rows):
         none = np.zeros(0, np.int64)
-        return {"row": none, "p0": none, "p1": none, "h": none.view(np.uint64), "s": none.view(np.uint64), "twice": none.astype(bool)}
+        return {"row": none, "p0": none, "p1": none, "p2": none, "h": none.view(np.uint64), "s": none.view(np.uint64), "twice": none.astype(bool)}
     count = size[rows] - span + 1
     row = np.repeat(rows, count)
     start = np.repeat(off[rows] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
@@ -75,6 +83,7 @@ def runs_of(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRA
     first = np.flatnonzero(new)
     p0, p1 = start[first], start[np.append(first[1:], len(start)) - 1]
     key, owner = value[first], row[first]
+    p2 = np.minimum(p1 + reach, off[owner + 1])
     # places of least grams: equal to the largest least hash of the windows around them
     most = np.iinfo(np.uint64).max
     pad = np.full(width - 1, most, np.uint64)
@@ -89,8 +98,9 @@ def runs_of(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRA
         "row": owner,
         "p0": p0 - off[owner],
         "p1": p1 - off[owner],
+        "p2": p2 - off[owner],
         "h": key,
-        "s": range_hash(h, p0, p1 + span),
+        "s": range_hash(h, p0, p2),
         "twice": twice,
     }
 
@@ -105,7 +115,7 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.diff(o)
             keys = np.zeros((len(size), 2), np.int64)
             skip = np.zeros(len(size), bool)
-            for r in np.flatnonzero(size >= SPAN):
+            for r in np.flatnonzero(size >= PASSAGE):
                 k = text_key(raw[o[r] : o[r + 1]])
                 keys[r] = k
                 skip[r] = k in seen
@@ -117,12 +127,13 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(row):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(run["h"][keep].view(np.int64)), pa.array(run["s"][keep].view(np.int64)), pa.array(keys[row, 0]), pa.array(keys[row, 1]),
-                     pa.array(run["p0"][keep].astype(np.int32)), pa.array(run["p1"][keep].astype(np.int32)), pa.array(run["twice"][keep])],
-                    names=["h", "s", "k1", "k2", "p0", "p1", "twice"],
+                     pa.array(run["p0"][keep].astype(np.int32)), pa.array(run["p1"][keep].astype(np.int32)),
+                     pa.array(run["p2"][keep].astype(np.int32)), pa.array(run["twice"][keep])],
+                    names=["h", "s", "k1", "k2", "p0", "p1", "p2", "twice"],
                 )
 
 
-RUN_SCHEMA = "h long, s long, k1 long, k2 long, p0 int, p1 int, twice boolean"
+RUN_SCHEMA = "h long, s long, k1 long, k2 long, p0 int, p1 int, p2 int, twice boolean"
 
 
 def _texts(active):  # noqa: ANN001, ANN202
@@ -135,7 +146,7 @@ def _texts(active):  # noqa: ANN001, ANN202
             data, off = flat(batch.column(0))
             size = np.diff(off)
             take, k1, k2 = [], [], []
-            for r in np.flatnonzero(size >= SPAN):
+            for r in np.flatnonzero(size >= PASSAGE):
                 k = text_key(data[off[r] : off[r + 1]].tobytes())
                 if k in seen or not in_filter(words, k[0]):
                     continue
@@ -152,14 +163,14 @@ def _texts(active):  # noqa: ANN001, ANN202
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, text, runs) to the bytes of each run."""
+    """(k1, k2, text, runs) to the bytes of each run and the number of its starts."""
     for batch in batches:
         text = batch.column(2).cast(pa.binary()).to_pylist()
         k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out: list[tuple] = []
         for a, b, t, runs in zip(k1, k2, text, batch.column(3).to_pylist(), strict=True):
-            for h, p0, p1 in {(r["h"], r["p0"], r["p1"]) for r in runs}:
-                out.append((h, a, b, p0, t[p0 : p1 + SPAN]))
+            for h, p0, p1, p2 in {(r["h"], r["p0"], r["p1"], r["p2"]) for r in runs}:
+                out.append((h, a, b, p0, p1 - p0 + 1, t[p0:p2]))
             if len(out) > 2000:
                 yield _pieces(out)
                 out = []
@@ -167,18 +178,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pieces(out)
 
 
+PIECE_SCHEMA = "h long, k1 long, k2 long, p0 int, n int, bytes binary"
+
+
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "k1", "k2", "p0", "bytes"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "k1", "k2", "p0", "n", "bytes"])
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by hash to (k1, k2, lo, hi): bytes of repeated strings."""
-    held: list[tuple[int, int, int, bytes]] = []
+    """Runs sorted by hash to (k1, k2, span, lo, hi): bytes of repeated strings."""
+    held: list[tuple] = []
     seen: set[tuple[int, int, int]] = set()
     size, last = 0, None
     for batch in batches:
-        for h, a, b, p0, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for h, a, b, p0, n, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if h != last:
                 if size >= SHARD_BYTES:
                     yield from _shard(held)
@@ -187,46 +201,45 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = h
             if (a, b, p0) not in seen:  # the same text from several tasks
                 seen.add((a, b, p0))
-                held.append((a, b, p0, raw))
+                held.append((a, b, p0, n, raw))
                 size += len(raw)
     if held:
         yield from _shard(held)
 
 
-def _shard(held: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    k1, k2, lo, hi = [], [], [], []
-    for (a, b, p0, _), starts in zip(held, repeated_starts([x[3] for x in held], SPAN), strict=True):
-        if len(starts):
-            gap = np.flatnonzero(np.diff(starts) > SPAN)
-            first = starts[np.append(0, gap + 1)] + p0
-            end = starts[np.append(gap, len(starts) - 1)] + p0 + SPAN
-            k1 += [a] * len(first)
-            k2 += [b] * len(first)
-            lo.append(first)
-            hi.append(end)
-    if k1:
-        yield _intervals(k1, k2, np.concatenate(lo), np.concatenate(hi))
-
-
-def _intervals(k1, k2, lo, hi) -> pa.RecordBatch:  # noqa: ANN001
-    return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["k1", "k2", "lo", "hi"])
+def _shard(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    found = repeated_starts([x[4] for x in held], [PASSAGE, SPAN], [x[3] for x in held])
+    out: list[list] = [[], [], [], [], []]
+    for span, all_starts in zip((PASSAGE, SPAN), found, strict=True):
+        for (a, b, p0, _, _), starts in zip(held, all_starts, strict=True):
+            if len(starts):
+                gap = np.flatnonzero(np.diff(starts) > span)
+                first = starts[np.append(0, gap + 1)] + p0
+                end = starts[np.append(gap, len(starts) - 1)] + p0 + span
+                for column, value in zip(out, ([a] * len(first), [b] * len(first), [span] * len(first), first.tolist(), end.tolist()), strict=True):
+                    column += value
+    if out[0]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["k1", "k2", "span", "lo", "hi"])
 
 
 def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of hot hashes to one row a string: two hashes and its place."""
+    """Runs of hot hashes to one row a string of each length: two hashes and its place."""
     for batch in batches:
-        for _, a, b, p0, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for _, a, b, p0, count, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             d = np.frombuffer(raw, np.uint8)
             h = prefix_hash(d)
-            at = np.arange(len(d) - SPAN + 1)
-            w1 = range_hash(h, at, at + SPAN)
-            half = SPAN // 2
-            w2 = mix(range_hash(h, at, at + half) * np.uint64(3) + range_hash(h, at + half, at + SPAN))
-            n = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(n, a)), pa.array(np.full(n, b)), pa.array((at + p0).astype(np.int32))],
-                names=["w1", "w2", "k1", "k2", "p"],
-            )
+            for span in (PASSAGE, SPAN):
+                at = np.arange(max(0, min(count, len(d) - span + 1)))
+                w1 = range_hash(h, at, at + span)
+                half = span // 2
+                w2 = mix(range_hash(h, at, at + half) * np.uint64(3) + range_hash(h, at + half, at + span))
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, span, np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(n, a)), pa.array(np.full(n, b)),
+                     pa.array((at + p0).astype(np.int32))],
+                    names=["span", "w1", "w2", "k1", "k2", "p"],
+                )
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -239,90 +252,122 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _finish(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+def n_words(text: bytes) -> int:
+    """Words [^\\x20\\x09-\\x0D]+ of a text (str.split would also part at 0x1C to 0x1F)."""
+    return len(_WORD.findall(text))
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def spans_of(text: bytes, found: list[dict]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Maximal runs of repeated SPAN-byte strings, and repeated passages."""
+    long = merged([(x["lo"], x["hi"]) for x in found if x["span"] == SPAN])
+    short = merged([(x["lo"], x["hi"]) for x in found if x["span"] == PASSAGE])
+    return long, [(lo, hi) for lo, hi in short if n_words(text[lo:hi]) >= PASSAGE_WORDS]
+
+
+def _finish(batches: Iterator[pa.RecordBatch], keep_text: bool, passages: bool) -> Iterator[pa.RecordBatch]:
     """(k1, k2, text, intervals) to what is left of each text."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32()))]
     for batch in batches:
         rows = []
         for a, b, t, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            spans = merged([(x["lo"], x["hi"]) for x in found])
+            spans, known = spans_of(t, found)
+            if passages:
+                spans = merged(spans + known)
             left, at = [], 0
             for lo, hi in spans:
                 left.append(t[at:lo])
                 at = hi
             kept = b"".join([*left, t[at:]])
-            rows.append((a, b, len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None, [list(x) for x in spans] if keep_text else None))
+            more = (kept.decode("utf-8", "ignore"), [list(x) for x in spans]) if keep_text else (None, None)
+            rows.append((a, b, len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(known), sum(hi - lo for lo, hi in known), *more))
         if rows:
-            k1, k2, removed, n, sha, kept, spans = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept, pa.string()),
-                 pa.array(spans, pa.list_(pa.list_(pa.int32())))],
-                names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"],
-            )
+            names = ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes", "kept_text", "spans"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def repeated_intervals(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(k1, k2, lo, hi) of repeated bytes by text key, and (k1, k2) of texts that occur twice whole."""
-    texts = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= SPAN)
+    """(k1, k2, span, lo, hi) of repeated bytes by text key, for strings of PASSAGE and SPAN
+    bytes, and (k1, k2) of texts that occur twice whole."""
+    texts = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= PASSAGE)
     k1, k2 = key_columns(F.col("text"))
     whole = durable(texts.select(k1.alias("k1"), k2.alias("k2")).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
 
     runs = durable(texts.mapInArrow(tidied(_emit_runs), RUN_SCHEMA))
     # rows of one text repeat its places; different places of one text count like those of two texts
-    spread = "(min(k1) < max(k1) or min(k2) < max(k2) or min(p0) < max(p0))"
     place = F.xxhash64("k1", "k2", "p0")
-    shared = runs.groupBy("h").agg(F.expr(f"{spread} or max(twice)").alias("more"), F.expr("min(s) < max(s) or max(twice)").alias("differ")).where("more")
-    near = durable(runs.join(shared.select("h", "differ"), "h"))
-    same = near.groupBy("h", "s").agg(F.expr(spread).alias("multi"), F.min(place).alias("_first"))
+    ends = [F.min("_p").alias("_first"), F.max("_p").alias("_last"), F.max("twice").alias("twice")]
+    shared = runs.select("h", place.alias("_p"), "twice").groupBy("h").agg(*ends).where("twice or _first < _last").select("h")
+    near = durable(runs.join(shared, "h"))
+    by_bytes = near.select("h", "s", place.alias("_p"), "twice").groupBy("h", "s").agg(*ends)
+    same = by_bytes.select("h", "s", "_first", (F.col("_first") < F.col("_last")).alias("multi"))
+    kinds = by_bytes.groupBy("h").agg(F.count("*").alias("_n"), F.max("twice").alias("_twice"))
+    many = kinds.where("_n > 1 or _twice").select("h", (F.col("_n") > HOT_RUNS).alias("hot"))
     state = near.join(same, ["h", "s"])
-    settled = state.where("multi").select("k1", "k2", F.col("p0").alias("lo"), (F.col("p1") + SPAN).alias("hi")).distinct()
-    many = near.where("differ").groupBy("h").agg(F.approx_count_distinct("s").alias("_n")).select("h", (F.col("_n") > HOT_RUNS).alias("hot"))
-    todo = durable(state.where(F.col("differ") & (place == F.col("_first"))).select("h", "k1", "k2", "p0", "p1").join(many, "h"))
+    short = F.struct(F.lit(PASSAGE).alias("span"), F.col("p0").alias("lo"), (F.col("p1") + PASSAGE).alias("hi"))
+    last = F.least("p1", F.col("p2") - SPAN)  # start of the last whole string of SPAN bytes
+    long = F.when(last >= F.col("p0"), F.struct(F.lit(SPAN).alias("span"), F.col("p0").alias("lo"), (last + SPAN).alias("hi")))
+    settled = state.where("multi").select("k1", "k2", F.explode(F.array_compact(F.array(short, long))).alias("x")).select("k1", "k2", "x.*").distinct()
+    todo = durable(state.where(place == F.col("_first")).select("h", "k1", "k2", "p0", "p1", "p2").join(many, "h"))
 
     def cut(some: DataFrame) -> DataFrame:
-        lists = some.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "p0", "p1")).alias("runs"))
+        lists = some.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "p0", "p1", "p2")).alias("runs"))
         active = membership_filter(some.select("k1").distinct(), "k1")
         bodies = texts.mapInArrow(tidied(_texts(active)), "k1 long, k2 long, text string")
-        return bodies.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(tidied(_cut), "h long, k1 long, k2 long, p0 int, bytes binary")
+        return bodies.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(tidied(_cut), PIECE_SCHEMA)
 
     by_hash = cut(todo.where("not hot")).repartition("h").sortWithinPartitions("h")
-    found = settled.unionByName(by_hash.mapInArrow(tidied(_sort_shards), "k1 long, k2 long, lo int, hi int"))
+    found = settled.unionByName(by_hash.mapInArrow(tidied(_sort_shards), "k1 long, k2 long, span int, lo int, hi int"))
     if not todo.where("hot").isEmpty():
-        strings = cut(todo.where("hot")).mapInArrow(tidied(_string_hashes), "w1 long, w2 long, k1 long, k2 long, p int").distinct()
-        twice = strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-        found = found.unionByName(strings.join(twice, ["w1", "w2"]).select("k1", "k2", F.col("p").alias("lo"), (F.col("p") + SPAN).alias("hi")))
+        strings = cut(todo.where("hot")).mapInArrow(tidied(_string_hashes), "span int, w1 long, w2 long, k1 long, k2 long, p int").distinct()
+        twice = strings.groupBy("span", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("span", "w1", "w2")
+        found = found.unionByName(strings.join(twice, ["span", "w1", "w2"]).select("k1", "k2", "span", F.col("p").alias("lo"), (F.col("p") + F.col("span")).alias("hi")))
     return durable(found), whole
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, passages: bool = False) -> DataFrame:
     """What is left of every row of ``docs`` without repeated strings of SPAN bytes.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
-    ``keep_text``, kept_text (undecodable bytes at cuts dropped), spans and the
-    text's key k1, k2. Null
-    texts are empty; texts under SPAN bytes stay; of equal rows or texts of SPAN
-    bytes or more nothing stays; other columns are not read; an empty table
+    With ``passages``, runs of repeated PASSAGE-byte strings that hold
+    PASSAGE_WORDS words or more are cut as well; they are counted in any case.
+
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages,
+    passage_bytes and, with ``keep_text``, kept_text (undecodable bytes at cuts
+    dropped), spans and the text's key k1, k2. Null
+    texts are empty; texts under PASSAGE bytes stay; of equal rows or texts of
+    SPAN bytes or more nothing stays; other columns are not read; an empty table
     gives an empty result. Matches never cross documents.
     """
     found, whole = repeated_intervals(docs, text)
     body = F.coalesce(F.col(text), F.lit(""))
     k1, k2 = key_columns(body)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), k1.alias("k1"), k2.alias("k2"), F.sha2(body, 256).alias("_all"))
-    partial = found.join(whole, ["k1", "k2"], "left_anti").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    words = F.expr(f"regexp_count(coalesce(`{text}`, ''), '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+')")
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), (words >= PASSAGE_WORDS).alias("_wordy"),
+        k1.alias("k1"), k2.alias("k2"), F.sha2(body, 256).alias("_all"),
+    )
+    partial = found.join(whole, ["k1", "k2"], "left_anti").groupBy("k1", "k2").agg(F.collect_list(F.struct("span", "lo", "hi")).alias("found"))
     partial = durable(partial)
     active = membership_filter(partial.select("k1"), "k1")
-    texts = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= SPAN)
+    texts = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= PASSAGE)
     bodies = texts.mapInArrow(tidied(_texts(active)), "k1 long, k2 long, text string")
-    schema = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<array<int>>"
-    cleaned = bodies.join(partial, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(tidied(lambda it: _finish(it, keep_text)), schema)
+    schema = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long, kept_text string, spans array<array<int>>"
+    cleaned = bodies.join(partial, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(tidied(lambda it: _finish(it, keep_text, passages)), schema)
     cleaned = durable(cleaned if keep_text else cleaned.drop("kept_text", "spans")).dropDuplicates(["k1", "k2"])
     out = rows.join(cleaned, ["k1", "k2"], "left").join(whole.withColumn("_whole", F.lit(True)), ["k1", "k2"], "left")
     empty = hashlib.sha256(b"").hexdigest()
-    gone = F.coalesce("_whole", F.lit(False))
+    again = F.coalesce("_whole", F.lit(False))
+    told = again & F.col("_wordy")
+    gone = again & ((F.col("n_bytes") >= SPAN) | (F.col("_wordy") if passages else F.lit(False)))
     cols = [
         "doc_id", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "_all")).alias("kept_sha256"),
+        F.when(told, F.lit(1)).otherwise(F.coalesce("n_passages", F.lit(0))).cast("long").alias("n_passages"),
+        F.when(told, F.col("n_bytes")).otherwise(F.coalesce("passage_bytes", F.lit(0))).cast("long").alias("passage_bytes"),
     ]
     if keep_text:
         cols += [F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"), "spans", "k1", "k2"]
@@ -330,12 +375,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def clean_documents(docs: DataFrame, text: str = "text", count: str = "n_chars") -> DataFrame:
-    """``docs`` with repeated strings cut out of the texts; ``count``, if there, follows.
+    """``docs`` with repeated strings and passages cut out of the texts; ``count``, if there, follows.
 
     All rows and columns stay; texts without repeats, null ones among them, as they are.
     """
     names = [f"`{c}`" for c in docs.columns]
-    left = remove_repeats(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), keep_text=True)
+    left = remove_repeats(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), keep_text=True, passages=True)
     own = [f"__repeats_{x}" for x in ("a", "b", "c", "d", "kept")]  # clash with no column of a table
     left = left.where("n_removed > 0").select(F.col("k1").alias(own[2]), F.col("k2").alias(own[3]), F.col("kept_text").alias(own[4])).dropDuplicates(own[2:4])
     k1, k2 = key_columns(F.coalesce(F.col(text), F.lit("")))

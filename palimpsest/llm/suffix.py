@@ -69,13 +69,13 @@ def sort_lms(s: np.ndarray, lms: np.ndarray) -> np.ndarray:
     done = 0
     items = np.arange(m)
     while len(items):
-        w = words[lms[items] + done].byteswap()
+        w = words[np.minimum(lms[items] + done, len(s) - 1)].byteswap()
         left = length[items] - done
         short = left < 8  # the end of a substring sorts above any symbol that could follow
         w[short] |= (np.uint64(1) << (np.uint64(8) * (8 - left[short]).astype(np.uint64))) - np.uint64(1)
         _refine(rank, items, w)
         done += 8
-        items = items[length[items] > done]
+        items = items[length[items] >= done]  # one that ends right here still has its end to show
     step = 1
     while True:
         count = np.bincount(rank, minlength=m)
@@ -173,18 +173,34 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return np.maximum(size[first] - (i - first), 0)
 
 
-def repeated_starts(pieces: list[bytes], span: int) -> list[np.ndarray]:
-    """For each piece, the starts of its ``span``-byte strings that start anywhere else too."""
+def repeated_starts(pieces: list[bytes], spans: list[int], counts: list[int] | None = None) -> list[list[np.ndarray]]:
+    """For each span and piece, the starts of ``span``-byte strings that start anywhere else too.
+
+    Only the first ``counts[i]`` starts of piece i count (all by default): the
+    bytes behind them merely complete their strings and may overlap other pieces.
+    """
     if not pieces:
-        return []
-    s, starts = join_pieces(pieces)
+        return [[] for _ in spans]
+    s, begin = join_pieces(pieces)
     sa = suffix_array(s)
     lcp = permuted_lcp(s, sa)
-    hit = np.zeros(len(s), bool)
-    again = np.flatnonzero(lcp[sa[1:]] >= span)
-    hit[sa[again + 1]] = True
-    hit[sa[again]] = True
+    size = np.array([len(p) for p in pieces], np.int64)
+    own = np.zeros(len(s) + 1, np.int32)
+    np.add.at(own, begin, 1)
+    np.add.at(own, begin + (size if counts is None else np.minimum(size, counts)), -1)
+    own = np.cumsum(own)[:-1] > 0
+    at = np.flatnonzero(own[sa])
     out = []
-    for at, p in zip(starts, pieces, strict=True):
-        out.append(np.flatnonzero(hit[at : at + max(0, len(p) - span + 1)]))
+    if len(at) < 2:
+        return [[np.zeros(0, np.int64)] * len(pieces) for _ in spans]
+    # common prefix of neighbours among the starts that count: the least in between
+    common = np.minimum.reduceat(lcp[sa], at[:-1] + 1)
+    if at[-1] + 1 < len(sa):  # the last stretch would run on to the end
+        common[-1] = lcp[sa[at[-2] + 1 : at[-1] + 1]].min()
+    for span in spans:
+        hit = np.zeros(len(s), bool)
+        again = np.flatnonzero(common >= span)
+        hit[sa[at[again + 1]]] = True
+        hit[sa[at[again]]] = True
+        out.append([np.flatnonzero(hit[b : b + max(0, n - span + 1)]) for b, n in zip(begin, size, strict=True)])
     return out

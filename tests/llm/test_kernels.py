@@ -104,15 +104,38 @@ def test_suffix_array_and_common_prefixes():
             assert lcp[i] == k
         span = r.randint(1, 6)
         count = collections.Counter(p[i : i + span] for p in pieces for i in range(len(p) - span + 1))
-        for p, got in zip(pieces, suffix.repeated_starts(pieces, span), strict=True):
+        for p, got in zip(pieces, suffix.repeated_starts(pieces, [span])[0], strict=True):
             assert got.tolist() == [i for i in range(len(p) - span + 1) if count[p[i : i + span]] > 1]
+        own = [r.randint(0, len(p)) for p in pieces]
+        spans = [span, span + 2]
+        for width, found in zip(spans, suffix.repeated_starts(pieces, spans, own), strict=True):
+            count = collections.Counter(p[i : i + width] for p, n in zip(pieces, own, strict=True) for i in range(min(n, len(p) - width + 1)))
+            for p, n, got in zip(pieces, own, found, strict=True):
+                assert got.tolist() == [i for i in range(min(n, len(p) - width + 1)) if count[p[i : i + width]] > 1]
+
+
+def test_suffix_array_of_a_large_shard_of_prose_with_near_copies():
+    r = random.Random(17)
+    words = ["".join(r.choice("etaoinshr") for _ in range(r.choice([1, 2, 3, 5, 7, 8, 15]))) for _ in range(300)]
+    pieces = [" ".join(r.choice(words) for _ in range(r.randint(40, 160))).encode() for _ in range(700)]
+    for i in range(400):  # copies with one word changed, and runs of exactly 8 and 16 symbols
+        p = bytearray(pieces[i])
+        at = r.randrange(len(p))
+        p[at : at + 3] = b"xyz"
+        pieces.append(bytes(p) + r.choice([b"abababab", b"abcdefghabcdefgh", b""]))
+    s, _ = suffix.join_pieces(pieces)
+    assert len(s) > 500_000
+    sa = suffix.suffix_array(s)
+    assert np.array_equal(np.sort(sa), np.arange(len(s)))
+    b = s.tobytes()
+    assert all(b[i : i + 4000] < b[j : j + 4000] or b[i:] < b[j:] for i, j in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True))
 
 
 def test_runs_cover_every_start_once_and_equal_strings_share_a_hash():
     r = random.Random(4)
     texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 90))) for _ in range(40)] + ["aaaa" * 20]
     data, off = _flat(texts)
-    run = repeats.runs_of(data, off, span=20, gram=5)
+    run = repeats.runs_of(data, off, span=20, gram=5, reach=30)
     hashes = collections.defaultdict(set)
     starts = collections.Counter()
     for row, p0, p1, h in zip(run["row"], run["p0"], run["p1"], run["h"].tolist(), strict=True):

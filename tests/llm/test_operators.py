@@ -202,13 +202,48 @@ def _brute_repeats(texts, span):
     return out
 
 
+def _brute_passages(texts, only_spans=False):
+    """Runs of repeated PASSAGE-byte strings with PASSAGE_WORDS words: number and bytes, or places."""
+    span = repeats.PASSAGE
+    count = collections.Counter(t[i : i + span] for t in texts for i in range(len(t) - span + 1))
+    out = []
+    for t in texts:
+        runs = repeats.merged([(i, i + span) for i in range(len(t) - span + 1) if count[t[i : i + span]] > 1])
+        runs = [(a, b) for a, b in runs if len(re.findall(rb"[^\x20\x09-\x0D]+", t[a:b])) >= repeats.PASSAGE_WORDS]
+        out.append(runs if only_spans else (len(runs), sum(b - a for a, b in runs)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_repeated_passages_shorter_than_a_span(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_RUNS", hot)
+    r = random.Random(47)
+    prose = lambda n: " ".join("".join(r.choice("etaoinsh") for _ in range(r.choice([2, 3, 4, 5, 9]))) for _ in range(n))
+    mid, few = prose(55), "x" * 20 + prose(20) + "y" * 200  # 55 words are under SPAN bytes; few words stay
+    assert repeats.PASSAGE < len(mid) < repeats.SPAN and len(few) > repeats.PASSAGE
+    texts = [f"{prose(90)}. {mid}\n{prose(80)}" for _ in range(4)] + [f"{prose(60)} {few} {prose(9)}" for _ in range(2)]
+    texts += [mid, mid, prose(60)[:300], few + "z" * 300, prose(300), "", f"{mid} {prose(40)} {mid}"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    raw = [t.encode() for t in texts]
+    want = [(i, *x, *y) for i, (x, y) in enumerate(zip(_brute_repeats(raw, repeats.SPAN), _brute_passages(raw), strict=True))]
+    assert sorted(map(tuple, repeats.remove_repeats(docs).collect())) == want
+    assert all(x[5] for x in want[:4]) and not any(x[2] for x in want[:4])
+    left = {x.doc_id: x.text for x in repeats.clean_documents(docs).collect()}
+    for i, (t, runs) in enumerate(zip(raw, _brute_passages(raw, True), strict=True)):
+        cover = repeats.merged(runs + [(j, j + repeats.SPAN) for j in range(len(t) - repeats.SPAN + 1) if sum(u.count(t[j : j + repeats.SPAN]) for u in raw) > 1])
+        kept = bytes(c for j, c in enumerate(t) if not any(a <= j < b for a, b in cover))
+        assert left[i] == kept.decode()
+
+
 @pytest.mark.parametrize("hot", [10_000, 1])
 def test_repeats(docs, empty, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_RUNS", hot)
     source = docs.collect()
     want = collections.Counter((x.doc_id, *y) for x, y in zip(source, _brute_repeats([(x.text or "").encode() for x in source], repeats.SPAN), strict=True))
-    got = collections.Counter(tuple(x)[:5] for x in repeats.remove_repeats(docs).collect())
-    assert got == want
+    result = repeats.remove_repeats(docs).collect()
+    assert collections.Counter(tuple(x)[:5] for x in result) == want
+    passages = collections.Counter((x.doc_id, *y) for x, y in zip(source, _brute_passages([(x.text or "").encode() for x in source]), strict=True))
+    assert collections.Counter((x.doc_id, x.n_passages, x.passage_bytes) for x in result) == passages
     if hot == 1:
         assert repeats.remove_repeats(empty).count() == 0
         clean = repeats.clean_documents(docs)
