@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import pieces
@@ -23,29 +25,51 @@ def _texts():
     return [*out, "", "  ", "a" * 500, " " * 40 + "x", " " * 17, "don't stop\tit", "ontionretioninonly thththth"]
 
 
+def _encoded(encoder, texts):
+    ids, ends, same = pieces.encode_texts(encoder, pa.array(texts))
+    return [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)], same.tolist()
+
+
 def test_ids_equal_the_library(model):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
-    cache = pieces._Segments(model)
-    for t in _texts():
-        assert pieces.encode_text(model, cache, t).tolist() == library.encode(t)
+    want = [library.encode(t) for t in _texts()]
+    small = pieces.Encoder(model, capacity=8)  # hardly remembers anything
+    for encoder in (pieces.Encoder(model), small):
+        assert _encoded(encoder, _texts())[0] == want
+        assert [_encoded(encoder, [t])[0][0] for t in _texts()] == want
+    assert len(small.key) <= 8 and len(small.ids) == small.size.sum()
 
 
 def test_streaming_commits_the_same_ids(model):
-    cache = pieces._Segments(model)
-    for t in _texts():
-        v, s, out = pieces.StreamingViterbi(model), model.prepare(t), []
+    whole, _ = _encoded(pieces.Encoder(model), _texts())
+    for t, want in zip(_texts(), whole, strict=True):
+        v, s, out = pieces.StreamingViterbi(model), ("▁" + t if t else "").replace(" ", "▁"), []
         for i in range(0, len(s), 7):
             out += v.feed(s[i : i + 7])
-        assert out + v.finish() == pieces.encode_text(model, cache, t).tolist()
+        assert out + v.finish() == want
         assert len(v.nodes) <= 6 * model.longest + 1
 
 
+def test_streaming_window_stays_short_in_very_long_texts(model):
+    """One segment of 200,000 characters: ids leave as they become certain."""
+    import sentencepiece
+
+    r = random.Random(5)
+    s = "".join(r.choice("etaoinshr") for _ in range(200_000))
+    v, out, most = pieces.StreamingViterbi(model), [], 0
+    for i in range(0, len(s), 1000):
+        out += v.feed(("▁" if i == 0 else "") + s[i : i + 1000])
+        most = max(most, len(v.nodes), len(v.text) - 1000)
+    assert most <= 6 * model.longest + 1
+    assert out + v.finish() == sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL).encode(s)
+
+
 def test_round_trip(model):
-    cache = pieces._Segments(model)
-    for t in _texts():
-        assert model.decode(pieces.encode_text(model, cache, t).tolist()) == t
+    ids, same = _encoded(pieces.Encoder(model), [*_texts(), None, "a▁b"])
+    assert [model.decode(x) for x in ids] == [*_texts(), "", "a b"]
+    assert same == [True] * (len(same) - 1) + [False]
 
 
 def test_unigram_window_equals_full_viterbi(model):
@@ -72,6 +96,9 @@ def test_unigram_window_equals_full_viterbi(model):
         s = "".join(r.choice("abx") for _ in range(r.randint(1, 80)))
         v = pieces.StreamingViterbi(toy)
         ids = v.feed(s) + v.finish()
+        lanes = pieces.Lanes(toy)
+        codes, _ = lanes.walk(np.array([ord(c) for c in s + s[:9]]), np.array([0, len(s), len(s) + len(s[:9])]))
+        assert [c if c < lanes.n_ids else 0 for c in codes.tolist()][: len(ids)] == ids
         score, path = best(s)
         names = {i: p for p, i in toy.ids.items()}
         at, mine = 0, 0.0
