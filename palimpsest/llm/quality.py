@@ -1,25 +1,35 @@
 """Operator 1, quality rules: base word rules and N-gram perplexity bands.
 
-The model is a modified Kneser-Ney model of order four over byte classes. Six
-bits a class make the 24-bit key of a 4-gram its own perfect hash, so counts,
-model and lookups are bounded by 2**24 entries however large the corpus is.
-Counts cover every byte of every text; Spark adds them up by key.
+The model is a modified Kneser-Ney model of order five over the bytes of all
+texts, case and all. Spark counts the 5-grams, counts continuations of shorter
+ones, and joins the orders; the probabilities lie in files of sorted key arrays
+in the shared folder, as many as the corpus has different 5-grams. A worker
+looks up the different grams of a block of texts in one file after the other.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, chunks, durable, flat, mix, per_row, prefix_hash, range_hash, shingles, tidied, words_of
-
-ORDER = 4
-CLASSES = 64
-KEYS = CLASSES**ORDER
+from palimpsest.llm.common import SPACE, chunks, durable, flat, mix, per_row, prefix_hash, range_hash, shared_folder, shingles, tidied, words_of
+
+ORDER = 5
+#: 5-grams in one file of the model.
+SHARD = 1 << 20
+#: Files that a worker keeps in memory (12 bytes a gram); others are read again for each block.
+HELD = 16
+#: Bytes of texts whose grams are looked up together.
+BLOCK = 16 << 20
+#: Different grams that a task counts before it passes them on.
+PENDING = 1 << 21
 MIN_WORDS = 50
 #: Bands: this many interquartile ranges beyond the quartiles of log perplexity.
 BAND = 3.0
@@ -30,98 +40,132 @@ SHORT = 60.0
 SPREAD_BAND = 4.0
 
 
-def _classes() -> np.ndarray:
-    """A class from 1 to 63 for each byte; 0 stands before the start of a text."""
-    c = np.full(256, 62, np.uint8)
-    for i in range(26):
-        c[97 + i] = c[65 + i] = 1 + i
-    c[48:58] = 27
-    c[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = 28
-    c[0x0A] = 29
-    groups = [b".", b",", b"!?", b"|", b"#*$%&<>", b"\"'`", b"()[]{}", b";:-_/\\"]
-    for i, g in enumerate(groups):
-        c[list(g)] = 30 + i
-    c[0x80:0xC0] = 38 + np.arange(64) % 16
-    c[0xC0:0x100] = 54 + np.arange(64) % 8
-    return c
-
-
-CLASS = _classes()
-
-
 def keys_of(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The 24-bit key of the 4-gram that ends at each byte; class 0 before a text."""
-    c = CLASS[data].astype(np.int32)
-    key = c.copy()
+    """The packed 5-gram that ends at each byte; zeros before a text."""
+    key = data.astype(np.int64)
     for k in range(1, ORDER):
-        key[k:] |= c[:-k] << (6 * k)
+        key[k:] |= data[:-k].astype(np.int64) << (8 * k)
     rows = np.flatnonzero(np.diff(off) > 0)
-    for k in range(1, ORDER):  # keep only the classes of bytes of the same text
+    for k in range(1, ORDER):  # keep only bytes of the same text
         at = off[rows] + k - 1
         at = at[at < off[rows + 1]]
-        key[at] &= (1 << (6 * k)) - 1
+        key[at] &= (1 << (8 * k)) - 1
     return key
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(count, first)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(KEYS, np.int32)
-    seen = False
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    held = base = 0
     for batch in batches:
         data, off = flat(batch.column(0))
         for _, _, d, o in chunks(data, off):
             if len(d):
-                seen = True
                 k, n = np.unique(keys_of(d, o), return_counts=True)
-                total[k] += n.astype(np.int32)
-    if seen:
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k].astype(np.int64))], names=["key", "n"])
+                keys.append(k)
+                counts.append(n)
+                held += len(k)
+            if held > 2 * base + PENDING:  # merge as often as the sum doubles
+                k, n = _summed(keys, counts)
+                keys, counts, held = [k], [n], len(k)
+                base = held
+                if held > PENDING:
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
+                    keys, counts, held, base = [], [], 0, 0
+    if keys:
+        k, n = _summed(keys, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
 
 
 def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, n) over all texts; one partial table of at most 2**24 rows a task."""
-    partial = docs.select(F.col(text).alias("text")).mapInArrow(tidied(_count), "key int, n long")
+    """(key, n) of all 5-grams over all texts, summed up by each task before they move."""
+    partial = docs.select(F.col(text).alias("text")).mapInArrow(tidied(_count), "key long, n long")
     return partial.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
+def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
     """D1, D2 and D3+ of modified Kneser-Ney from the counts of counts."""
-    n1, n2, n3, n4 = (float(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4))
     if not n1 or not n2:
-        return np.array([0.5, 0.75, 0.9])
+        return 0.5, 0.75, 0.9
     y = n1 / (n1 + 2 * n2)
-    d = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.9])
-    return np.clip(d, 0.05, [0.95, 1.95, 2.95])
+    d = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.9
+    return tuple(min(max(x, 0.05), top) for x, top in zip(d, (0.95, 1.95, 2.95), strict=True))
 
 
-def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log p(last class | three before) for each of the 2**24 keys.
+def kneser_ney(grams: DataFrame) -> tuple[DataFrame, int]:
+    """(key, p) of every counted 5-gram: p(last byte | four before), and their number.
 
-    ``keys`` and ``counts`` are the sorted arrays of observed 4-grams. Lower
-    orders use continuation counts; the unigram is mixed with a uniform one.
+    Lower orders use continuation counts; the unigram is mixed with a uniform
+    one. A context has at most 256 followers, so no group is large.
     """
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.float64)
-    levels = [(keys, counts)]
-    for n in range(ORDER - 1, 0, -1):  # distinct classes before each shorter gram
-        k, c = np.unique(levels[-1][0] & ((1 << 6 * n) - 1), return_counts=True)
-        levels.append((k, c.astype(np.float64)))
-    p = np.full(CLASSES, 1.0 / CLASSES, np.float32)
-    for n, (k, c) in enumerate(reversed(levels), 1):
-        d = _discounts(c)
-        take = d[np.minimum(c, 3).astype(np.int64) - 1]
-        contexts = CLASSES ** (n - 1)
-        ctx = (k >> 6).astype(np.int64)
-        total = np.bincount(ctx, c, contexts)
-        spare = np.bincount(ctx, take, contexts)
-        gamma = np.where(total > 0, spare / np.maximum(total, 1e-300), 1.0).astype(np.float32)
-        # p of the order below, for the context without its first class
-        full = np.tile(p.reshape(-1, CLASSES), (CLASSES if n > 1 else 1, 1))
-        full *= gamma[:, None]
-        p = full.reshape(-1)
-        p[k] += ((c - take) / total[ctx]).astype(np.float32)
-    np.maximum(p, 1e-12, out=p)
-    return np.log(p, out=p)
+    levels = {ORDER: grams.select("key", F.col("n").alias("c"))}
+    for n in range(ORDER - 1, 0, -1):  # different bytes before each shorter gram
+        shorter = F.col("key").bitwiseAND((1 << 8 * n) - 1)
+        levels[n] = durable(levels[n + 1].groupBy(shorter.alias("key")).agg(F.count("*").alias("c")))
+    seen = None
+    for n, level in levels.items():
+        part = level.groupBy(F.least("c", F.lit(5)).alias("c")).agg(F.count("*").alias("m")).select(F.lit(n).alias("level"), "c", "m")
+        seen = part if seen is None else seen.unionByName(part)
+    often = {(r.level, r.c): r.m for r in seen.collect()}  # 25 rows at most
+    p = None
+    for n in range(1, ORDER + 1):
+        d = discounts(*(float(often.get((n, k), 0)) for k in (1, 2, 3, 4)))
+        take = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        context = Window.partitionBy("_ctx")
+        level = levels[n].select("key", "c", take.alias("_d"), F.shiftright("key", 8).alias("_ctx"))
+        level = level.select("key", "_d", "c", F.sum("c").over(context).alias("_total"), F.sum("_d").over(context).alias("_spare"))
+        if p is None:
+            lower = level.withColumn("_p", F.lit(1 / 256))
+        else:
+            lower = level.withColumn("_low", F.col("key").bitwiseAND((1 << 8 * (n - 1)) - 1)).join(p.select(F.col("key").alias("_low"), F.col("p").alias("_p")), "_low")
+        p = lower.select("key", ((F.col("c") - F.col("_d")) / F.col("_total") + F.col("_spare") / F.col("_total") * F.col("_p")).alias("p"))
+    return p, sum(m for (n, _), m in often.items() if n == ORDER)
+
+
+def store_model(grams: DataFrame) -> list[str]:
+    """Files of the model's sorted arrays (key, log p), each with its own range of keys."""
+    p, size = kneser_ney(grams)
+    folder = f"{shared_folder(grams.sparkSession)}/grams-{uuid.uuid4().hex}"
+    shards = p.select("key", F.log("p").cast("float").alias("logp")).repartitionByRange(max(1, -(-size // SHARD)), "key").sortWithinPartitions("key")
+    shards.write.option("compression", "lz4").parquet(folder)
+    return sorted(grams.sparkSession.read.parquet(folder).inputFiles()) if size else []
+
+
+class GramFiles:
+    """Sorted arrays of the model, read by file and kept while there is room."""
+
+    def __init__(self, files: list[str]) -> None:
+        self.files = files
+        self.held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _arrays(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        if name not in self.held:
+            system, path = pa.fs.FileSystem.from_uri(name)
+            table = pq.read_table(path, filesystem=system)
+            arrays = np.asarray(table.column("key").combine_chunks()), np.asarray(table.column("logp").combine_chunks())
+            if len(self.held) >= HELD:
+                return arrays
+            self.held[name] = arrays
+        return self.held[name]
+
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """log p of sorted different keys, all of which were counted."""
+        out = np.zeros(len(keys), np.float32)
+        for name in self.files:
+            have, logp = self._arrays(name)
+            if not len(have):
+                continue
+            i, j = np.searchsorted(keys, have[0]), np.searchsorted(keys, have[-1], side="right")
+            out[i:j] = logp[np.searchsorted(have, keys[i:j])]
+        return out
 
 
 def base_rules(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -174,31 +218,71 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _score(model):  # noqa: ANN001, ANN202
+_FILES: dict[tuple[str, ...], GramFiles] = {}
+
+
+def _gram_files(files: list[str]) -> GramFiles:
+    """The model's arrays, kept by a Python worker from task to task."""
+    name = tuple(files)
+    if name not in _FILES:
+        _FILES.clear()
+        _FILES[name] = GramFiles(files)
+    return _FILES[name]
+
+
+def mean_and_spread(model: GramFiles, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of -log p of each text's bytes; 0 for empty texts."""
+    mean, spread = np.zeros(len(off) - 1), np.zeros(len(off) - 1)
+    for i, j, block, b_off in chunks(data, off, BLOCK):
+        parts = []
+        for x, y, d, o in chunks(block, b_off):
+            if len(d):
+                parts.append((i + x, i + y, o, *np.unique(keys_of(d, o), return_inverse=True)))
+        if not parts:
+            continue
+        keys = np.unique(np.concatenate([p[3] for p in parts]))
+        logs = model.logs(keys)
+        for x, y, o, k, back in parts:
+            log = logs[np.searchsorted(keys, k)][back].astype(np.float64)
+            n = np.maximum(1, np.diff(o))
+            mean[x:y] = -per_row(log, o) / n
+            spread[x:y] = np.sqrt(np.maximum(0, per_row(log * log, o) / n - mean[x:y] ** 2))
+        del parts
+    return mean, spread
+
+
+def _score(files: list[str]):  # noqa: ANN202
     """Batches of (doc_id, lang, text) to base rules, mean and spread of log perplexity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
+        model = _gram_files(files)
         for batch in batches:
-            if table is None:
-                keys, counts = model.value
-                table = kneser_ney(keys, counts)
             data, off = flat(batch.column(2))
-            parts: list[dict[str, np.ndarray]] = []
-            for _, _, d, o in chunks(data, off):
-                part = base_rules(d, o)
-                logs = table[keys_of(d, o)].astype(np.float64)
-                n = np.maximum(1, np.diff(o))
-                part["log_ppl"] = -per_row(logs, o) / n
-                part["spread"] = np.sqrt(np.maximum(0, per_row(logs * logs, o) / n - part["log_ppl"] ** 2))
-                parts.append(part)
+            parts = [base_rules(d, o) for _, _, d, o in chunks(data, off)]
             if parts:
-                cols = [pa.array(np.concatenate([p[m] for p in parts])) for m in [*METRICS, "log_ppl", "spread"]]
+                scores = mean_and_spread(model, data, off)
+                cols = [pa.array(np.concatenate([p[m] for p in parts])) for m in METRICS] + [pa.array(x) for x in scores]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "lang", *METRICS, "log_ppl", "spread"])
 
     return run
 
 
+#: Quantiles are read off histograms with bins this wide.
+BIN = 0.001
+
+
+def quantiles(rows: DataFrame, by: str, value: Column, at: dict[str, float]) -> DataFrame:
+    """Quantiles of ``value`` for each ``by``: the least bin with that share of the rows up to it.
+
+    Counted in bins of BIN, so that the result depends on the rows alone, and
+    the bins (of logarithms of probabilities, some 30,000 at most) are few.
+    """
+    bins = rows.groupBy(by, F.round(value / BIN).cast("long").alias("_bin")).agg(F.count("*").alias("_m"))
+    upto = Window.partitionBy(by).orderBy("_bin")
+    bins = bins.withColumns({"_upto": F.sum("_m").over(upto), "_all": F.sum("_m").over(Window.partitionBy(by))})
+    return bins.groupBy(by).agg(*(F.min(F.when(F.col("_upto") >= share * F.col("_all"), F.col("_bin") * BIN)).alias(name) for name, share in at.items()))
+
+
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Base rules and perplexity verdict of every row of ``docs``.
 
@@ -212,26 +296,20 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     that pass the base rules: BAND interquartile ranges (more for short texts)
     below the lower and above the upper quartile. The standard deviation of a text's
     log probabilities has an upper limit from the median and the median deviation,
-    which junk cannot move far unless most of a language is junk. The counted table that is sent to executors has
-    at most 2**24 keys; everything else stays distributed.
+    which junk cannot move far unless most of a language is junk. The model's files are named after this run and left in
+    the shared folder for the plan that reads them.
     """
-    spark = docs.sparkSession
-    grams = count_grams(docs, text).toArrow()  # at most 2**24 rows of 12 bytes
-    keys = np.asarray(grams.column("key").combine_chunks()) if grams.num_rows else np.zeros(0, np.int32)
-    counts = np.asarray(grams.column("n").combine_chunks()) if grams.num_rows else np.zeros(0, np.int64)
-    order = np.argsort(keys)
-    model = spark.sparkContext.broadcast((keys[order], counts[order]))
+    files = store_model(durable(count_grams(docs, text)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, lang string, " + ", ".join(f"{m} long" for m in METRICS) + ", log_ppl double, spread double"
-    scored = durable(rows.mapInArrow(tidied(_score(model)), schema))
+    scored = durable(rows.mapInArrow(tidied(_score(files)), schema))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fit = scored.where(~failed)
-    q = fit.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"), F.percentile_approx("spread", 0.5, 10_000).alias("_mid"))
-    away = F.percentile_approx(F.abs(F.col("spread") - F.col("_mid")), 0.5, 10_000)
-    mad = fit.join(q.select("lang", "_mid"), "lang").groupBy("lang").agg(F.greatest(1.4826 * away, F.lit(0.01)).alias("_dev"))
-    width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01))
-    bands = q.select("lang", F.col("q")[0].alias("_q1"), F.col("q")[1].alias("_q3"), width.alias("_w"), "_mid").join(mad, "lang")
+    q = quantiles(fit, "lang", F.col("log_ppl"), {"_q1": 0.25, "_q3": 0.75}).join(quantiles(fit, "lang", F.col("spread"), {"_mid": 0.5}), "lang")
+    q = durable(q)  # a row for each language
+    away = quantiles(fit.join(q.select("lang", "_mid"), "lang"), "lang", F.abs(F.col("spread") - F.col("_mid")), {"_away": 0.5})
+    bands = q.join(away, "lang").withColumns({"_w": F.greatest(F.col("_q3") - F.col("_q1"), F.lit(0.01)), "_dev": F.greatest(1.4826 * F.col("_away"), F.lit(0.01))})
     wider = F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1)))
     reach = BAND * F.col("_w") * wider
     out = scored.join(bands, "lang", "left").withColumn("base_failed", failed)

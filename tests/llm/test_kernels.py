@@ -59,32 +59,6 @@ def test_gram_keys_see_no_other_text():
     assert quality.keys_of(data, off).tolist() == [k for x in alone for k in x]
 
 
-def test_kneser_ney_sums_to_one_and_prefers_what_was_seen():
-    data, off = _flat(["the quick brown fox " * 20, "lazy dogs sleep all day " * 10])
-    k, n = np.unique(quality.keys_of(data, off), return_counts=True)
-    p = np.exp(quality.kneser_ney(k.astype(np.int32), n).astype(float)).reshape(-1, quality.CLASSES)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    key = int(quality.keys_of(*_flat(["quic"]))[-1])
-    assert p.reshape(-1)[key] > 0.5
-
-
-def test_kneser_ney_matches_direct_interpolation():
-    """The order-2 level of a small model by the textbook formula."""
-    data, off = _flat(["abab abba baba aab"])
-    k, n = np.unique(quality.keys_of(data, off), return_counts=True)
-    p = np.exp(quality.kneser_ney(k.astype(np.int32), n).astype(float))
-    grams = dict(zip(k.tolist(), n.tolist(), strict=True))
-    ctx = k[0] >> 6
-    seen = {g: c for g, c in grams.items() if g >> 6 == ctx}
-    d = quality._discounts(n.astype(float))
-    total = sum(seen.values())
-    spare = sum(d[min(c, 3) - 1] for c in seen.values()) / total
-    for g, c in seen.items():
-        assert p[g] >= (c - d[min(c, 3) - 1]) / total - 1e-5
-    assert sum(p[int(ctx) << 6 : (int(ctx) << 6) + 64]) == pytest.approx(1, abs=1e-4)
-    assert 0 < spare < 1
-
-
 def test_suffix_array_and_common_prefixes():
     r = random.Random(3)
     for _ in range(150):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -188,6 +189,73 @@ def test_pieces_on_tables(spark, docs, empty):
     assert back.where("decoded <> coalesce(text, '')").count() == 0
 
 
+def _kneser_ney(texts):
+    """The textbook model in plain Python: p(last byte | four before) of a gram."""
+    order = quality.ORDER
+    levels = {order: collections.Counter()}
+    for t in texts:
+        padded = bytes(order - 1) + t
+        levels[order].update(padded[i : i + order] for i in range(len(t)))
+    for n in range(order - 1, 0, -1):
+        levels[n] = collections.Counter(g[1:] for g in levels[n + 1])
+    found = {}
+
+    def p(gram):
+        if not gram:
+            return 1 / 256
+        if gram not in found:
+            level = levels[len(gram)]
+            often = collections.Counter(level.values())
+            d = quality.discounts(*(float(often[k]) for k in (1, 2, 3, 4)))
+            followers = {g: c for g, c in level.items() if g[:-1] == gram[:-1]}
+            total = sum(followers.values())
+            spare = sum(d[min(c, 3) - 1] for c in followers.values())
+            c = level[gram]
+            found[gram] = ((c - d[min(c, 3) - 1]) if c else 0) / total + spare / total * p(gram[1:])
+        return found[gram]
+
+    return p
+
+
+def _quantile(values, share):
+    bins = sorted(round(v / quality.BIN) for v in values)
+    return bins[max(0, math.ceil(share * len(bins)) - 1)] * quality.BIN
+
+
+@pytest.mark.parametrize("held", [16, 0])
+def test_perplexity_verdict_equals_plain_python(spark, monkeypatch, held):
+    monkeypatch.setattr(quality, "HELD", held)
+    monkeypatch.setattr(quality, "SHARD", 200)  # several files
+    monkeypatch.setattr(quality, "PENDING", 500)
+    r = random.Random(8)
+    word = lambda s: "".join(r.choice(s) for _ in range(r.randint(1, 7)))
+    texts = [(i, " ".join(word("etaoin") for _ in range(r.randint(50, 70))), r.choice(["x", "y"])) for i in range(24)]
+    texts += [(90, " ".join(word("#*$zqQ") for _ in range(60)), "x"), (91, "e " * 8, "y"), (92, "", "x"), (93, None, "y"), (94, " ".join(word("etaoiné") for _ in range(55)), None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    out = {x.doc_id: x for x in quality.judge(docs).collect()}
+    p = _kneser_ney([(t or "").encode() for _, t, _ in texts])
+    mean, spread = {}, {}
+    for i, t, _ in texts:
+        padded = bytes(quality.ORDER - 1) + (t or "").encode()
+        logs = [-math.log(p(padded[k : k + quality.ORDER])) for k in range(len(padded) - quality.ORDER + 1)]
+        mean[i] = sum(logs) / max(1, len(logs))
+        spread[i] = math.sqrt(max(0, sum(x * x for x in logs) / max(1, len(logs)) - mean[i] ** 2))
+        assert out[i].log_ppl == pytest.approx(mean[i], abs=1e-5) and out[i].spread == pytest.approx(spread[i], abs=1e-4)
+    for lang in ("x", "y", "und"):
+        own = [i for i, _, x in texts if (x or "und") == lang]
+        fit = [i for i in own if not out[i].base_failed]
+        q1, q3 = (_quantile([out[i].log_ppl for i in fit], x) for x in (0.25, 0.75))
+        mid = _quantile([out[i].spread for i in fit], 0.5)
+        dev = max(0.01, 1.4826 * _quantile([abs(out[i].spread - mid) for i in fit], 0.5))
+        for i in own:
+            wide = math.sqrt(1 + quality.SHORT / max(1, out[i].n_words))
+            reach = quality.BAND * max(0.01, q3 - q1) * wide
+            inside = q1 - reach <= out[i].log_ppl <= q3 + reach and out[i].spread <= mid + quality.SPREAD_BAND * dev * wide
+            assert (out[i].low, out[i].high) == pytest.approx((q1 - reach, q3 + reach), abs=1e-6)
+            assert out[i].kept == (not out[i].base_failed and inside)
+    assert not out[90].kept and sum(x.kept for x in out.values()) > 15
+
+
 def _brute_repeats(texts, span):
     count = collections.Counter(t[i : i + span] for t in texts for i in range(len(t) - span + 1))
     out = []
