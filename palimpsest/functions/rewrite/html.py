@@ -31,6 +31,7 @@ _SAME = {"mp_", "ln_", "mt_", ""}
 _TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</[a-zA-Z][^>]*>|<[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _RAW = {"script", "style", "textarea", "title"}
+_ENDS = {tag: re.compile(rf"(?i)</{tag}\s*>") for tag in _RAW}
 _SRCSET = re.compile(r"\s*([^\s,]\S*?)(\s+[0-9.]+[wxh])?\s*(?:,\s+|,(?=(?:https?:)?//)|(?<=[wxh]),|\Z)")
 _REFRESH = re.compile(r"([\s0-9.]+;(?:\s*url\s*=)?\s*)(['\"]?)(\S+?)(['\"]?)\s*\Z", re.I)
 
@@ -183,8 +184,8 @@ class PageRewriter:
                 out.append(self.head) if tag == "head" else out.insert(len(out) - 1, self.head)
                 placed = True
             if tag in _RAW and not closed:
-                end = re.search(rf"(?i)</{tag}\s*>", text[at:])
-                stop = at + end.start() if end else len(text)
+                end = _ENDS[tag].search(text, at)
+                stop = end.start() if end else len(text)
                 inner = text[at:stop]
                 if tag == "style":
                     inner = rewrite_css(inner, self.prefix, self.base)

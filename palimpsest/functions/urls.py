@@ -107,6 +107,33 @@ def rewriter(prefix: str, force: bool = False):  # noqa: ANN201
     return run
 
 
+def join_url(base: Column, to: Column) -> Column:
+    """``to`` resolved against ``base`` in columns only (U6): scheme-, root- and path-relative
+    references, queries and fragments alone, dot segments removed."""
+    origin = origin_of(base)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"^(.*/)", 1)
+    own, tail = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)\z", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    parts = F.split(joined, "/")
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+    walked = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, p: F.when(p == "..", up(done)).when(p == ".", done).otherwise(F.concat(done, F.array(p))),
+    )
+    ends = F.element_at(parts, -1).isin(".", "..")
+    clean = F.when(joined.contains("/."), F.concat(F.array_join(walked, "/"), F.when(ends, "/").otherwise(""))).otherwise(joined)
+    bare = F.substring_index(base, "#", 1)
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), to))
+        .when(to == "", bare)
+        .when(to.startswith("#"), F.concat(bare, to))
+        .when(to.startswith("?"), F.concat(origin, F.when(path == "", "/").otherwise(path), to))
+        .otherwise(F.concat(origin, clean, tail))
+    )
+
+
 def unrewrite(url: Column, prefix: str) -> Column:
     """The archived URL behind a rewritten one."""
     return F.when(url.startswith(prefix), F.substring(url, len(prefix) + 1, 1 << 20)).otherwise(url)

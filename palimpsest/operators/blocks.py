@@ -6,42 +6,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.urls import surt
+from palimpsest.session import durable
 
 MAX_BLOCKS = 7
 LAST = "\U0010ffff"
 
 
-def with_upper(blocks: DataFrame) -> DataFrame:
-    """Blocks with ``upper``, the first key of the next block of the archive."""
-    w = Window.partitionBy("archive").orderBy("prefix")
-    return blocks.withColumn("upper", F.coalesce(F.lead("prefix").over(w), F.lit(LAST)))
+def running(rows: DataFrame, key: str, order: list[str], counted: Column, out: str) -> DataFrame:
+    """``rows`` with ``out``: the sum of ``counted`` over the rows of the key up to this one in ``order``.
+
+    Rows are range-partitioned by key and order and counted within partitions;
+    what earlier partitions hold of the key comes from one row a partition, so
+    a key with a third of all rows is counted by many tasks.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written before use: the ranges are sampled once, and both readers see the same parts
+    parts = durable(rows.withColumn("_one", counted.cast("long")).repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id()))
+    total = parts.groupBy(key, "_part").agg(F.sum("_one").alias("_n"))
+    along = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most n rows of a key
+    before = total.select(key, "_part", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+    here = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.withColumn("_local", F.sum("_one").over(here)).join(before, [key, "_part"]).withColumn(out, F.col("_local") + F.col("_before")).drop("_one", "_part", "_local", "_before")
 
 
 def candidate_blocks(blocks: DataFrame, requests: DataFrame, key: Column | None = None, as_prefix: bool = False) -> DataFrame:
     """(request, block) for blocks whose keys may hold the request's.
 
     A block holds the keys from its prefix up to the next block's. Keys of a
-    request run from its match key to its upper key. Requests and blocks are
-    put in key order within an archive and each request's range of block
-    numbers is read off with running counts: no pair that does not match is
-    ever built.
+    request run from its match key to its upper key. The different keys and the
+    blocks of an archive are put in order and each key's range of block numbers
+    is read off running counts: no pair that does not match is ever built, and
+    a key that many requests share is counted once.
     """
     k = surt(F.col("url")) if key is None else key
     low = k if not as_prefix else F.substring_index(k, "?", 1)
     high = F.concat(k, F.lit(" 9999")) if not as_prefix else F.concat(low, F.lit(LAST))
     req = requests.select("*", low.alias("_low"), high.alias("_high"))
-    order = Window.partitionBy("archive").orderBy("prefix")
-    numbered = blocks.withColumn("_nth", F.row_number().over(order))
-    marks = numbered.select("archive", F.col("prefix").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("req_id"), F.lit(1).alias("_one"))
+    keys = req.select("archive", "_low", "_high").distinct()
+    marks = blocks.select("archive", F.col("prefix").alias("_at"), F.lit(0).alias("_kind"), F.lit("").alias("_low"), F.lit("").alias("_high"))
     for kind, c in ((1, "_low"), (2, "_high")):
-        marks = marks.unionByName(req.select("archive", F.col(c).alias("_at"), F.lit(kind).alias("_kind"), F.col("req_id").cast("long").alias("req_id"), F.lit(0).alias("_one")))
-    run = Window.partitionBy("archive").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    counted = marks.withColumn("_n", F.sum("_one").over(run)).where("_kind > 0")
+        marks = marks.unionByName(keys.select("archive", F.col(c).alias("_at"), F.lit(kind).alias("_kind"), "_low", "_high"))
+    counted = durable(running(marks, "archive", ["_at", "_kind"], F.col("_kind") == 0, "_n"))
+    numbered = counted.where("_kind = 0").select("archive", F.col("_at").alias("prefix"), F.col("_n").alias("_nth"))
     # the last block at or before the low key may hold it; a block that starts there keeps its forerunner too
-    span = counted.groupBy("archive", "req_id").agg(F.max(F.when(F.col("_kind") == 1, F.col("_n"))).alias("_lo"), F.max(F.when(F.col("_kind") == 2, F.col("_n"))).alias("_hi"))
-    wanted = span.where("_hi >= greatest(_lo, 1)").select("archive", "req_id", F.explode(F.sequence(F.greatest("_lo", F.lit(1)), F.col("_hi"))).alias("_nth"))
-    hit = wanted.join(numbered, ["archive", "_nth"]).drop("_nth")
-    return req.drop("_low", "_high").join(hit, ["archive", "req_id"])
+    span = counted.where("_kind > 0").groupBy("archive", "_low", "_high").agg(F.max(F.when(F.col("_kind") == 1, F.col("_n"))).alias("_lo"), F.max(F.when(F.col("_kind") == 2, F.col("_n"))).alias("_hi"))
+    wanted = span.where("_hi >= greatest(_lo, 1)").select("archive", "_low", "_high", F.explode(F.sequence(F.greatest("_lo", F.lit(1)), F.col("_hi"))).alias("_nth"))
+    hit = wanted.join(numbered, ["archive", "_nth"]).drop("_nth").join(blocks, ["archive", "prefix"])
+    return req.join(hit, ["archive", "_low", "_high"]).drop("_low", "_high")
 
 
 def nearest_blocks(found: DataFrame, block_ts: Column, limit: int = MAX_BLOCKS) -> DataFrame:

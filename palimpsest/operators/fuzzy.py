@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.fuzzy_match import RULES, Candidate, FuzzyRule, best_match, rule_for
 
-#: Candidates of one prefix that one task scores at a time.
-MAX_CANDIDATES = 128_000
+#: Shares in which a request meets the captures of its prefix.
+SALTS = 8
 
 
 def _route(rules: tuple[FuzzyRule, ...]):  # noqa: ANN202
@@ -64,19 +64,27 @@ def best_matches(requests: DataFrame, captures: DataFrame, rules: tuple[FuzzyRul
     asked = asked.where((F.col("rule") >= 0) | (F.col("prefix") != F.col("url")) | (F.col("canon") != F.col("url")) | F.col("url").endswith("?"))
     cuts = F.array_distinct(F.array(F.regexp_extract("url", r"^([^?]*\?)", 1), F.col("url"), F.regexp_replace("url", r"[?#].*", "?"), F.substring_index("url", "?", 1), *_own_cuts(rules)))
     held = captures.select(F.col("url").alias("hit_url"), "status", F.col("ts_ms").alias("hit_ts_ms"), F.explode(cuts).alias("prefix")).where("prefix <> ''")
-    met = asked.join(held, "prefix")
-    n = asked.join(held.groupBy("prefix").agg(F.count("*").alias("_n")), "prefix").select("req_id", "_n")
-    met = met.join(n, "req_id").withColumn("_many", F.col("_n") > 2)
+    many = held.groupBy("prefix").agg((F.count("*") > 2).alias("_many"))  # told to the requests before the pairs are made
+    met = _salted(asked.join(many, "prefix"), held, "prefix")
     scored = met.withColumn("score", _scorer(rules)("url", "hit_url", "status", "rule", "_many")).where("score is not null")
     # an exact capture of the canonical URL settles the matter: the newest
     newest = captures.groupBy(F.col("url").alias("canon")).agg(F.max("ts_ms").alias("hit_ts_ms"))
     exact = asked.where(F.col("canon") != F.col("url")).join(newest, "canon").select("req_id", "url", F.col("canon").alias("hit_url"), "hit_ts_ms", F.lit(2e18).alias("score"))
-    scored = scored.select("req_id", "url", "hit_url", "hit_ts_ms", "score").unionByName(exact)
-    best = scored.groupBy("req_id", "url").agg(F.max(F.struct("score", F.expr("-hit_ts_ms").alias("_t"), "hit_url")).alias("_b"))
-    return best.select("req_id", "url", F.col("_b.hit_url").alias("hit_url"), (-F.col("_b._t")).alias("hit_ts_ms"), F.round("_b.score", 6).alias("score"))
+    return first_in_order(scored.select("req_id", "url", "hit_url", "hit_ts_ms", "score").unionByName(exact)).withColumn("score", F.round("score", 6))
+
+
+def _salted(asked: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Equi-join in which every request meets its candidates in SALTS shares, so that a prefix with
+    a third of all captures is not one task's work."""
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt")
+    right = held.withColumn("_salt", F.pmod(F.xxhash64("hit_url", "hit_ts_ms"), F.lit(SALTS)).cast("int"))
+    return asked.select("*", salts).join(right, [key, "_salt"]).drop("_salt")
 
 
 def first_in_order(scored: DataFrame) -> DataFrame:
-    """Of each request's candidates the best score, of equals the first by URL and time."""
-    w = Window.partitionBy("req_id").orderBy(F.desc("score"), "hit_url", "hit_ts_ms")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Of each request's candidates the best score, of equals the first by URL, then by time.
+
+    An aggregate with map-side combination: no window over a request's candidates.
+    """
+    best = scored.groupBy("req_id", "url").agg(F.min(F.struct((-F.col("score")).alias("_s"), "hit_url", "hit_ts_ms")).alias("_b"))
+    return best.select("req_id", "url", F.col("_b.hit_url").alias("hit_url"), F.col("_b.hit_ts_ms").alias("hit_ts_ms"), (-F.col("_b._s")).alias("score"))

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.urls import join_url
+
 #: Width of a time bucket: one day.
 BUCKET_MS = 86_400_000
 LOOK_AHEAD_MS = 10_000
@@ -23,19 +25,12 @@ MAX_MS = 253_370_764_800_000  # beyond any capture; stands for "no time given"
 def skip_capture(skip5xx: bool = False, c: str = "") -> Column:
     """Captures that a lookup passes over: redirects to themselves and, on demand, 5xx.
 
-    A redirect without a Location counts as one to itself. Relative Locations
-    are compared after joining with the origin.
+    A redirect without a Location counts as one to itself; relative Locations
+    are resolved first.
     """
     col = lambda n: F.col(f"{c}.{n}" if c else n)
     status, url, to = col("status"), col("url"), F.coalesce(col("location"), F.lit(""))
-    origin = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    full = (
-        F.when(to == "", url)
-        .when(to.startswith("//"), F.concat(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), to))
-        .when(to.startswith("/"), F.concat(origin, to))
-        .otherwise(to)
-    )
-    loop = (status >= 300) & (status < 400) & (full == url)
+    loop = (status >= 300) & (status < 400) & ((to == "") | (join_url(url, to) == url))
     return F.coalesce(loop | (status >= 500) if skip5xx else loop, F.lit(False))
 
 

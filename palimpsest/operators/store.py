@@ -56,11 +56,13 @@ def first_of_digest(captures: DataFrame, seq: str, digest: str = "digest") -> Da
     """``captures`` with is_new: whether the row is the first of its digest (A10).
 
     A join with the least ``seq`` of each digest, which is combined on the map
-    side; a digest that a third of the rows share is not gathered.
+    side; rows without a digest are new and take no part, and a digest that a
+    third of the rows share is split by adaptive execution.
     """
-    first = captures.groupBy(digest).agg(F.min(seq).alias("_first"))
-    joined = captures.join(first, captures[digest].eqNullSafe(first[digest]), "left").drop(first[digest])
-    return joined.withColumn("is_new", F.col(digest).isNull() | (F.col(seq) == F.col("_first"))).drop("_first")
+    known = captures.where(F.col(digest).isNotNull())
+    first = known.groupBy(digest).agg(F.min(seq).alias("_first"))
+    told = known.join(first, digest).withColumn("is_new", F.col(seq) == F.col("_first")).select(*captures.columns, "is_new")
+    return told.unionByName(captures.where(F.col(digest).isNull()).withColumn("is_new", F.lit(True)))
 
 
 def dedup_savings(captures: DataFrame, size: Column, digest: str = "digest") -> DataFrame:
