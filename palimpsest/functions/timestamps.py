@@ -27,15 +27,18 @@ def ms_to_ts14(ms: Column) -> Column:
 
 
 def ts_to_ms(digits: Column) -> Column:
-    """Epoch milliseconds of a full or partial stamp; null for '' and non-digits (D3).
+    """Epoch milliseconds of a full or partial stamp; null for '', non-digits and days or hours that don't exist (D3).
 
     Missing digits come from January the first, midnight.
     """
     full = F.concat(digits, F.substring(F.lit(_FILL), F.length(digits) + 1, F.lit(17)))
-    num = lambda a, n: F.substring(full, a, n).cast("int")
-    day = F.unix_date(F.make_date(num(1, 4), num(5, 2), num(7, 2))).cast("long")
+    num = lambda a, n: F.substring(full, a, n).try_cast("int")
+    month, of_month = num(5, 2), num(7, 2)
+    first = F.when(month.between(1, 12), F.make_date(num(1, 4), month, F.lit(1)))
+    day = F.when(of_month.between(1, F.dayofmonth(F.last_day(first))), F.unix_date(first) + of_month - 1).cast("long")
+    clock = (num(9, 2) < 24) & (num(11, 2) < 60) & (num(13, 2) < 60)
     ms = ((day * 24 + num(9, 2)) * 60 + num(11, 2)) * 60 + num(13, 2)
-    return F.when(digits.rlike(r"^[0-9]{4,17}\z"), ms * 1000 + num(15, 3))
+    return F.when(digits.rlike(r"^[0-9]{4,17}\z") & clock, ms * 1000 + num(15, 3))
 
 
 def ms_to_seconds(ms: Column) -> Column:

@@ -256,3 +256,21 @@ def truncate_query(url: str, total: int = 8192, each: int = 1024, key: int = 512
         k, eq, v = part.partition("=")
         out.append(k[:key] + eq + v[:each])
     return (head + "?" + "&".join(out))[:total]
+
+
+def rewrite_by_patterns(url: Column, patterns: list[tuple[str, str]]) -> Column:
+    """What the first pattern that changes the URL makes of it; null if none does."""
+    tried = [F.regexp_replace(url, p, new) for p, new in patterns]
+    return F.coalesce(*(F.when(t != url, t) for t in tried), F.lit(None).cast("string"))
+
+
+def short_id(*parts: Column, size: int = 24) -> Column:
+    """An identifier of hexadecimal digits that depends on ``parts`` only (U17), so that retried tasks agree."""
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, size)
+
+
+@F.pandas_udf(T.StringType())
+def post_urls(url: pd.Series, body: pd.Series, mime: pd.Series, method: pd.Series) -> pd.Series:
+    """URLs of requests with a body, the body's fields appended and cut to length (U9, SC10)."""
+    rows = zip(url, body, mime, method, strict=True)
+    return pd.Series([None if u is None else truncate_query(post_query(u, b or "", m or "application/x-www-form-urlencoded", v or "POST")) for u, b, m, v in rows])

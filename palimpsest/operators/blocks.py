@@ -75,3 +75,35 @@ def first_archive(primary: DataFrame, fallback: DataFrame, req_id: str = "req_id
     """Hits of the own archive, else of those it depends on."""
     other = fallback.select(req_id, F.col("hit").alias("_other"))
     return primary.join(other, req_id, "left").withColumn("hit", F.coalesce("hit", "_other")).drop("_other")
+
+
+def blocks_to_load(found: DataFrame) -> DataFrame:
+    """Blocks that any request needs and nobody loaded yet, each once."""
+    return found.where("not coalesce(loaded, false)").groupBy("archive", "prefix").agg(F.count("*").alias("asked"))
+
+
+def archives_to_try(requests: DataFrame, pages: DataFrame, archives: DataFrame, cap: int = 3) -> DataFrame:
+    """(req_id, archive) in the order of L17: archives with a page of the URL, then one without its
+    leading www., then seed archives of the request's crawl, else any; the first kind that has any, ``cap`` at most.
+
+    Archives by crawl and all archives are cut to ``cap`` before they meet requests.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^(https?://)www\.", "$1")
+    known = pages.select(F.col("url").alias("_u"), "archive").distinct()
+    exact = requests.join(known, requests["url"] == known["_u"]).select("req_id", "archive", F.lit(0).alias("kind"))
+    www = requests.where(bare(F.col("url")) != F.col("url")).select("req_id", bare(F.col("url")).alias("_u"))
+    near = www.join(known, "_u").select("req_id", "archive", F.lit(1).alias("kind"))
+    first = lambda rows, by: rows.groupBy(*by).agg(F.slice(F.array_sort(F.collect_set("name")), 1, cap).alias("_names"))
+    seeds = first(archives.where("has_seed"), ["crawl_id"])
+    crawl = requests.where("crawl_id is not null").join(seeds, "crawl_id").select("req_id", F.explode("_names").alias("archive"), F.lit(2).alias("kind"))
+    every = requests.crossJoin(F.broadcast(first(archives, []))).select("req_id", F.explode("_names").alias("archive"), F.lit(3).alias("kind"))  # one row of names
+    tried = exact.unionByName(near).unionByName(crawl).unionByName(every)
+    best = tried.groupBy("req_id").agg(F.min("kind").alias("kind"))
+    w = Window.partitionBy("req_id").orderBy("archive")
+    return tried.join(best, ["req_id", "kind"]).distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+
+
+def search_archives(first: DataFrame, others: DataFrame, key: str = "query_id") -> DataFrame:
+    """Rows of the archives that are loaded; of queries that found nothing there, those of all others."""
+    answered = first.select(key).distinct()
+    return first.unionByName(others.join(answered, key, "left_anti"))

@@ -27,6 +27,11 @@ def _route(rules: tuple[FuzzyRule, ...]):  # noqa: ANN202
     return run
 
 
+def routed(url: Column, rules: tuple[FuzzyRule, ...] = RULES) -> Column:
+    """rule (its number, -1 for none), prefix of candidates and canonical URL of requests."""
+    return _route(rules)(url)
+
+
 def _scorer(rules: tuple[FuzzyRule, ...]):  # noqa: ANN202
     @F.pandas_udf(T.DoubleType())
     def run(url: pd.Series, candidate: pd.Series, status: pd.Series, rule: pd.Series, crowded: pd.Series) -> pd.Series:

@@ -84,3 +84,34 @@ def pages_matching(pages: DataFrame, search: str = "", page: int = 1, size: int
                 hit = hit | F.coalesce(F.contains(F.lower(k), F.lit(search.lower())), F.lit(False))
         pages = pages.where(hit)
     return pages.orderBy("ts_ms", "id").offset((page - 1) * size).limit(size)
+
+
+def pages_by(pages: DataFrame, url: str | None = None, ids: DataFrame | None = None, state: int | None = None) -> DataFrame:
+    """Pages of a URL, of given ids (a table), of a state, or all."""
+    if url is not None:
+        pages = pages.where(F.col("url") == url)
+    if ids is not None:
+        pages = pages.join(ids.select(F.col(ids.columns[0]).alias("id")).distinct(), "id", "left_semi")
+    return pages if state is None else pages.where(F.col("state") == state)
+
+
+def store_counts(lists: DataFrame, pages: DataFrame) -> DataFrame:
+    """Numbers of page lists and of pages (A6), one row."""
+    return lists.agg(F.count("*").alias("n_lists")).crossJoin(pages.agg(F.count("*").alias("n_pages")))  # one row each
+
+
+def without_excluded(rows: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Rows whose URL starts with none of the excluded prefixes; null URLs stay."""
+    from palimpsest.functions.predicates import starts_with_any
+
+    return rows.where(~F.coalesce(starts_with_any(F.col("url"), prefixes), F.lit(False)))
+
+
+def json_rows(rows: DataFrame) -> DataFrame:
+    """Rows as the JSON objects of an API response (SK11); null fields are left out."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+def text_index(pages: DataFrame) -> DataFrame:
+    """(url, title, ts_ms, text) of all pages that carry text, as a search index is filled (SC28)."""
+    return pages.where("text is not null and text <> ''").select("url", "title", "ts_ms", "text")

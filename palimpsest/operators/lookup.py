@@ -199,3 +199,33 @@ def with_payload(found: DataFrame, payloads: DataFrame, digest: str = "digest")
     none = F.col("status").isin(*NULL_BODY)
     out = joined.withColumns({"payload": body, "complete": none | body.isNotNull()}).drop("_d", "_p")
     return out.where("complete").drop("complete")
+
+
+def resolve(requests: DataFrame, captures: DataFrame, payloads: DataFrame, columns: list[str], options: Options = Options()) -> DataFrame:
+    """The whole way of a request (L20): schemes in turn, as-of capture, else the most similar URL,
+    the original of a redirect, and its payload.
+
+    ``requests`` hold req_id, url and ts_ms. Returns req_id, asked, url (found under), fuzzy, the
+    capture's columns and payload; requests without a complete capture are left out.
+    """
+    from palimpsest.operators.fuzzy import best_matches
+    from palimpsest.session import durable
+
+    plain = durable(with_scheme_fallback(requests, captures, columns, "req_id", options))
+    missed = plain.where("hit is null").select("req_id", F.col("asked").alias("url"))
+    like = best_matches(missed, captures).select("req_id", F.col("url").alias("asked"), F.col("hit_url").alias("url"))
+    again = like.join(requests.select("req_id", "ts_ms"), "req_id")
+    fuzzy = lookup(again, captures, columns, options).where("hit is not null").select("req_id", "asked", "url", "hit", F.lit(True).alias("fuzzy"))
+    found = plain.where("hit is not null").select("req_id", "asked", "url", "hit", F.lit(False).alias("fuzzy")).unionByName(fuzzy)
+    if "orig_url" in columns:
+        found = follow_origin(found.join(requests.select("req_id", "ts_ms"), "req_id"), captures, columns, "req_id").drop("ts_ms")
+    return with_payload(found.select("req_id", "asked", "url", "fuzzy", "hit.*"), payloads)
+
+
+def nearest_page(requests: DataFrame, pages: DataFrame, columns: list[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """``requests`` with ``hit``: the first page less than a second away, else the nearest."""
+    close = union_rows(requests.withColumns({"_at": F.col("ts_ms"), "ts_ms": F.col("ts_ms") - 999}), pages, columns, F.lit(False))
+    close = carry(close, "_key", "_t", "_cap", "_close", forward=True, bucket_ms=bucket_ms).where("_req is not null")
+    within = F.col("_close.ts_ms") - F.col("_req._at") < 1000
+    early = close.select("_req.*", F.when(within, F.col("_close")).alias("_early")).withColumn("ts_ms", F.col("_at")).drop("_at")
+    return nearest(early, pages, columns, bucket_ms=bucket_ms).withColumn("hit", F.coalesce("_early", "hit")).drop("_early")

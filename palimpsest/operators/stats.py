@@ -56,3 +56,8 @@ def referrer_top(requests: DataFrame, levels: int = 4) -> DataFrame:
         step = up.select(F.col("url").alias("_at"), "_up")
         out = out.join(step, out["top"] == step["_at"], "left").withColumn("top", F.coalesce("_up", "top")).drop("_at", "_up")
     return out
+
+
+def property_pivot(rows: DataFrame, names: list[str]) -> DataFrame:
+    """One row with a column of each named verification property: its expected value (A5)."""
+    return rows.agg(*(F.max(F.when(F.col("id") == n, F.col("expected"))).alias(n) for n in names))

@@ -142,3 +142,27 @@ def pair_adjacent(records: DataFrame, group: str, order: str, left: Column, righ
     fresh = (F.col("_k").isNull() | F.col("_p").isNull() | (F.col("_k") == F.col("_p"))).cast("int")
     runs = tagged.withColumn("_run", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.withColumn("_nth", F.row_number().over(Window.partitionBy(group, "_run").orderBy(order)) - 1).withColumn("pair", F.floor(F.col("_nth") / 2)).drop("_k", "_p", "_nth")
+
+
+def commit_payloads(payloads: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Payload table with bodies loaded on demand; one row a digest, those already there stay (SK7)."""
+    new = loaded.where("digest is not null and payload is not null").groupBy("digest").agg(F.min("payload").alias("payload"))
+    return payloads.select("digest", "payload").unionByName(new.join(payloads.select("digest"), "digest", "left_anti"))
+
+
+def cleared(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every table of a store emptied, schema kept (SK8)."""
+    return {name: t.limit(0) for name, t in tables.items()}
+
+
+def migrate_curated(curated: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows of page lists with the page's own columns where its id is known, else what the row held."""
+    known = pages.select(F.col("id").alias("page"), F.col("url").alias("_url"), F.col("title").alias("_title"), F.col("ts_ms").alias("_ts"))
+    out = curated.join(known, "page", "left")
+    return out.withColumns({"url": F.coalesce("_url", "url"), "title": F.coalesce("_title", "title"), "ts_ms": F.coalesce("_ts", "ts_ms")}).drop("_url", "_title", "_ts")
+
+
+def pages_with_text(pages: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pages with the text of the record of their URL and time (J16); of several the greatest."""
+    by = texts.groupBy("url", "ts_ms").agg(F.max("text").alias("text"))
+    return pages.drop("text").join(by, ["url", "ts_ms"], "left")

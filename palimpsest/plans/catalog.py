@@ -97,9 +97,9 @@ def match_any_exact(spark, d):
 
 
 @register(f"""WITH {CAPS} SELECT event_id, url FROM caps c WHERE EXISTS (
-  SELECT 1 FROM (SELECT DISTINCT 'https://u' || (o_custkey % 40) || '.' AS p FROM orders WHERE o_orderkey % 9 = 0) k WHERE starts_with(c.url, k.p))""")
+  SELECT 1 FROM (SELECT DISTINCT 'https://u' || (o_custkey % 40) || '.' AS p FROM orders) k WHERE starts_with(c.url, k.p))""")
 def match_any_prefix(spark, d):
-    keys = table(spark, d, "orders").where("o_orderkey % 9 = 0").select(F.expr("concat('https://u', o_custkey % 40, '.')").alias("p"))
+    keys = table(spark, d, "orders").select(F.expr("concat('https://u', o_custkey % 40, '.')").alias("p"))
     return listing.match_any(caps(spark, d), "url", keys, as_prefix=True).select("event_id", "url")
 
 
@@ -305,12 +305,12 @@ def curated_lists(spark, d):
 
 
 _BLOCKS = """b AS (SELECT 'a' || (n % 3) AS archive, prefix, row_number() OVER (ORDER BY prefix) * 1000 AS block_ts, n FROM (
-  SELECT DISTINCT 'com,example,u' || o_custkey || ')/' AS prefix, o_custkey % 3 AS n FROM orders WHERE o_custkey % 4 = 0))"""
+  SELECT DISTINCT 'com,example,u' || o_custkey || ')/' AS prefix, o_custkey % 3 AS n FROM orders))"""
 _BLOCK_REQS = "q AS (SELECT event_id AS req_id, 'a' || (event_id % 3) AS archive, 'com,example,u' || user_id || ')/' || event_type AS key, CAST(event_id AS BIGINT) * 10 AS ts_ms FROM events)"
 
 
 def _block_tables(spark, d):
-    b = table(spark, d, "orders").where("o_custkey % 4 = 0").select(F.expr("concat('com,example,u', o_custkey, ')/')").alias("prefix"), F.expr("concat('a', o_custkey % 3)").alias("archive")).distinct()
+    b = table(spark, d, "orders").select(F.expr("concat('com,example,u', o_custkey, ')/')").alias("prefix"), F.expr("concat('a', o_custkey % 3)").alias("archive")).distinct()
     q = table(spark, d, "events").select(
         F.col("event_id").alias("req_id"), F.expr("concat('a', event_id % 3)").alias("archive"), F.expr("concat('com,example,u', user_id, ')/', event_type)").alias("key"), (F.col("event_id") * 10).alias("ts_ms")
     )
@@ -374,12 +374,11 @@ def ts14_format(spark, d):
 
 @register("""WITH e AS (SELECT event_id, left(strftime(ts, '%Y%m%d%H%M%S') || '000', CAST(4 + event_id % 14 AS INTEGER)) AS t FROM events),
 f AS (SELECT event_id, t, t || right('00000101000000000', 17 - length(t)) AS full17 FROM e)
-SELECT event_id, t, epoch_us(strptime(left(full17, 14), '%Y%m%d%H%M%S')) // 1000 + CAST(right(full17, 3) AS BIGINT) AS ts_ms FROM f
-WHERE substr(full17, 5, 2) <> '00' AND substr(full17, 7, 2) <> '00' AND length(t) NOT IN (5, 7)""")
+SELECT event_id, t, epoch_us(try_strptime(left(full17, 14), '%Y%m%d%H%M%S')) // 1000 + CAST(right(full17, 3) AS BIGINT) AS ts_ms FROM f""")
 def ts14_parse(spark, d):
+    """Stamps cut anywhere; those that name no day have no time."""
     t = F.expr("left(concat(date_format(ts, 'yyyyMMddHHmmss'), '000'), cast(4 + event_id % 14 as int))")
-    rows = table(spark, d, "events").select("event_id", t.alias("t")).where("length(t) not in (5, 7)")
-    return rows.withColumn("ts_ms", D.ts_to_ms(F.col("t"))).where("ts_ms is not null")
+    return table(spark, d, "events").select("event_id", t.alias("t")).withColumn("ts_ms", D.ts_to_ms(F.col("t")))
 
 
 @register(f"""WITH {CAPS}, p AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ':p' || page_id || '/' ELSE '' END ||
@@ -400,24 +399,41 @@ _SURT = r"""array_to_string(list_reverse(string_split(regexp_replace(regexp_extr
        THEN '/' || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) ELSE regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) END"""
 
 
-@register(f"SELECT page_id, lower({_SURT}) AS surt FROM pages WHERE url IS NOT NULL")
+@register(f"SELECT page_id, lower({_SURT}) AS surt FROM pages")
 def surt_key(spark, d):
-    return table(spark, d, "pages").where("url is not null").select("page_id", U.surt(F.col("url")).alias("surt"))
+    return table(spark, d, "pages").select("page_id", U.surt(F.col("url")).alias("surt"))
 
 
-_BUSTER = r"(?i)([?&])(?:utm_[a-z]+|_|cb|ref)=[^&#]*"
+@register(r"""WITH u AS (SELECT page_id, url, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=a' || page_id || '&v=1' AS asked FROM pages)
+SELECT page_id, asked, regexp_replace(asked, '([?&])utm_[a-z]+=[^&]*(&|$)', '\1\2') AS canon, left(asked, strpos(asked, '?')) AS prefix FROM u""")
+def cache_buster_strip(spark, d):
+    """The rule for arguments that only defeat caches, as the lookup routes requests by it."""
+    from palimpsest.operators.fuzzy import routed
 
+    asked = F.concat("url", F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("utm_source=a"), "page_id", F.lit("&v=1"))
+    pages = table(spark, d, "pages").select("page_id", asked.alias("asked"))
+    return pages.withColumn("_r", routed(F.col("asked"))).select("page_id", "asked", F.col("_r.canon").alias("canon"), F.when(F.col("asked").isNotNull(), F.col("_r.prefix")).alias("prefix")).withColumn("canon", F.when(F.col("asked").isNotNull(), F.col("canon")))
 
-@register(r"""SELECT page_id, regexp_replace(regexp_replace(url, '([?&])(?:utm_[a-z]+|_|cb|ref)=[^&#]*', '\1', 'g'), '[?&]+(#|$)', '\1') AS canon FROM pages WHERE url IS NOT NULL""")
-def cache_buster_strip(spark, d):
-    u = F.regexp_replace("url", _BUSTER, "$1")
-    return table(spark, d, "pages").where("url is not null").select("page_id", F.regexp_replace(u, r"[?&]+(#|\z)", "$1").alias("canon"))
+
+_KINDS = """SELECT event_id, 'https://' || CASE event_id % 6 WHEN 0 THEN 'www.youtube.com/embed/v' || user_id || '?rel=0'
+  WHEN 1 THEN 'lh3.googleusercontent.com/p' || user_id || '=s' || event_id WHEN 2 THEN 'x.example.com/lib' || user_id || '.js?v=' || event_id
+  WHEN 3 THEN 'static.example.com/resizer/' || event_id || '/10x10/i' || user_id || '.png' WHEN 4 THEN 'mobile.twitter.com/u' || user_id || '/status/' || event_id || '?s=20'
+  ELSE 'plain.example.com/p' || user_id END AS url FROM events"""
 
 
-@register(r"""SELECT page_id, regexp_replace(url, '(\.html)[?].*', '\1') AS canon, url[:strpos(url || '?', '?')] AS prefix FROM pages WHERE url IS NOT NULL""")
+@register(f"""WITH u AS ({_KINDS})
+SELECT event_id, url, CASE event_id % 6 WHEN 0 THEN left(url, strpos(url, '?') - 1) WHEN 1 THEN left(url, strpos(url, '=s') - 1) WHEN 2 THEN left(url, strpos(url, '?') - 1)
+  WHEN 3 THEN regexp_replace(url, '/resizer/[^/]+/[0-9x]+/', '/resizer/') WHEN 4 THEN left(url, strpos(url, '?') - 1) ELSE url END AS canon,
+  CASE event_id % 6 WHEN 1 THEN left(url, strpos(url, '=s') + 1) WHEN 3 THEN left(url, strpos(url, '/resizer/') + 8) WHEN 5 THEN url ELSE left(url, strpos(url, '?')) END AS prefix FROM u""")
 def fuzzy_canonical(spark, d):
-    pages = table(spark, d, "pages").where("url is not null")
-    return pages.select("page_id", F.regexp_replace("url", r"(\.html)[?].*", "$1").alias("canon"), F.expr("substring(url, 1, locate('?', concat(url, '?')))").alias("prefix"))
+    """URLs of five kinds of rules, and of none, through the rule table."""
+    from palimpsest.operators.fuzzy import routed
+
+    url = F.expr("""concat('https://', case event_id % 6 when 0 then concat('www.youtube.com/embed/v', user_id, '?rel=0') when 1 then concat('lh3.googleusercontent.com/p', user_id, '=s', event_id)
+      when 2 then concat('x.example.com/lib', user_id, '.js?v=', event_id) when 3 then concat('static.example.com/resizer/', event_id, '/10x10/i', user_id, '.png')
+      when 4 then concat('mobile.twitter.com/u', user_id, '/status/', event_id, '?s=20') else concat('plain.example.com/p', user_id) end)""")
+    rows = table(spark, d, "events").select("event_id", url.alias("url"))
+    return rows.withColumn("_r", routed(F.col("url"))).select("event_id", "url", "_r.canon", "_r.prefix")
 
 
 @register(f"""WITH {CAPS} SELECT event_id, url, CAST(NULL AS VARCHAR) AS orig_url FROM caps
@@ -426,20 +442,20 @@ def fuzzy_twin_rows(spark, d):
     return store.fuzzy_twins(caps(spark, d), F.regexp_replace("url", r"/(view|click)\z", "/page")).select("event_id", "url", "orig_url")
 
 
-@register("""SELECT p.p_partkey, greatest(0, least(length(p.p_name), length(s.s_name)) - levenshtein(p.p_name, s.s_name)) AS score
-FROM part p JOIN supplier s ON p.p_partkey = s.s_suppkey""")
+@register("""SELECT p_partkey, n_nationkey, CAST(greatest(0, least(length(p_name), length(n_name)) - levenshtein(p_name, n_name)) AS BIGINT) AS score
+FROM part JOIN nation ON p_partkey % 25 = n_nationkey""")
 def lev_score(spark, d):
-    p, s = table(spark, d, "part"), table(spark, d, "supplier")
-    return p.join(s, p.p_partkey == s.s_suppkey).select("p_partkey", U.lev_score(F.col("p_name"), F.col("s_name")).cast("long").alias("score"))
+    p, n = table(spark, d, "part"), table(spark, d, "nation")
+    return p.join(n, F.expr("p_partkey % 25 = n_nationkey")).select("p_partkey", "n_nationkey", U.lev_score(F.col("p_name"), F.col("n_name")).cast("long").alias("score"))
 
 
 _HREFS = "(SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)"
 
 
 @register(f"""SELECT page_id, href, CASE WHEN starts_with(href, '/') THEN '/coll/20200101000000mp_/' || regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href
-  WHEN starts_with(href, 'http://') OR starts_with(href, 'https://') THEN '{PREFIX}' || href ELSE href END AS rewritten FROM {_HREFS} WHERE url IS NOT NULL""")
+  WHEN starts_with(href, 'http://') OR starts_with(href, 'https://') THEN '{PREFIX}' || href ELSE href END AS rewritten FROM {_HREFS}""")
 def rewrite_links(spark, d):
-    links = table(spark, d, "pages").where("url is not null").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+    links = table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
     return links.select("page_id", "href", U.rewrite_links(F.col("href"), PREFIX, U.origin_of(F.col("url"))).alias("rewritten"))
 
 
@@ -472,9 +488,9 @@ def rewrite_headers(spark, d):
     return rows.groupBy("name", H.policy(F.col("name")).alias("policy")).agg(F.count("*").alias("n"))
 
 
-@register(f"SELECT page_id, '<{PREFIX}' || url || '>; rel=preload; as=script' AS link FROM pages WHERE url IS NOT NULL AND NOT contains(url, '>')")
+@register(f"SELECT page_id, '<' || CASE WHEN regexp_matches(url, '^https?://') THEN '{PREFIX}' ELSE '' END || url || '>; rel=preload; as=script' AS link FROM pages")
 def link_header(spark, d):
-    rows = table(spark, d, "pages").where("url is not null and not contains(url, '>')")
+    rows = table(spark, d, "pages")
     return rows.select("page_id", H.link_column(F.concat(F.lit("<"), F.col("url"), F.lit(">; rel=preload; as=script")), PREFIX).alias("link"))
 
 
@@ -495,8 +511,6 @@ r AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY
 SELECT conv_id, turn, CAST(run AS BIGINT) AS run, CAST((row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1) // 2 AS BIGINT) AS pair FROM r""")
 def record_pairing(spark, d):
     rows = table(spark, d, "conversations")
-    first = rows.where("role in ('user', 'system')")
-    del first
     out = store.pair_adjacent(rows, "conv_id", "turn", F.col("role") == "user", F.col("role") != "user")
     return out.select("conv_id", "turn", F.col("_run").alias("run"), "pair")
 
@@ -554,11 +568,11 @@ def payload_replay(spark, d):
 
 
 _VARIANTS = """v AS (SELECT e.event_id, n, (320 << n) + k AS w, (200 << n) AS h, 100000 * (n + 1) + k AS rate
-  FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id % 5 = 0) e, unnest([0, 1, 2]) t(n))"""
+  FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) e, unnest([0, 1, 2]) t(n))"""
 
 
 def _variants(spark, d):
-    e = table(spark, d, "events").where("event_id % 5 = 0").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    e = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     return e.select("event_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("n"), "k").selectExpr("event_id", "n", "shiftleft(320, n) + k as w", "shiftleft(200, n) as h", "100000 * (n + 1) + k as rate")
 
 
@@ -595,11 +609,12 @@ def variant_select(spark, d):
     return rows.select("event_id", R.best_variant(F.col("variants"), 250_000).alias("url"))
 
 
-@register("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 206 WHEN strlen(text) <= 100 * (doc_id % 3) THEN 416 ELSE 206 END AS status,
-  CASE doc_id % 3 WHEN 2 THEN least(40, strlen(text)) ELSE CASE WHEN strlen(text) > 100 * (doc_id % 3) THEN least(50, strlen(text) - 100 * (doc_id % 3)) END END AS n_body FROM documents WHERE strlen(text) > 0""")
+@register("""WITH t AS (SELECT doc_id, doc_id % 3 AS kind, strlen(text) AS n FROM documents)
+SELECT doc_id, CASE WHEN coalesce(n, 0) = 0 OR kind < 2 AND n <= 100 * kind THEN 416 ELSE 206 END AS status,
+  CASE WHEN n > 0 THEN CASE kind WHEN 2 THEN least(40, n) ELSE CASE WHEN n > 100 * kind THEN least(50, n - 100 * kind) END END END AS n_body FROM t""")
 def byte_ranges(spark, d):
-    """Ranges from the start, from byte 100, and of the last 40 bytes."""
-    docs = table(spark, d, "documents").where("octet_length(text) > 0").select("doc_id", F.col("text").cast("binary").alias("body"))
+    """Ranges from the start, from byte 100, and of the last 40 bytes; no byte of an empty body can be had."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("body"))
     header = F.expr("case doc_id % 3 when 0 then 'bytes=0-49' when 1 then 'bytes=100-149' else 'bytes=-40' end")
     part = X.byte_range(F.col("body"), header)
     return docs.select("doc_id", part["status"].alias("status"), F.octet_length(part["body"]).cast("long").alias("n_body"))
@@ -611,15 +626,17 @@ def cookie_rewrite(spark, d):
     return table(spark, d, "events").select("event_id", U.cookies(header, F.expr("event_id % 2 = 0")).alias("cookie"))
 
 
-@register()
+@register(f"""WITH s AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<style>([^<]*)</style>', 1)) AS style, generate_subscripts(regexp_extract_all(html, '<style>([^<]*)</style>', 1), 1) - 1 AS nth FROM pages)
+SELECT page_id, CAST(nth AS INTEGER) AS nth, style || ' b{{background:url(' || CASE WHEN url IS NULL THEN '/coll/20200101000000mp_//bg.png' ELSE '/coll/20200101000000mp_/' || regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/bg.png' END || ')}}' AS css FROM s""")
 def rewrite_css(spark, d):
     """Style sheets of the pages, with a link each."""
     @F.pandas_udf(T.StringType())
     def css(texts: pd.Series, base: pd.Series) -> pd.Series:
         return pd.Series([R.rewrite_css(t, PREFIX, b) for t, b in zip(texts, base, strict=True)])
 
-    style = F.concat(F.regexp_extract("html", "<style>([^<]*)</style>", 1), F.lit(" b{background:url(/bg.png)}"))
-    return table(spark, d, "pages").where("url is not null").select("page_id", css(style, F.col("url")).alias("css"))
+    styles = F.posexplode(F.regexp_extract_all("html", F.lit("<style>([^<]*)</style>"), 1)).alias("nth", "style")
+    rows = table(spark, d, "pages").select("page_id", "url", styles)
+    return rows.select("page_id", "nth", css(F.concat("style", F.lit(" b{background:url(/bg.png)}")), F.coalesce("url", F.lit(""))).alias("css"))
 
 
 @register()
@@ -631,5 +648,6 @@ def rewrite_js(spark, d):
     def scripts(texts: pd.Series, base: pd.Series) -> pd.Series:
         return pd.Series([js(t, PREFIX, b) for t, b in zip(texts, base, strict=True)])
 
-    script = F.concat(F.regexp_extract("html", "<script>(.*?)</script>", 1), F.lit(";window.seen = document.title"))
-    return table(spark, d, "pages").where("url is not null").select("page_id", scripts(script, F.col("url")).alias("js"))
+    found = F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), 1)).alias("nth", "script")
+    rows = table(spark, d, "pages").select("page_id", "url", found)
+    return rows.select("page_id", "nth", scripts(F.concat("script", F.lit(";window.seen = document.title")), F.coalesce("url", F.lit(""))).alias("js"))

@@ -34,8 +34,8 @@ def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh capture asked for again, at a time shifted by k - 50 hours."""
-    c = caps(spark, sf_dir).where("event_id % 7 = 0")
+    """Every capture asked for again, at a time shifted by k - 50 hours."""
+    c = caps(spark, sf_dir)
     return c.select(F.col("event_id").alias("req_id"), "url", (F.col("ts_ms") + (F.col("k") - 50) * 3_600_000).alias("ts_ms"))
 
 
@@ -52,7 +52,7 @@ CAPS = """caps AS (
   )
 )"""
 REQS = CAPS + """, reqs AS (
-  SELECT event_id AS req_id, url, ts_ms + (k - 50) * 3600000 AS ts_ms FROM caps WHERE event_id % 7 = 0
+  SELECT event_id AS req_id, url, ts_ms + (k - 50) * 3600000 AS ts_ms FROM caps
 )"""
 #: Whether a capture is passed over, without and with the 5xx rule.
 SKIP = "(status BETWEEN 300 AND 399 AND (location IS NULL OR location = url))"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.timestamps import page_ts, ts_to_ms
+from palimpsest.functions.urls import post_urls
 from palimpsest.sources.files import read_member, zip_entries
 from palimpsest.sources.warc import WarcSource
 
@@ -39,7 +40,11 @@ def parse_cdxj(lines: DataFrame) -> DataFrame:
         F.col("c.requestBody").alias("request_body"), F.col("c.referrer").alias("referrer"),
         F.struct(F.col("c.filename").alias("path"), F.col("c.offset").try_cast("long").alias("start"), F.col("c.length").try_cast("long").alias("length")).alias("source"),
     )
-    return out.where(~F.col("method").isin("HEAD", "OPTIONS"))
+    kept = out.where(~F.col("method").isin("HEAD", "OPTIONS"))
+    # requests with a body are told apart by it: only they go through Python
+    posted = F.col("method").isin("POST", "PUT") & F.col("request_body").isNotNull()
+    plain, mime = kept.where(~posted), F.lit("application/x-www-form-urlencoded")
+    return plain.unionByName(kept.where(posted).withColumn("url", post_urls("url", "request_body", mime, "method")))
 
 
 def parse_idx(lines: DataFrame, archive: str) -> DataFrame:

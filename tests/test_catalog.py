@@ -6,7 +6,9 @@ import os
 
 import pytest
 
-from palimpsest.plans import catalog
+from palimpsest.plans import catalog, inventory
+
+QUERIES, ORACLE = catalog.QUERIES | inventory.QUERIES, catalog.ORACLE | inventory.ORACLE
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,19 +29,19 @@ def _plain(rows):
     return sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
-    want = duck.sql(catalog.ORACLE[name])
+    want = duck.sql(ORACLE[name])
     assert sorted(want.columns) == cols
     at = [want.columns.index(c) for c in cols]
     assert _plain(tuple(r[c] for c in cols) for r in df.collect()) == _plain(tuple(r[i] for i in at) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() > 0
+    assert QUERIES[name](spark, DATA).count() > 0
 
 
 def test_entry_imports_without_training_data_operators():
