@@ -12,13 +12,78 @@ from pyspark.sql import functions as F
 EXTENSIONS = (".warc.gz", ".warc", ".cdx.gz", ".cdx", ".cdxj.gz", ".cdxj", ".har", ".wacz", ".json")
 
 
+def _system(path: str):  # noqa: ANN202
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+class _View:
+    """A stretch of an open file as a file of its own."""
+
+    def __init__(self, f, start: int, size: int) -> None:  # noqa: ANN001
+        self.f, self.start, self.size, self.at = f, start, size, 0
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        self.at = at + (0, self.at, self.size)[whence]
+        return self.at
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, n: int = -1) -> bytes:
+        n = self.size - self.at if n is None or n < 0 else min(n, self.size - self.at)
+        if n <= 0:
+            return b""
+        self.f.seek(self.start + self.at)
+        data = self.f.read(n)
+        self.at += len(data)
+        return data
+
+    def close(self) -> None:
+        self.f.close()
+
+    def __enter__(self) -> _View:
+        return self
+
+    def __exit__(self, *_) -> None:  # noqa: ANN002
+        self.close()
+
+
 def open_file(path: str):  # noqa: ANN201
-    """A seekable file on whatever file system the path names."""
-    if "#!/" in path:  # a member of an archive
-        outer, _, member = path.partition("#!/")
-        return io.BytesIO(read_member(outer, member))
-    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return system.open_input_file(at)
+    """A seekable file on whatever file system the path names; ``a.zip#!/b`` is a member of an archive.
+
+    Members that are stored as they are, as archives keep WARC files, are read in place.
+    """
+    outer, mark, member = path.rpartition("#!/")
+    if not mark:
+        system, at = _system(path)
+        return system.open_input_file(at)
+    f = open_file(outer)
+    with zipfile.ZipFile(f) as z:
+        entry = z.getinfo(member)
+        if entry.compress_type == zipfile.ZIP_STORED:
+            f.seek(entry.header_offset)
+            head = f.read(30)
+            start = entry.header_offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+            return _View(f, start, entry.file_size)
+        data = z.read(member)
+    f.close()
+    return io.BytesIO(data)
+
+
+def file_size(path: str) -> int:
+    with open_file(path) as f:
+        return f.seek(0, 2)
+
+
+def create_file(path: str):  # noqa: ANN201
+    system, at = _system(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(at, compression=None)
+
+
+def move_file(path: str, to: str) -> None:
+    system, at = _system(path)
+    system.move(at, _system(to)[1])
 
 
 def read_range(path: str, start: int = 0, length: int = -1) -> bytes:
@@ -31,7 +96,7 @@ def expand(path: str) -> list[str]:
     """Files under a path, or the path itself."""
     if "#!/" in path:
         return [path]
-    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, at = _system(path)
     info = system.get_file_info(at)
     if info.type == fs.FileType.Directory:
         prefix = path[: len(path) - len(at)] if path.endswith(at) else ""

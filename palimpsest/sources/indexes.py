@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
+import zipfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.timestamps import page_ts, ts_to_ms
 from palimpsest.functions.urls import post_urls
-from palimpsest.sources.files import read_member, zip_entries
-from palimpsest.sources.warc import WarcSource
+from palimpsest.session import durable
+from palimpsest.sources.files import create_file, expand, move_file, open_file, read_member, zip_entries
+from palimpsest.sources.warc import WarcSource, _Reader, capture, paired, records
 
 _CDX = "url string, mime string, status string, digest string, length string, offset string, filename string, timestamp string, method string, requestBody string, referrer string"
 
@@ -47,7 +54,7 @@ def parse_cdxj(lines: DataFrame) -> DataFrame:
     return plain.unionByName(kept.where(posted).withColumn("url", post_urls("url", "request_body", mime, "method")))
 
 
-def parse_idx(lines: DataFrame, archive: str) -> DataFrame:
+def parse_idx(lines: DataFrame, archive: str | Column) -> DataFrame:
     """Blocks of a sparse index (SC18): tab-separated or ``key {json}`` lines; ``!meta`` heads the file."""
     body = lines.where("line <> '' and not startswith(line, '!meta')")
     tabs = F.split("line", "\t")
@@ -55,7 +62,7 @@ def parse_idx(lines: DataFrame, archive: str) -> DataFrame:
     is_json = F.col("line").rlike(r"\{.*\}")
     pick = lambda name, i, t: F.when(is_json, F.col(f"_j.{name}")).otherwise(F.try_element_at(tabs, F.lit(i)).try_cast(t))
     return body.withColumn("_j", j).select(
-        F.lit(archive).alias("archive"), F.when(is_json, F.trim(F.regexp_extract("line", r"^([^{]*)", 1))).otherwise(tabs[0]).alias("prefix"),
+        (archive if isinstance(archive, Column) else F.lit(archive)).alias("archive"), F.when(is_json, F.trim(F.regexp_extract("line", r"^([^{]*)", 1))).otherwise(tabs[0]).alias("prefix"),
         pick("filename", 2, "string").alias("filename"), pick("offset", 3, "long").alias("offset"), pick("length", 4, "long").alias("length"),
         F.col("_j.digest").alias("digest"), F.lit(False).alias("loaded"),
     )
@@ -84,32 +91,52 @@ def manifest(path: str) -> dict:
     return {"kind": kind, "data": data, "files": names}
 
 
-def _lines(spark: SparkSession, texts: list[str]) -> DataFrame:
-    return spark.createDataFrame([(x,) for t in texts for x in t.splitlines()], "line string")
+class _WaczReader(_Reader):
+    """WARC members of archives; each is read in ranges like a file of its own."""
+
+    def _files(self) -> list[str]:
+        return [f"{p}#!/{e['filename']}" for p in expand(self.path) if p.endswith((".wacz", ".zip")) for e in zip_entries(p) if e["filename"].endswith((".warc", ".warc.gz"))]
+
+
+class WaczSource(WarcSource):
+    @classmethod
+    def name(cls) -> str:
+        return "wacz"
+
+    def reader(self, schema):  # noqa: ANN001, ANN201
+        return _WaczReader(dict(self.options))
+
+
+def member_lines(spark: SparkSession, path: str, ends: tuple[str, ...], start: str = "") -> DataFrame:
+    """(archive, line) of the text members of archives, read where the archives are: no line passes the driver."""
+    paths = [p for p in expand(path) if p.endswith((".wacz", ".zip"))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                for e in zip_entries(p):
+                    if e["filename"].startswith(start) and e["filename"].endswith(ends):
+                        lines = read_member(p, e["filename"], unzip=True).decode("utf-8", "replace").splitlines()
+                        yield pd.DataFrame({"archive": p, "line": pd.Series(lines, dtype=object)})
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
+    return rows.mapInPandas(run, "archive string, line string")
 
 
 def read_wacz(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """captures, index, blocks and pages of one archive (SC19, SC20).
+    """captures, index, blocks and pages of an archive or a folder of them (SC19, SC20).
 
-    WARC members are read by the ``warc`` source, one partition a member;
-    indexes and page lists of one archive are small and parsed as lines.
+    Nothing is read until a table is used; WARC members by the ``wacz`` source,
+    index and page members line by line in tasks of their own.
     """
-    spark.dataSource.register(WarcSource)
-    m = manifest(path)
-    take = lambda *ends: [n for n in m["files"] if n.endswith(ends)]
-    text = lambda n: read_member(path, n, unzip=True).decode("utf-8", "replace")
-    captures = None
-    for n in take(".warc", ".warc.gz"):
-        part = spark.read.format("warc").load(f"{path}#!/{n}")
-        captures = part if captures is None else captures.unionByName(part)
-    out = {
-        "index": parse_cdxj(_lines(spark, [text(n) for n in take(".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")])),
-        "blocks": parse_idx(_lines(spark, [text(n) for n in take(".idx")]), path),
-        "pages": parse_pages(_lines(spark, [text(n) for n in m["files"] if n.startswith("pages/") and n.endswith(".jsonl")])),
+    spark.dataSource.register(WaczSource)
+    lines = member_lines(spark, path, (".idx",))
+    return {
+        "captures": spark.read.format("wacz").load(path),
+        "index": parse_cdxj(member_lines(spark, path, (".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz"))),
+        "blocks": parse_idx(lines, F.col("archive")),
+        "pages": parse_pages(member_lines(spark, path, (".jsonl",), "pages/")),
     }
-    if captures is not None:
-        out["captures"] = captures
-    return out
 
 
 def multi_manifest(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
@@ -127,3 +154,56 @@ def pages_with_archives(pages: DataFrame, archives: DataFrame) -> DataFrame:
     """Pages with the hash of the archive they come from."""
     a = archives.select(F.col("name").alias("filename"), F.col("hash").alias("archive"))
     return pages.join(a, "filename", "left")
+
+
+def write_wacz(files: DataFrame, folder: str, title: str = "") -> DataFrame:
+    """One archive for each WARC file of ``files`` (path): the file as it is, a CDXJ index of its records,
+    its HTML captures as pages, and a manifest with hashes. Returns (path, n) of the archives."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                name = f"{folder}/{p.rpartition('/')[2].partition('.')[0]}.wacz"
+                held = f"{name}.{TaskContext.get().taskAttemptId()}"
+                with open_file(p) as f:
+                    rows = [r for r in (capture(*x) for x in paired(records(f, index_only=True))) if r]
+                    f.seek(0)
+                    raw = f.read()
+                index, pages = [], ['{"format": "json-pages-1.0", "id": "pages", "title": "All Pages"}']
+                for r in rows:
+                    j = {"url": r["url"], "mime": r["mime"], "status": str(r["status"]), "digest": r["digest"], "offset": str(r["start"]), "length": str(r["length"]), "filename": "data.warc.gz"}
+                    index.append(f"{r['url']} {_ts14(r['ts_ms'])} {json.dumps(j)}")
+                    if r["mime"] == "text/html":
+                        pages.append(json.dumps({"id": f"p{r['start']}", "url": r["url"], "ts": str(r["ts_ms"])}))
+                members = {"archive/data.warc.gz": raw, "indexes/index.cdxj": "\n".join(index).encode(), "pages/pages.jsonl": "\n".join(pages).encode()}
+                resources = [{"path": k, "hash": "sha256:" + hashlib.sha256(v).hexdigest(), "bytes": len(v)} for k, v in members.items()]
+                members["datapackage.json"] = json.dumps({"profile": "data-package", "title": title, "resources": resources}).encode()
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    for k, v in members.items():
+                        z.writestr(zipfile.ZipInfo(k), v, zipfile.ZIP_STORED if k.endswith(".gz") else zipfile.ZIP_DEFLATED)
+                with create_file(held) as f:
+                    f.write(out.getvalue())
+                move_file(held, name)
+                yield pd.DataFrame({"path": [name], "n": [len(rows)]})
+
+    return durable(files.select("path").mapInPandas(run, "path string, n long"))
+
+
+def _ts14(ms: int) -> str:
+    from datetime import UTC, datetime
+
+    return datetime.fromtimestamp(ms / 1000, UTC).strftime("%Y%m%d%H%M%S")
+
+
+def manifests(archives: DataFrame) -> DataFrame:
+    """(path, kind, member, hash) of the manifests of archives (SC13, SC16), read by tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                m = manifest(p)
+                listed = {r.get("path"): r.get("hash") for r in m["data"].get("resources", [])}
+                yield pd.DataFrame({"path": p, "kind": m["kind"], "member": pd.Series(m["files"], dtype=object), "hash": pd.Series([listed.get(n) for n in m["files"]], dtype=object)})
+
+    return archives.select("path").mapInPandas(run, "path string, kind string, member string, hash string")

@@ -1,25 +1,30 @@
 """The ``warc`` data source: WARC 1.x files, plain or gzipped, as captures.
 
-Written from the WARC 1.1 standard. One partition a file; within it records
-are paired (a request with an adjacent response of the same URL, in either
-order) and turned into rows. Options: infoonly (stop at the first record that
-is no warcinfo), payload=false (index only, bodies left out).
+Written from the WARC 1.1 standard. Gzipped files are cut into ranges of
+members, a task each; records are paired (a request with an adjacent response
+of the same URL, in either order) and turned into rows. Options: infoonly (stop
+at the first record that is no warcinfo), payload=false (index only, bodies are
+passed over), splitbytes.
 """
 
 from __future__ import annotations
 
-import base64
+import gzip
 import hashlib
 import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from palimpsest.sources.files import expand, open_file, read_range
+from palimpsest.session import durable
+from palimpsest.sources.files import create_file, expand, file_size, move_file, open_file, read_range
 
 SCHEMA = (
     "url string, ts_ms bigint, status int, status_text string, mime string, digest string, resp_headers map<string,string>,"
@@ -45,24 +50,52 @@ class Record:
         return self.headers.get("warc-target-uri", "").strip("<>")
 
 
-def _members(f) -> Iterator[tuple[int, int, bytes]]:  # noqa: ANN001
-    """(offset, compressed length, bytes) of each gzip member."""
-    at, held = 0, b""
+def _first_member(f, at: int) -> int | None:  # noqa: ANN001
+    """Offset of the first gzip member of a record at or after ``at``."""
+    held = b""
+    f.seek(at)
+    while True:
+        more = f.read(_BLOCK)
+        held += more
+        k = held.find(b"\x1f\x8b\x08")
+        while k >= 0 and (len(held) - k >= 4096 or not more):
+            try:
+                if zlib.decompressobj(31).decompress(held[k : k + 4096], 5) == b"WARC/":
+                    return at + k
+            except zlib.error:
+                pass
+            k = held.find(b"\x1f\x8b\x08", k + 1)
+        if not more:
+            return None
+        keep = k if k >= 0 else max(0, len(held) - 2)
+        at, held = at + keep, held[keep:]
+
+
+def _members(f, at: int = 0, head: int | None = None) -> Iterator[tuple[int, int, bytes]]:  # noqa: ANN001
+    """(offset, compressed length, bytes) of each gzip member from ``at`` on; with ``head`` only that
+    many bytes and what follows in the same block of output are kept."""
+    f.seek(at)
+    held = b""
     while True:
         if not held:
             held = f.read(_BLOCK)
             if not held:
                 return
-        z, out, used = zlib.decompressobj(31), [], 0
+        z, out, used, kept = zlib.decompressobj(31), [], 0, 0
         while True:
-            out.append(z.decompress(held))
-            used += len(held) - len(z.unused_data)
-            held = z.unused_data
+            data = z.decompress(held, _BLOCK)
+            if head is None or kept < head:
+                out.append(data)
+            kept += len(data)
+            used += len(held) - len(z.unconsumed_tail) - len(z.unused_data)
+            held = z.unconsumed_tail
             if z.eof:
+                held = z.unused_data
                 break
-            held = f.read(_BLOCK)
-            if not held:
-                return  # cut off: drop the last member
+            if not held and len(data) < _BLOCK:
+                held = f.read(_BLOCK)
+                if not held:
+                    return  # cut off: drop the last member
         yield at, used, b"".join(out)
         at += used
 
@@ -82,20 +115,38 @@ def parse_headers(block: bytes) -> tuple[str, dict[str, str]]:
     return lines[0], out
 
 
-def records(f) -> Iterator[Record]:  # noqa: ANN001
-    """All records of an open file, in order."""
-    head = f.read(2)
-    f.seek(0)
-    if head == b"\x1f\x8b":
-        for start, length, data in _members(f):
+#: Bytes of a record that an index needs: its own and its HTTP headers.
+HEAD = 1 << 16
+
+
+def _spare(headers: dict[str, str]) -> bool:
+    """Whether an index can do without the body: its digest is given, or it has none to give."""
+    return headers.get("warc-type") in ("request", "revisit") or "warc-payload-digest" in headers
+
+
+def records(f, at: int = 0, index_only: bool = False) -> Iterator[Record]:  # noqa: ANN001
+    """The records of an open file from offset ``at`` of one on, in order.
+
+    With ``index_only`` bodies whose digest the record names are passed over.
+    """
+    f.seek(at)
+    zipped = f.read(2) == b"\x1f\x8b"
+    f.seek(at)
+    if zipped:
+        for start, length, data in _members(f, at, HEAD if index_only else None):
             end = data.find(b"\r\n\r\n")
             if end < 0 or not data.startswith(b"WARC/"):
                 continue
             _, headers = parse_headers(data[:end])
             size = int(headers.get("content-length", 0) or 0)
+            if index_only and not _spare(headers) and len(data) < end + 4 + size:
+                f2 = f.tell()
+                f.seek(start)
+                data = zlib.decompressobj(31).decompress(f.read(length))
+                f.seek(f2)
             yield Record(start, length, headers, data[end + 4 : end + 4 + size])
         return
-    buf, at = b"", 0
+    buf = b""
     while True:
         while b"\r\n\r\n" not in buf:
             more = f.read(_BLOCK)
@@ -112,6 +163,12 @@ def records(f) -> Iterator[Record]:  # noqa: ANN001
             return
         size = int(headers.get("content-length", 0) or 0)
         need = end + 4 + size
+        if index_only and _spare(headers) and len(buf) >= min(need, end + 4 + HEAD) and need > len(buf):
+            yield Record(at, need, headers, buf[end + 4 :])
+            at += need
+            f.seek(at)
+            buf = b""
+            continue
         while len(buf) < need:
             more = f.read(max(_BLOCK, need - len(buf)))
             if not more:
@@ -121,6 +178,33 @@ def records(f) -> Iterator[Record]:  # noqa: ANN001
         buf, at = buf[need:], at + need
 
 
+def may_pair(a: Record, b: Record) -> bool:
+    """A request and a response of one URL."""
+    return a.url == b.url and (a.kind == "request") != (b.kind == "request") and "warcinfo" not in (a.kind, b.kind)
+
+
+def in_range(rows: Iterator[Record], low: int, high: int | None) -> Iterator[Record]:
+    """Records of a part of a file, so that runs of records that may pair stay together.
+
+    A part begins at its first record that cannot pair with the one before, and
+    ends where the next part begins; the first part begins with the file.
+    """
+    last: Record | None = None
+    inside = low == 0
+    beyond = False
+    for r in rows:
+        fresh = last is not None and not may_pair(last, r)
+        if not inside and fresh:
+            inside = True
+        if high is not None and r.start >= high:
+            if beyond and fresh:
+                return
+            beyond = True
+        last = r
+        if inside:
+            yield r
+
+
 def paired(rows: Iterator[Record]) -> Iterator[tuple[Record, Record | None]]:
     """Adjacent request and response of one URL together, else each alone."""
     last: Record | None = None
@@ -131,7 +215,7 @@ def paired(rows: Iterator[Record]) -> Iterator[tuple[Record, Record | None]]:
                 last = None
             yield r, None
             continue
-        if last and last.url == r.url and {last.kind == "request", r.kind == "request"} == {True, False}:
+        if last and may_pair(last, r):
             yield (r, last) if last.kind == "request" else (last, r)
             last = None
         else:
@@ -208,23 +292,46 @@ def capture(record: Record, request: Record | None) -> dict | None:
 _FIELDS = [x.strip().split(" ")[0] for x in SCHEMA.replace("map<string,string>", "map").split(",")]
 
 
+#: Bytes of a gzipped file that one task reads.
+SPLIT = 64 << 20
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, low: int = 0, high: int | None = None) -> None:
+        self.path, self.low, self.high = path, low, high
 
 
 class _Reader(DataSourceReader):
+    """Gzipped files are cut into ranges of members; plain ones, whose record
+    boundaries cannot be told from inside, are read by one task each."""
+
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options.get("path", "")
         self.payload = options.get("payload", "true").lower() != "false"
         self.info_only = options.get("infoonly", "false").lower() == "true"
+        self.split = int(options.get("splitbytes", SPLIT))
+
+    def _files(self) -> list[str]:
+        return expand(self.path)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(p) for p in expand(self.path)]
+        out: list[InputPartition] = []
+        for p in self._files():
+            size = file_size(p) if p.endswith(".gz") and not self.info_only else None
+            if size is None or size <= self.split:
+                out.append(_Part(p))
+            else:
+                cuts = [*range(0, size, self.split), None]
+                out += [_Part(p, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         with open_file(partition.path) as f:
-            for seq, (record, request) in enumerate(paired(records(f))):
+            at = partition.low and _first_member(f, partition.low)
+            if at is None:
+                return
+            rows = in_range(records(f, at, not self.payload), partition.low, partition.high)
+            for seq, (record, request) in enumerate(paired(rows)):
                 if self.info_only:
                     if record.kind != "warcinfo":
                         return
@@ -233,7 +340,7 @@ class _Reader(DataSourceReader):
                 row = capture(record, request)
                 if row is None:
                     continue
-                row |= {"path": partition.path, "seq": seq}
+                row |= {"path": partition.path, "seq": record.start}
                 if not self.payload:
                     row["payload"] = None
                 yield tuple(row.get(c) for c in _FIELDS)
@@ -255,6 +362,70 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
+def info_rows(info: DataFrame) -> DataFrame:
+    """(path, title, desc, pages) of warcinfo rows as read with ``infoonly`` (SC6); pages as an array."""
+    meta = F.regexp_extract(F.decode("payload", "UTF-8"), r"(?im)^json-metadata:\s*(.*?)\s*$", 1)
+    kind = "title string, desc string, pages array<struct<id: string, url: string, title: string, timestamp: string>>"
+    return info.select("path", F.from_json(meta, kind).alias("m")).where("m is not null").select("path", "m.title", "m.desc", "m.pages")
+
+
+_SINK = "url string, ts_ms long, status int, mime string, payload binary, method string, orig_url string, orig_ts_ms long, digest string, request_first boolean"
+
+
+def _iso(ms: int) -> str:
+    from datetime import UTC, datetime
+
+    return datetime.fromtimestamp(ms / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%S.") + f"{ms % 1000:03d}Z"
+
+
+def _block(kind: str, url: str, ms: int, content: bytes, **more: str | None) -> bytes:
+    head = [f"WARC/1.1\r\nWARC-Type: {kind}", f"WARC-Target-URI: {url}", f"WARC-Date: {_iso(ms)}", f"Content-Length: {len(content)}"]
+    head += [f"{k.replace('_', '-')}: {v}" for k, v in more.items() if v is not None]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + content + b"\r\n\r\n"
+
+
+def capture_records(row: dict) -> list[bytes]:
+    """The records of a capture: a revisit, or a response with its request."""
+    if row["mime"] == "warc/revisit":
+        date = _iso(row["orig_ts_ms"]) if row["orig_ts_ms"] is not None else None
+        return [_block("revisit", row["url"], row["ts_ms"], b"", WARC_Refers_To_Target_URI=row["orig_url"], WARC_Refers_To_Date=date, WARC_Payload_Digest=row["digest"])]
+    body = row["payload"] or b""
+    http = f"HTTP/1.1 {row['status']} X\r\nContent-Type: {row['mime']}\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+    out = [_block("response", row["url"], row["ts_ms"], http + body, WARC_Payload_Digest=row["digest"])]
+    if row["method"]:
+        out.append(_block("request", row["url"], row["ts_ms"], f"{row['method']} / HTTP/1.1\r\nAccept: */*\r\n\r\n".encode()))
+    return out[::-1] if row["request_first"] else out
+
+
+def write_warc(captures: DataFrame, folder: str, info: dict | None = None) -> DataFrame:
+    """Captures as gzipped WARC files of ``folder``, one a partition; (path, n) of those written.
+
+    A file is written under a name of its attempt and renamed when whole, so that a task that is
+    run again leaves one file.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = TaskContext.get()
+        name = f"{folder}/part-{context.partitionId():05d}.warc.gz"
+        held = f"{name}.{context.taskAttemptId()}"
+        n = 0
+        with create_file(held) as f:
+            meta = f"software: palimpsest\r\njson-metadata: {json.dumps(info or {})}\r\n".encode()
+            f.write(gzip.compress(_block("warcinfo", "", 0, meta), mtime=0))
+            for b in batches:
+                for row in b.astype(object).where(b.notna(), None).to_dict("records"):
+                    for x in capture_records(row):
+                        f.write(gzip.compress(x, mtime=0))
+                    n += 1
+        move_file(held, name)
+        yield pd.DataFrame({"path": [name], "n": [n]})
+
+    fields = [x.strip().split(" ") for x in _SINK.split(",")]
+    have = set(captures.columns)
+    rows = captures.select(*((F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in fields))
+    return durable(rows.mapInPandas(run, "path string, n long"))
+
+
 def read_record(path: str, start: int, length: int) -> Record | None:
     """One record by its byte range (SC8)."""
     import io
@@ -269,38 +440,3 @@ def info_pages(content: bytes) -> dict:
         return json.loads(fields.get("json-metadata", "{}"))
     except ValueError:
         return {}
-
-
-def har_rows(text: str) -> list[dict]:
-    """Captures of a HAR (SC12): bodies base64 or plain, entries without a body left out."""
-    out = []
-    for e in json.loads(text)["log"].get("entries", []):
-        res, req = e["response"], e["request"]
-        content = res.get("content", {})
-        if "text" not in content:
-            continue
-        raw = content["text"]
-        body = base64.b64decode(raw) if content.get("encoding") == "base64" else raw.encode()
-        headers = {h["name"].lower(): h["value"] for h in res.get("headers", [])}
-        out.append({
-            "url": req["url"].partition("#")[0], "ts_ms": to_ms(e.get("startedDateTime")), "status": int(res.get("status") or 200), "mime": (content.get("mimeType") or "").split(";")[0],
-            "method": req.get("method", "GET"), "page_id": e.get("pageref"), "resp_headers": headers, "payload": body,
-        })
-    return out
-
-
-def har_pages(text: str) -> list[dict]:
-    """Pages of a HAR, those that finished loading, with the URL of their first entry."""
-    log = json.loads(text)["log"]
-    first: dict[str, str] = {}
-    for e in log.get("entries", []):
-        first.setdefault(e.get("pageref"), e["request"]["url"])
-    out = []
-    for p in log.get("pages", []):
-        if not p.get("pageTimings", {}).get("onLoad"):
-            continue
-        title = p.get("title") or ""
-        url = title if title.startswith(("http:", "https:")) else first.get(p["id"])
-        if url:
-            out.append({"id": p["id"], "url": url, "title": title or url, "ts_ms": to_ms(p.get("startedDateTime"))})
-    return out

@@ -48,13 +48,27 @@ def repeat_counts(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     )
 
 
-def ingest(spark: SparkSession, folder: str, schema, target: str, checkpoint: str):  # noqa: ANN001, ANN201
-    """Captures of new files in ``folder``, deduplicated a batch at a time, appended to ``target`` (ST4)."""
+def ingest(spark: SparkSession, folder: str, schema, target: str, checkpoint: str, files_per_batch: int = 1000):  # noqa: ANN001, ANN201
+    """Captures of new files in ``folder``, deduplicated a batch at a time, appended to ``target`` (ST4).
+
+    A batch that is run again replaces its own part; captures repeated in later
+    batches are settled when the store is read, by ``ingested``.
+    """
     from palimpsest.operators.store import priority_dedup
 
-    stream = spark.readStream.schema(schema).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
     def add(batch: DataFrame, number: int) -> None:
         priority_dedup(batch.where("ts_ms is not null")).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingested(spark: SparkSession, target: str) -> DataFrame:
+    """The store that ``ingest`` filled: one capture for each (url, ts_ms) over all batches (SK3).
+
+    Of one class the greatest ``seq`` is taken; a revisit yields to whatever batch holds its original.
+    """
+    from palimpsest.operators.store import priority_dedup
+
+    return priority_dedup(spark.read.option("basePath", target).parquet(target).drop("batch"))

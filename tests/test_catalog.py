@@ -6,9 +6,9 @@ import os
 
 import pytest
 
-from palimpsest.plans import catalog, inventory
+from palimpsest.plans import archives, catalog, inventory
 
-QUERIES, ORACLE = catalog.QUERIES | inventory.QUERIES, catalog.ORACLE | inventory.ORACLE
+QUERIES, ORACLE = catalog.QUERIES | inventory.QUERIES | archives.QUERIES, catalog.ORACLE | inventory.ORACLE | archives.ORACLE
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 import zipfile
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.sources import files, indexes, warc
+from palimpsest.sources.har import har_captures, har_pages, parse_har
 from palimpsest.streaming import access
 
 
@@ -102,8 +104,9 @@ def test_idx_pages_har(spark):
     assert [(x.id, x.title, x.ts_ms) for x in indexes.parse_pages(pages).collect()] == [("1", "http://s.test/", 1577836800000)]
     entry = lambda url, **c: {"pageref": "p", "startedDateTime": "2020-01-01T00:00:00Z", "request": {"url": url, "method": "GET"}, "response": {"status": 200, "headers": [], "content": c}}
     har = json.dumps({"log": {"pages": [{"id": "p", "title": "T", "startedDateTime": "2020-01-01T00:00:00Z", "pageTimings": {"onLoad": 5}}, {"id": "q", "title": "no", "pageTimings": {}}], "entries": [entry("http://s.test/#h", text="aGk=", encoding="base64", mimeType="text/html"), entry("http://s.test/raw", text="x"), entry("http://s.test/none")]}})
-    assert [(r["url"], r["payload"]) for r in warc.har_rows(har)] == [("http://s.test/", b"hi"), ("http://s.test/raw", b"x")]
-    assert warc.har_pages(har) == [{"id": "p", "url": "http://s.test/#h", "title": "T", "ts_ms": 1577836800000}]
+    hars = parse_har(spark.createDataFrame([(har,), ("broken",)], "text string"))
+    assert [(r["url"], bytes(r["payload"])) for r in har_captures(hars).collect()] == [("http://s.test/", b"hi"), ("http://s.test/raw", b"x")]
+    assert [x.asDict() for x in har_pages(hars).collect()] == [{"id": "p", "url": "http://s.test/#h", "title": "T", "ts_ms": 1577836800000}]
 
 
 def test_zipped_archive(spark, folder, tmp_path):
@@ -143,3 +146,25 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("u", 1, 1, "warc/revisit", 200), ("u", 1, 2, "text/html", 200), ("u", None, 3, "text/html", 200)], kind).write.parquet(f"{tmp_path}/caps")
     access.ingest(spark, f"{tmp_path}/caps", kind, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(60)
     assert [(x.url, x.mime) for x in spark.read.parquet(f"{tmp_path}/out").collect()] == [("u", "text/html")]
+
+
+@pytest.mark.parametrize("size", [1, 50, 300, 1000])
+def test_parts_of_a_file_hold_each_record_once(spark, folder, size):
+    """Wherever a file is cut, requests stay with their responses."""
+    warc.register(spark)
+    whole = sorted(map(str, spark.read.format("warc").load(str(folder / "zipped.warc.gz")).collect()))
+    parts = spark.read.format("warc").option("splitbytes", size).load(str(folder / "zipped.warc.gz"))
+    assert sorted(map(str, parts.collect())) == whole
+
+
+@pytest.mark.parametrize("name", ["plain.warc", "zipped.warc.gz"])
+def test_index_passes_over_long_bodies(tmp_path, name):
+    body = b"x" * 3_000_000
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n"
+    blocks = [warc._block("response", f"http://s.test/{i}", 1000 * i, http + body, WARC_Payload_Digest="sha1:A" if i else None) for i in range(3)]
+    (tmp_path / name).write_bytes(b"".join(map(gzip.compress, blocks)) if name.endswith("gz") else b"".join(blocks))
+    with files.open_file(str(tmp_path / name)) as f:
+        rows = [warc.capture(r, None) for r in warc.records(f, index_only=True)]
+    assert [r["url"][-1] for r in rows] == ["0", "1", "2"]
+    assert rows[0]["digest"] == "sha-256:" + hashlib.sha256(body).hexdigest() and rows[1]["digest"] == "sha1:A"
+    assert len(rows[0]["payload"]) == len(body) and len(rows[1]["payload"]) < len(body)
