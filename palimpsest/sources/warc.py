@@ -87,10 +87,10 @@ def _members(f, at: int = 0, head: int | None = None) -> Iterator[tuple[int, int
             if head is None or kept < head:
                 out.append(data)
             kept += len(data)
-            used += len(held) - len(z.unconsumed_tail) - len(z.unused_data)
-            held = z.unconsumed_tail
+            left = z.unused_data if z.eof else z.unconsumed_tail
+            used += len(held) - len(left)
+            held = left
             if z.eof:
-                held = z.unused_data
                 break
             if not held and len(data) < _BLOCK:
                 held = f.read(_BLOCK)
