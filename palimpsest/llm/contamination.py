@@ -9,6 +9,7 @@ are verified by alignment within the band.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -19,13 +20,16 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import LOWER, SPACE, chunks, flat, tidied
 
-#: Bytes of a gram: eight, so that a gram is a machine word and needs no hash.
+#: Bytes of a gram: eight, so that a gram is a machine word and needs no hash. Passages
+#: so short that the budget would leave no common gram of eight have shorter ones.
 Q = 8
 #: Edits allowed, as a share of the passage's bytes.
 RATE = 0.1
 #: Passages are searched in blocks of so many bytes; a block is what is broadcast.
 BLOCK_BYTES = 2 << 20
 _BITS = 20
+#: Shared grams that are expanded at once.
+SLICE = 1 << 21
 
 
 def fold(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,33 +46,38 @@ def fold(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return low[keep], before[off], np.flatnonzero(keep)
 
 
-def _words(data: np.ndarray) -> np.ndarray:
+def _words(data: np.ndarray, q: int = Q) -> np.ndarray:
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
-    return np.ndarray(max(0, len(data) - Q + 1), "<u8", padded, 0, (1,))
+    words = np.ndarray(max(0, len(data) - q + 1), "<u8", padded, 0, (1,))
+    return words if q == 8 else words & np.uint64((1 << 8 * q) - 1)
 
 
 def _slot(words: np.ndarray) -> np.ndarray:
     return (words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
 
 
+def gram_size(m: int, rate: float = RATE) -> int:
+    """The longest gram, Q at most, of which a passage of ``m`` bytes keeps one despite its budget."""
+    return min(Q, m // (int(rate * m) + 1))
+
+
 class Passages:
-    """An index of folded passages; those with fewer than 2 * Q bytes are left out."""
+    """An index of those folded passages whose gram size is ``q``; empty ones are left out."""
 
-    def __init__(self, texts: list[bytes], rate: float = RATE) -> None:
-        self.own, folded = [], []
+    def __init__(self, texts: list[bytes], rate: float = RATE, q: int = Q, least: int = 1) -> None:
+        self.own, folded, self.q = [], [], q
         for i, t in enumerate(texts):
             d = np.frombuffer(t, np.uint8)
             f = fold(d, np.array([0, len(d)]))[0].tobytes().strip()
-            if len(f) >= 2 * Q:
+            if len(f) >= least and gram_size(len(f), rate) == q:
                 self.own.append(i)
                 folded.append(np.frombuffer(f, np.uint8))
         self.texts = folded
         self.m = np.array([len(f) for f in folded], np.int64)
-        # the budget never exceeds what the lemma can still filter
-        self.k = np.minimum((rate * self.m).astype(np.int64), self.m // Q - 1)
-        self.least = self.m + 1 - Q * (self.k + 1)
-        words = [_words(f) for f in folded]
+        self.k = (rate * self.m).astype(np.int64)
+        self.least = self.m + 1 - q * (self.k + 1)
+        words = [_words(f, q) for f in folded]
         grams = np.concatenate(words) if words else np.zeros(0, np.uint64)
         slot = _slot(grams).astype(np.int64)
         order = np.argsort(slot, kind="stable")
@@ -80,17 +89,9 @@ class Passages:
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[slot] = True
 
-    def candidates(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Distinct (row, passage, band) of folded texts that meet the bound."""
-        words = _words(data)
-        slot = _slot(words).astype(np.int32)
-        pos = np.flatnonzero(self.bits[slot]) if len(self.grams) else np.zeros(0, np.int64)
-        lo = self.table[slot[pos]].astype(np.int64)
-        n = self.table[slot[pos] + 1] - lo
-        total = int(n.sum())
-        if not total:
-            return np.zeros((0, 3), np.int64)
-        nth = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    def _shared(self, words: np.ndarray, off: np.ndarray, pos: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair of row and passage, band) of every gram of ``pos`` that is a passage's too."""
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         entry = np.repeat(lo, n) + nth
         pos = np.repeat(pos, n)
         equal = self.grams[entry] == words[pos]
@@ -98,22 +99,44 @@ class Passages:
         row = np.searchsorted(off, pos, side="right") - 1
         item = self.item[entry]
         diagonal = pos - off[row] - self.at[entry] + self.m[item]  # never negative
-        band = diagonal // (self.k[item] + 1)
-        pair = row * len(self.m) + item
+        return row * len(self.m) + item, diagonal // (self.k[item] + 1)
+
+    def candidates(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Distinct (row, passage, band) of folded texts that meet the bound.
+
+        Grams that many passages share are expanded a slice at a time, and only
+        counts are kept from slice to slice.
+        """
+        words = _words(data, self.q)
+        none = np.zeros((0, 3), np.int64)
+        slot = _slot(words).astype(np.int32)
+        pos = np.flatnonzero(self.bits[slot]) if len(self.grams) else np.zeros(0, np.int64)
+        lo = self.table[slot[pos]].astype(np.int64)
+        n = self.table[slot[pos] + 1] - lo
+        if not n.sum():
+            return none
+        upto = np.cumsum(n)
+        cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, int(upto[-1]), SLICE)), len(pos)))
+        slices = list(zip(cuts, cuts[1:], strict=False)) if cuts[0] == 0 else [(0, cuts[0]), *zip(cuts, cuts[1:], strict=False)]
+        held = [self._shared(words, off, pos, lo, n)] if len(slices) == 1 else None
+        again = lambda: held or (self._shared(words, off, pos[i:j], lo[i:j], n[i:j]) for i, j in slices)
         # texts that share too few grams with a passage altogether go first
-        cells = (len(off) - 1) * len(self.m)
-        if cells <= 1 << 22:
-            take = np.bincount(pair, minlength=cells)[pair] >= self.least[item]
-        else:
-            _, back, count = np.unique(pair, return_inverse=True, return_counts=True)
-            take = count[back] >= self.least[item]
-        if not take.any():
-            return np.zeros((0, 3), np.int64)
-        pair, band = pair[take], band[take]
-        width = int(band.max()) + 2
-        key, count = np.unique(np.concatenate([pair * width + band + 1, pair * width + band]), return_counts=True)
-        key = key[count >= self.least[key // width % len(self.m)]]
-        pair = key // width
+        pairs, count = _counted(pair for pair, _ in again())
+        pairs = pairs[count >= self.least[pairs % len(self.m)]]
+        if not len(pairs):
+            return none
+        width = int(off[-1] + self.m.max()) + 3
+
+        def banded():  # noqa: ANN202
+            for pair, band in again():
+                at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+                take = pairs[at] == pair
+                key = at[take] * width + band[take]
+                yield np.concatenate([key + 1, key])
+
+        key, count = _counted(banded())
+        key = key[count >= self.least[pairs[key // width] % len(self.m)]]
+        pair = pairs[key // width]
         return np.stack([pair // len(self.m), pair % len(self.m), key % width - 1], 1)
 
     def verify(self, data: np.ndarray, off: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -161,6 +184,19 @@ class Passages:
         return np.stack([row, item, start, end, edits], 1)[good]
 
 
+def _counted(parts) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Sorted different values of all parts and how often each occurs; a part is reduced before the next."""
+    value, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in parts:
+        v, c = np.unique(part, return_counts=True)
+        if not len(value):
+            value, count = v, c
+            continue
+        both, back = np.unique(np.concatenate([value, v]), return_inverse=True)
+        value, count = both, np.bincount(back, np.concatenate([count, c]), len(both)).astype(np.int64)
+    return value, count
+
+
 def best_places(found: np.ndarray) -> np.ndarray:
     """Of overlapping places of a passage in a text, the one with the fewest edits."""
     if not len(found):
@@ -182,11 +218,11 @@ def best_places(found: np.ndarray) -> np.ndarray:
 
 def _search(index):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, rate = index.value
-        passages = Passages(texts, rate)
+        texts, rate, least = index.value
+        indexes = [p for p in (Passages(texts, rate, q, max(1, least)) for q in range(1, Q + 1)) if len(p.m)]
         for batch in batches:
             data, off = flat(batch.column(1))
-            for first, _, d, o in chunks(data, off):
+            for (first, _, d, o), passages in itertools.product(chunks(data, off), indexes):
                 f, fo, places = fold(d, o)
                 found = passages.candidates(f, fo)
                 if not len(found):
@@ -206,13 +242,14 @@ def _search(index):  # noqa: ANN001, ANN202
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 1) -> DataFrame:
     """Places of benchmark passages in ``docs``, ASCII case and white space folded.
 
     Returns doc_id, item_id, start_byte, end_byte (in the text's UTF-8) and
     edits, one row for each item and place; places that overlap count once.
-    Null and empty texts and passages match nothing, nor do passages of fewer
-    than 2 * Q folded bytes; equal passages are all reported; repeated rows of
+    Null and empty texts and passages match nothing; a passage of under ten
+    folded bytes has no budget and is found where it stands as it is, one of
+    fewer than ``least`` is not searched; equal passages are all reported; repeated rows of
     ``docs`` report alike; other columns are not read; empty tables give an
     empty result. Texts are read whole. Nothing is shuffled but what matches.
 
@@ -220,7 +257,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id
     each block broadcast alone, with one pass over ``docs`` a block.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_t")).where(F.octet_length("_t") >= 2 * Q)
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_t")).where(F.octet_length("_t") > 0)
     items = items.withColumn("_key", F.md5("_t"))
     distinct = items.select("_t", "_key").dropDuplicates(["_key"])
     total = distinct.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first()[0]
@@ -231,7 +268,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id
     for b in range(blocks):
         part = distinct.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == b) if blocks > 1 else distinct
         local = part.orderBy("_key").collect()
-        shared = spark.sparkContext.broadcast(([r["_t"].encode() for r in local], rate))
+        shared = spark.sparkContext.broadcast(([r["_t"].encode() for r in local], rate, least))
         keys = spark.createDataFrame([(i, r["_key"]) for i, r in enumerate(local)], "nth int, _key string")
         hits = rows.mapInArrow(tidied(_search(shared)), f"doc_id {kind}, nth int, start_byte long, end_byte long, edits int")
         hits = hits.join(F.broadcast(keys), "nth").drop("nth")  # as many rows as the block has passages
@@ -239,7 +276,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id
     return out.join(items.select("item_id", "_key"), "_key").select("doc_id", "item_id", "start_byte", "end_byte", "edits")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id has no leak; rows with a null id are judged by id null."""
-    bad = find_leaks(docs, benchmark, rate, doc_id).select(F.col("doc_id").alias("_bad")).distinct()
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id: str = "doc_id", least: int = 1) -> DataFrame:
+    """Rows of ``docs`` whose id has no leak (see find_leaks); rows with a null id are judged by id
+    null. Nothing else is changed: null and empty texts, repeated rows and all columns stay; an empty
+    table gives an empty one."""
+    bad = find_leaks(docs, benchmark, rate, doc_id, least=least).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")

@@ -201,6 +201,32 @@ def test_qgram_filter_finds_all_within_budget():
                 assert min(x[4] for x in mine) == true
 
 
+@pytest.mark.parametrize("slice_", [1 << 21, 40])
+def test_short_passages_keep_their_budget(monkeypatch, slice_):
+    """Grams shrink with the passage; what many passages share is counted in slices."""
+    monkeypatch.setattr(contamination, "SLICE", slice_)
+    r = random.Random(12)
+    items = [bytes(r.choice(b"abcd ") for _ in range(n)) for n in (1, 3, 5, 9, 10, 14, 19, 20, 27, 31, 39, 40, 48, 48)] + [b"common words of all " * 3] * 3
+    folded = [contamination.fold(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tobytes().strip() for t in items]
+    indexes = [p for p in (contamination.Passages(items, q=q) for q in range(1, contamination.Q + 1)) if len(p.m)]
+    assert sorted(i for p in indexes for i in p.own) == [i for i, f in enumerate(folded) if f] and len(indexes) > 2
+    for n in range(60):
+        p = bytearray(folded[n % len(items)])
+        for _ in range(r.randint(0, len(p) // 10 + 1)):
+            if p:
+                p[r.randrange(len(p))] = r.choice(b"abcd")
+        raw = np.frombuffer(b"common words of " * (n % 3) + b"zz " + bytes(p) + b" yy", np.uint8)
+        f, fo, _ = contamination.fold(raw, np.array([0, len(raw)]))
+        found = {}
+        for index in indexes:
+            for x in contamination.best_places(index.verify(f, fo, index.candidates(f, fo))).tolist():
+                found.setdefault(index.own[x[1]], []).append(x[4])
+        for i, t in enumerate(folded):
+            if t:
+                true = _edit_distance_within(t, f.tobytes())
+                assert (min(found[i]) == true) if true <= int(0.1 * len(t)) else i not in found
+
+
 def test_windows_hold_every_byte():
     texts = [t for t in AWKWARD if t is not None] + ["x" * 700]
     data, off = _flat(texts)
