@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import durable, shared_folder  # noqa: F401
+
 CHUNK_BYTES = 1 << 20
 
 #: [\x20\x09-\x0D], the word separators of every word-based operator.
@@ -34,24 +35,6 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, own only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="palimpsest-shared-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of plans that nothing refers to any more.
 

@@ -206,39 +206,41 @@ def _prefix(s: np.ndarray, k1: int, keys: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, k1), all of a token in one task, to distinct (bucket, k1).
+    """(token, k1), sorted, all of a token in one task, to (bucket, k1).
 
-    A token's classes go to the bucket of the least of them. Copies with edits
-    share many tokens, but these have few different least classes, so that a
-    class is in few buckets; any two classes of a token are in one of them.
+    A token's classes go to the bucket of the least of them, which comes first:
+    only it and the token are carried from batch to batch, however many rows a
+    token has. Copies with edits share many tokens, but these have few different
+    least classes, so that a class is in few buckets; any two classes of a token
+    are in one of them.
     """
-    tokens, classes = [], []
+    token = least = last = None
+    told = False  # whether the carried token's first class has been sent to its bucket
     for b in batches:
-        tokens.append(np.asarray(b.column(0)))
-        classes.append(np.asarray(b.column(1)))
-    if not tokens:
-        return
-    t, c = np.concatenate(tokens), np.concatenate(classes)
-    del tokens, classes
-    order = np.argsort(t, kind="stable")
-    t, c = t[order], c[order]
-    # drop tokens of one row at once; most are
-    same = np.zeros(len(t) + 1, bool)
-    same[1:-1] = t[1:] == t[:-1]
-    shared = same[1:] | same[:-1]
-    t, c = t[shared], c[shared]
-    order = np.lexsort((c, t))
-    t, c = t[order], c[order]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-    t, c = t[new], c[new]
-    if not len(t):
-        return
-    start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-    size = np.diff(np.append(start, len(t)))
-    rows = np.repeat(size > 1, size)
-    pairs = np.unique(np.stack([np.repeat(c[start], size)[rows], c[rows]], 1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["bucket", "k1"])
+        t, c = np.asarray(b.column(0)), np.asarray(b.column(1))
+        if not len(t):
+            continue
+        start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        size = np.diff(np.append(start, len(t)))
+        first = c[start].copy()
+        on = token is not None and t[0] == token
+        if on:
+            first[0] = least
+        bucket = np.repeat(first, size)
+        other = c != bucket
+        if on:
+            other[0] &= c[0] != last  # a row like the one before it
+        other[1:] &= (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        shared = np.add.reduceat(other.astype(np.int64), start) > 0
+        own = shared.copy()
+        if on and told:
+            own[0] = False
+        pairs = np.concatenate([np.stack([bucket[other], c[other]], 1), np.stack([first[own], first[own]], 1)])
+        told = bool(shared[-1]) or (on and len(start) == 1 and told)
+        token, least, last = t[-1], first[-1], c[-1]
+        if len(pairs):
+            pairs = np.unique(pairs, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["bucket", "k1"])
 
 
 def _fold(mark: bytes, level: int) -> np.ndarray:
@@ -436,7 +438,7 @@ def _tiled(rows: DataFrame, group: str, key: str) -> DataFrame:
 def _candidates(described: DataFrame) -> DataFrame:
     """(node, root): classes that may be similar, by candidate component."""
     posts = described.where("prefix is not null").select(F.explode("prefix").alias("token"), "k1")
-    met = posts.repartition("token").mapInArrow(tidied(_meet), "bucket long, k1 long").distinct()
+    met = posts.repartition("token").sortWithinPartitions("token", "k1").mapInArrow(tidied(_meet), "bucket long, k1 long").distinct()
     marks = described.where("mark is not null").select("k1", "k2", "n", "mark").dropDuplicates(["k1", "k2"]).select("k1", "n", "mark")
     placed = _tiled(met, "bucket", "k1")
     tiles = placed.join(marks, "k1").select("bucket", "a", "b", "k1", "n", "mark").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")

@@ -201,6 +201,22 @@ def test_qgram_filter_finds_all_within_budget():
                 assert min(x[4] for x in mine) == true
 
 
+def test_classes_of_a_token_meet_in_the_bucket_of_the_least():
+    """However the sorted rows are cut into batches, and if one token has nearly all of them."""
+    r = random.Random(3)
+    for n in (1, 30, 200):
+        rows = sorted((r.choice([5, 5, 5, 5, r.randrange(20)]), r.randrange(12)) for _ in range(n))
+        want = set()
+        for t in {t for t, _ in rows}:
+            classes = {c for x, c in rows if x == t}
+            if len(classes) > 1:
+                want |= {(min(classes), c) for c in classes}
+        for cut in (1, 2, 7, 500):
+            batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows[i : i + cut]], pa.int64()), pa.array([x[1] for x in rows[i : i + cut]], pa.int64())], names=["token", "k1"]) for i in range(0, n, cut)]
+            got = {p for b in near._meet(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+            assert got == want
+
+
 @pytest.mark.parametrize("slice_", [1 << 21, 40])
 def test_short_passages_keep_their_budget(monkeypatch, slice_):
     """Grams shrink with the passage; what many passages share is counted in slices."""

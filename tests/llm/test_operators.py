@@ -451,3 +451,34 @@ def test_pipeline_stages(spark, docs, tmp_path):
     ids = {x.doc_id for x in now.collect()}
     assert 20 not in ids and not ids & set(range(100, 111)) and 200 not in ids
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
+
+
+def test_pipeline_stages_decide_by_row(spark, docs, tmp_path):
+    """Empty tables, clashing columns, null and repeated ids, repeated rows, and a null in every column."""
+    import corpus_pipeline
+
+    text, other = (docs.where(f"doc_id = {i}").first().text for i in (20, 21))
+    spark.createDataFrame([(1, other[20:180]), (2, None), (3, ""), (4, "a")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, __row0 string, _kept string, kept boolean, _bad long, component_id long, k1 long"
+    more = ("x", "y", True, 5, 6, 7)
+    rows = [(None, text, "en", "s", 1, *more), (None, "", None, None, None, None, None, None, None, None, None), (7, None, None, None, None, None, None, None, None, None, None)]
+    rows += [(8, text[:200] + " another end", "en", "s", 1, *more), (8, other, "en", "s", 1, *more)] + [(9, other + " " + text, "en", "s", 1, *more)] * 2
+    rows += [(100 + i, x.text, x.lang, "s", 1, *more) for i, x in enumerate(docs.where("doc_id between 22 and 60").collect())]
+    table, empty = spark.createDataFrame(rows, kind).repartition(2), spark.createDataFrame([], kind)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, empty, str(tmp_path))
+        assert none.count() == 0
+        if name != "sentencepiece_ids":
+            assert none.columns == table.columns
+    out = [tuple(x) for x in corpus_pipeline.quality_stage(spark, table, str(tmp_path)).collect()]
+    assert {x[0] for x in out} >= {None, 9} and (8, other, "en", "s", 1, *more) in out and not [x for x in out if not x[1]]
+    near_ = corpus_pipeline.near_copy_stage(spark, table, str(tmp_path)).collect()
+    assert len([x for x in near_ if x.doc_id == 9]) == 1 and len([x for x in near_ if not x.text]) == 2
+    copies = spark.createDataFrame([(None, text, "en", "s", 1, *more), (30, text, "en", "s", 1, *more), (30, text, "fr", "s", 1, *more), (31, text + " end", "en", "s", 1, *more), (None, other, "en", "s", 1, *more)], kind)
+    kept = corpus_pipeline.near_copy_stage(spark, copies, str(tmp_path)).collect()
+    assert sorted((x.doc_id is None, x.doc_id, x.text == other) for x in kept) == [(False, 30, False), (True, None, True)]
+    clean = corpus_pipeline.repeat_stage(spark, table, str(tmp_path))
+    assert clean.count() == len(rows) and clean.where("text is null").count() == 1
+    safe = corpus_pipeline.leak_stage(spark, table, str(tmp_path)).collect()
+    assert len(safe) == len(rows) - 3 and len([x for x in safe if x.doc_id == 8]) == 1
+    assert corpus_pipeline.token_stage(spark, table, str(tmp_path)).where("round_trip").count() == len(rows)
