@@ -31,6 +31,9 @@ _SAME = {"mp_", "ln_", "mt_", ""}
 _TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</[a-zA-Z][^>]*>|<[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _RAW = {"script", "style", "textarea", "title"}
+#: Flash players and the pages that show the same in a frame.
+PLAYERS = [(r"^(?:https?:)?//(?:www\.)?youtube(?:-nocookie)?\.com/v/([^?&/]+).*", r"https://www.youtube.com/embed/\1"), (r"^(?:https?:)?//(?:www\.)?vimeo\.com/moogaloop\.swf\?.*?clip_id=([0-9]+).*", r"https://player.vimeo.com/video/\1")]
+_ORDER = re.compile(r"(?i)(loadOrderID&(?:quot;&)?#x[^;]+?;)[0-9]+")
 _ENDS = {tag: re.compile(rf"(?i)</{tag}\s*>") for tag in _RAW}
 _SRCSET = re.compile(r"\s*([^\s,]\S*?)(\s+[0-9.]+[wxh])?\s*(?:,\s+|,(?=(?:https?:)?//)|(?<=[wxh]),|\Z)")
 _REFRESH = re.compile(r"([\s0-9.]+;(?:\s*url\s*=)?\s*)(['\"]?)(\S+?)(['\"]?)\s*\Z", re.I)
@@ -120,14 +123,51 @@ class PageRewriter:
                 kind = have.get("rel", "").lower()
                 modifier = "cs_" if kind == "stylesheet" else "esm_" if kind == "modulepreload" else ""
                 a[1] = self.link(value, modifier, force=kind == "modulepreload")
-            elif tag in ("object", "embed") and name in ("data", "src"):
-                a[1] = self.link(value, "if_" if have.get("type", "") in ("application/pdf", "text/html") else "oe_")
+            elif tag == "object" and name == "data":
+                self.convert_object(a, have.get("type", ""))
+            elif tag == "embed" and name == "src":
+                extra += self.convert_embed(a, have.get("type", ""))
             elif name in rules:
                 a[1] = self.link(value, rules[name])
             elif name in ("href", "src") and value.startswith(("/", "http://", "https://")):
                 a[1] = self.link(value, _ANY.get(name, ""))
         return attrs + extra
 
+    def convert_object(self, a: list, kind: str) -> None:
+        """Documents become frames, drawings images, known players of old plug-ins frames (H8)."""
+        value = a[1]
+        if kind == "application/pdf":
+            a[:], self.tag = ["src", self.link(value, "if_")], "iframe"
+        elif kind == "image/svg+xml":
+            a[:], self.tag = ["src", self.link(value)], "img"
+        elif kind == "application/x-shockwave-flash":
+            for pattern, page in PLAYERS:
+                new = re.sub(pattern, page, value)
+                if new != value:
+                    a[:], self.tag = ["src", self.link(new, "if_")], "iframe"
+                    return
+            a[1] = self.link(value, "oe_")
+        else:
+            a[1] = self.link(value, "oe_")
+
+    def convert_embed(self, a: list, kind: str) -> list[list]:
+        value = a[1]
+        if kind.startswith("image/"):
+            a[1], self.tag = self.link(value), "img"
+        elif kind == "application/pdf" or not kind.startswith("application/"):
+            a[1], self.tag = self.link(value, "if_"), "iframe"
+            if kind != "application/pdf":  # what it is is not known: it may not download or leave
+                return [["sandbox", "allow-same-origin allow-scripts"]]
+        else:
+            a[1] = self.link(value, "oe_")
+        return []
+
+    def text(self, text: str) -> str:
+        """Text between tags: the order of loading as the page's own address has it."""
+        if self.order is None or "loadorderid" not in text.lower():
+            return text
+        return _ORDER.sub(lambda m: m[1] + self.order, text)
+
     def set_base(self, value: str) -> str:
         url = value.strip()
         if not url:
@@ -152,20 +192,25 @@ class PageRewriter:
     def run(self, text: str) -> str:
         if len(text) > MAX_PAGE:
             return text
+        self.turned: dict[str, list[str | None]] = {}
+        told = re.search(r"[?&]:loadOrderID=([0-9]+)", self.base)
+        self.order = told[1] if told else None
         out: list[str] = []
         at, placed = 0, not self.head
         while True:
             m = _TOKEN.search(text, at)
             if not m:
-                out.append(text[at:])
+                out.append(self.text(text[at:]))
                 break
-            out.append(text[at : m.start()])
+            out.append(self.text(text[at : m.start()]))
             raw, at = m[0], m.end()
             if raw[1] in "!?":
                 out.append(raw)
                 continue
             if raw[1] == "/":
-                out.append(raw)
+                ended = raw[2:].rstrip("> \n\t").lower()
+                new = self.turned[ended].pop() if self.turned.get(ended) else None
+                out.append(f"</{new}>" if new else raw)
                 continue
             tag = re.match(r"<([a-zA-Z][^\s/>]*)", raw)[1].lower()
             if tag == "body":
@@ -174,12 +219,16 @@ class PageRewriter:
             closed = body.endswith("/")
             attrs = [[n.lower(), None if v is None else html.unescape(v[1:-1] if v[:1] in "\"'" else v)] for n, v in ((a[1], a[2]) for a in _ATTR.finditer(body[:-1] if closed else body))]
             before = [list(a) for a in attrs]
+            self.tag = tag
             after = self.attrs(tag, attrs)
+            if tag == "object" and not closed:  # its end is told apart by this
+                self.turned.setdefault(tag, []).append(self.tag if self.tag != tag else None)
             if after == before:
                 out.append(raw)
             else:
                 shown = "".join(f' {n}="{_quote(v or "")}"' for n, v in after)
-                out.append(f"<{tag}{shown}{'/' if closed else ''}>")
+                end = "></iframe>" if tag == "embed" and self.tag == "iframe" else "/>" if closed else ">"
+                out.append(f"<{self.tag}{shown}{end}")
             if not placed and tag not in ("html", "!doctype"):
                 out.append(self.head) if tag == "head" else out.insert(len(out) - 1, self.head)
                 placed = True
@@ -198,6 +247,33 @@ class PageRewriter:
         return "".join(out)
 
 
+class ProxyPageRewriter(PageRewriter):
+    """Pages replayed at their own addresses, on another host (H12): frames change the host,
+    links and media only the scheme, and scripts nothing."""
+
+    def __init__(self, base: str, found: str = "", new: str = "", upgrade: bool = False) -> None:
+        super().__init__("", base, wrap_scripts=False)
+        self.found, self.new, self.upgrade = found, new, upgrade
+
+    def link(self, value: str, modifier: str = "", force: bool = False) -> str:
+        if modifier in ("if_", "fr_", "mt_") and self.found:
+            value = re.sub(rf"(?i)^((?:https?:)?//(?:[^/?#]*\.)?){re.escape(self.found)}(?=[/?#:]|\Z)", rf"\g<1>{self.new}", value)
+        return re.sub(r"^http://", "https://", value) if self.upgrade else value
+
+    def attrs(self, tag: str, attrs: list[list]) -> list[list]:
+        if self.upgrade or tag in ("embed", "object", "meta"):
+            return super().attrs(tag, attrs)
+        rules = ATTRS.get(tag, {})
+        if "-" not in tag:  # components of the page's own making stay
+            for a in attrs:
+                if a[1] is not None and (a[0] in rules or a[0] in ("href", "src")):
+                    a[1] = self.link(a[1], rules.get(a[0], ""))
+        return attrs
+
+    def script(self, kind: str, text: str) -> str:
+        return text
+
+
 def _quote(value: str) -> str:
     return re.sub(r"&(?=#?\w+;)", "&amp;", value).replace('"', "&quot;")
 

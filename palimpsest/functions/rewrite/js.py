@@ -1,9 +1,10 @@
-"""Scripts: shadowed globals, rewritten imports.
+"""Scripts: shadowed globals, rewritten imports, and code that stands for a global.
 
-A script that names a global is wrapped in a block where that global is what
-the replay runtime offers. Names that the script declares at its top level are
-not shadowed. ``this``, ``location =`` and ``eval`` are replaced where they
-stand for the global. One compiled alternation does all replacements.
+One compiled alternation walks a script once: strings and comments are passed
+over, each other match is replaced where it stands, and nothing that was
+replaced is looked at again. A script that names a global is then wrapped in a
+block where that global is what the replay runtime offers; what the script
+declares at its top level stays visible outside the block.
 """
 
 from __future__ import annotations
@@ -13,21 +14,68 @@ import re
 from palimpsest.functions.urls import rewrite_url
 
 GLOBALS = tuple("window self document location top parent frames opener globalThis".split())
-_NAMED = re.compile(r"(?<![\w$.])(?:" + "|".join(GLOBALS) + r"|this|eval|postMessage)(?![\w$])|\.(?:location|postMessage|top|parent)\b")
+_NAMED = re.compile(r"(?<![\w$.])(?:" + "|".join(GLOBALS) + r")(?![\w$])")
 _MODULE = re.compile(r"(?m)^\s*(?:import\s*(?:[\w*{][^;'\"]*from\s*)?['\"]|export\s+(?:default|const|let|var|function|class|\*|\{))")
 _STRICT = re.compile(r"^\s*(?:/\*.*?\*/\s*|//[^\n]*\n\s*)*['\"]use strict['\"]", re.S)
 _IMPORT = re.compile(r"""((?:^|[;\s}])(?:import|export)\s*(?:[\w*{$][^;'"()]*?from\s*)?)(['"])([^'"\n]+)(['"])""")
-_DYNAMIC = re.compile(r"(?<![\w$.])import\s*\(")
-_META = re.compile(r"(?<![\w$.])import\.meta\.url\b")
-_RULES: list[tuple[str, str]] = [
-    (r"(?<![\w$.'\"])(?P<pm>\.postMessage)\s*\(", r".__replay_pm(self).postMessage("),
-    (r"(?<![$.\w])location\s*=(?![=>])(?P<loc>)", r"location = ((self.__replay_location && self.__replay_location(location)) || {}).href ="),
-    (r"(?<![\w$.])eval\s*\((?P<ev>)", r"__replay_eval((code, outer) => outer ? (0, eval)(code) : eval(code)).run(this, typeof arguments == 'object' ? arguments : [],"),
-    (r"(?P<ret>\breturn\s+)this\b(?!\s*\.\s*[\w$])(?=\s*[;}\n,)]|\Z)", r"\g<ret>__replay_this(this)"),
-    (r"(?P<eq>[=,(|&?:]\s*)this\b(?=\s*(?:[;}\n,)|&?:]|\Z))", r"\g<eq>__replay_this(this)"),
+_THIS = "__replay_this(this)"
+_EVAL = "__replay_eval((code, outer) => outer ? (0, eval)(code) : eval(code)).run(this, (function() { return arguments })(),"
+_CHECK = "((self.__replay_location && self.__replay_location(location, arguments)) || {}).href = "
+_OWN = "|".join(GLOBALS)
+
+
+def _same(m: re.Match, options: dict) -> str:
+    return m[0]
+
+
+def _this(m: re.Match, options: dict) -> str:
+    return m[0].replace("this", _THIS)
+
+
+def _call_eval(m: re.Match, options: dict) -> str:
+    before = m.string[: m.start()]
+    if before and not before[-1].isspace():
+        return m[0]
+    return m[0] if re.search(r"(?:static|function|\})\s\Z", before[-10:]) else _EVAL
+
+
+def _locate(m: re.Match, options: dict) -> str:
+    strict = options["strict"] if options["strict"] is not None else "class " in m.string[: m.start()]
+    return m[0] + (_CHECK.replace("arguments", "[]") if strict else _CHECK)
+
+
+def _this_property(m: re.Match, options: dict) -> str:
+    """A property of the global; on a line of its own with a semicolon, lest it be taken for an argument."""
+    before = m.string[max(0, m.start() - 2) : m.start()]
+    first = before[0] if len(before) == 2 and before[1].isspace() and before[0] not in ".$" else before[-1:]
+    return (";" if first == "\n" else "") + _THIS
+
+
+def _import(m: re.Match, options: dict) -> str:
+    return "__replay_import(" + ("import.meta.url, " if options["module"] else "null, ")
+
+
+#: (pattern, what to put); of patterns that match at one place the first counts.
+_RULES: list[tuple[str, object]] = [
+    (r"//[^\n]*|/\*(?s:.*?)\*/", _same),
+    (r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"", _same),
+    (r"\beval\s*\(", _call_eval),
+    (r"\(\w+,\s*eval\)\(", lambda m, o: " " + _EVAL),
+    (r"=\s*eval\b(?![(:.$])", lambda m, o: m[0].replace("eval", "self.eval")),
+    (r"\bvar\s+self\b", lambda m, o: m[0].replace("var", "let", 1)),
+    (r"\.postMessage\(", lambda m, o: ".__replay_pm(self)" + m[0]),
+    (r"\b(?:let|const)\s+location\s*=", _same),
+    (r"(?<![$.+*/%^\w-])location\s*=\s*(?![\s\d=>])", _locate),
+    (r"\breturn\s+this\b\s*(?![\s\w.$])", _this),
+    (rf"(?<![$.\w])this(?=\.(?:{_OWN})\b)", _this_property),
+    (r"[=,]\s*this\b\s*(?![\s\w:.$])", _this),
+    (r"\}(?:\s*\))?\s*\(this\)", _this),
+    (r"(?<=[^|&])(?:\|\||&&|\|&|&\|)\s*this\b\s*(?![|\s&.$](?:[^|&]|\Z))", _this),
+    (r"\basync\s+import\s*\(", _same),
+    (r"(?<![$.\w])import\s*\([^)]*\)\s*\{", _same),
+    (r"(?<![$.\w])import\s*\(", _import),
 ]
-_FUSED = re.compile("|".join(f"(?:{p})" for p, _ in _RULES))
-_SINGLE = [(re.compile(p), new) for p, new in _RULES]
+_FUSED = re.compile("|".join(f"(?P<r{k}>{p})" for k, (p, _) in enumerate(_RULES)))
 
 
 def _tokens(text: str):  # noqa: ANN202
@@ -61,6 +109,37 @@ def declared(text: str) -> set[str]:
     return out & set(GLOBALS)
 
 
+def top_names(text: str) -> list[tuple[str, str, int]]:
+    """(let or const, name, place of the keyword) of plain declarations at the top level."""
+    depth, at, kind, where, want = 0, 0, "", 0, False
+    out: list[tuple[str, str, int]] = []
+    last = ""
+    for group, t in _tokens(text):
+        place, at = at, at + len(t)
+        if group in ("comment", "space"):
+            if kind and not want and "\n" in t and last not in (",", "=", "(", "+", "."):
+                kind = ""  # the line ends the statement
+            continue
+        if t in "{([" and group == "other":
+            if want:
+                kind, want = "", False  # a pattern: its names stay inside
+            depth += 1
+        elif t in "})]" and group == "other":
+            depth -= 1
+        elif depth == 0:
+            if group == "word" and want:
+                out.append((kind, t, where))
+                want = False
+            elif group == "word" and t in ("let", "const") and last != ".":
+                kind, where, want = t, place, True
+            elif t == "," and kind:
+                want = True
+            elif t == ";":
+                kind, want = "", False
+        last = t
+    return out
+
+
 def is_module(text: str) -> bool:
     return bool(_MODULE.search(text))
 
@@ -87,34 +166,49 @@ def _absolute(base: str, url: str) -> str:
     return whatwg_join(base, url)
 
 
-def _replace(text: str) -> str:
-    if not _FUSED.search(text):
-        return text
-    for p, new in _SINGLE:
-        text = p.sub(new, text)
-    return text
+def replaced(text: str, module: bool = False, strict: bool | None = None) -> str:
+    """Code that stands for a global replaced, in one pass."""
+    options = {"module": module, "strict": True if module else strict}
+    return _FUSED.sub(lambda m: _RULES[int(m.lastgroup[1:])][1](m, options), text)
+
+
+def _visible(text: str) -> tuple[str, str, str, str]:
+    """What is declared before the block, the script, and what ends and follows the block, so that
+    top-level names outlive it."""
+    before = inside = after = ""
+    cuts = set()
+    for kind, name, place in top_names(text):
+        if name in GLOBALS:
+            continue
+        if kind == "let":
+            before += f"let {name};\n"
+            cuts.add(place)
+        else:
+            inside += f"self.__replay_const_{name} = {name};\n"
+            after += f"const {name} = self.__replay_const_{name}; delete self.__replay_const_{name};\n"
+    for place in sorted(cuts, reverse=True):
+        text = text[:place] + text[place + 3 :]
+    return before, text, "\n;" + inside if inside else "", "\n" + after if after else ""
 
 
 def rewrite_js(text: str, prefix: str = "", base: str = "", inline: bool = False, module: bool | None = None, worker: bool = False) -> str:
-    """A script for replay (H20); unchanged if it names no global."""
+    """A script for replay (H20); one that names no global is not wrapped."""
     module = is_module(text) if module is None else module
-    out = text
+    out = replaced(text, module, True if is_strict(text) else None)
     if module and prefix:
         out = rewrite_imports(out, prefix.replace("mp_/", "esm_/"), base)
-    out = _META.sub("import.meta.url", out)
-    if _DYNAMIC.search(out):
-        out = _DYNAMIC.sub("__replay_import(import.meta.url, " if module else "__replay_import(self.location.href, ", out)
     if worker:
         return f'self.importScripts("{prefix}replay-worker.js");\n' + out if prefix else out
-    if not _NAMED.search(text):
-        return out
-    out = _replace(out)
+    named = bool(_NAMED.search(text))
     shadow = [g for g in GLOBALS if g not in declared(text)]
     if module:
-        return f'import {{ {", ".join(shadow)} }} from "{prefix}__replay_module.js";\n' + out
+        return f'import {{ {", ".join(shadow)} }} from "{prefix}__replay_module.js";\n' + out if named else out
+    if not named:
+        return out.replace("\n", " ") if inline else out
     lets = " ".join(f'let {g} = __replay_get("{g}");' for g in shadow)
     head = "var __replay_get = function(n) { return (self.__replay && self.__replay.get && self.__replay.get(n)) || self[n]; };"
+    before, out, inside, after = _visible(out)
     if inline:
-        return head + " { " + lets + " " + out.replace("\n", " ") + " }"
+        return (before + head + " { " + lets + " " + out + inside + " }" + after).replace("\n", " ")
     strict = "'use strict';" if is_strict(text) else ""
-    return f"{strict}{head}\n{{\n{lets}\nlet arguments;\n\n{out}\n\n}}"
+    return f"{strict}{before}{head}\n{{\n{lets}\nlet arguments;\n\n{out}{inside}\n\n}}{after}"

@@ -646,6 +646,59 @@ def missing_bodies(spark, d):
     return table(spark, d, "events").select("event_id", R.not_found_body(kind, F.concat(F.lit("https://u"), "user_id", F.lit(".example/"))).alias("body"))
 
 
+_CHECKED = "((self.__replay_location && self.__replay_location(location, arguments)) || {}).href = "
+#: Scripts and what becomes of them; U stands for a name.
+_SCRIPTS = [
+    ("a = eval;", "a = self.eval;"), ("var self = U;", "let self = U;"), ("w.postMessage(U)", "w.__replay_pm(self).postMessage(U)"), ("let location = U", "let location = U"),
+    ("location = U", f"location = {_CHECKED}U"), ("return this;", "return __replay_this(this);"), ("x(this.location, U)", "x(__replay_this(this).location, U)"),
+    ("})(this)", "})(__replay_this(this))"), ("U || this;", "U || __replay_this(this);"), ("async import(U)", "async import(U)"), ("import(U)", "__replay_import(null, U)"),
+    ('"x = this; location = U" // return this', '"x = this; location = U" // return this'), ("my.location = U.eval(this.x)", "my.location = U.eval(this.x)"),
+    ("f()\n\nthis.top", "f()\n\n;__replay_this(this).top"), ("class A {}; location = U", f"class A {{}}; location = {_CHECKED.replace('arguments', '[]')}U"), ("x = this", "x = __replay_this(this)"),
+]
+
+
+def _case(column: int) -> str:
+    """SQL of one side of _SCRIPTS by event_id."""
+    whens = " ".join(f"WHEN {k} THEN '" + pair[column].replace("'", "''").replace("\n", "~") + "'" for k, pair in enumerate(_SCRIPTS))
+    return f"replace(replace(CASE event_id % {len(_SCRIPTS)} {whens} END, '~', chr(10)), 'U', 'u' || user_id)"
+
+
+@register(f"SELECT event_id, {_case(1)} AS js FROM events")
+def script_rules(spark, d):
+    """Each rule of scripts, and code that looks like one."""
+    from palimpsest.functions.rewrite.js import replaced
+
+    return table(spark, d, "events").select("event_id", _udf("string", lambda text: replaced(text))(F.expr(_case(0))).alias("js"))
+
+
+@register(f"""WITH e AS (SELECT event_id, 'https://u' || user_id || '.example' AS root FROM events)
+SELECT event_id, '<iframe src="/coll/20200101000000if_/' || root || '/d.pdf" type="application/pdf">x</iframe><iframe src="/coll/20200101000000if_/' || root || '/e.bin" sandbox="allow-same-origin allow-scripts"></iframe><img src="{PATH}' || root ||
+  '/i.png" type="image/png"><object data="/coll/20200101000000oe_/' || root || '/o.x">y</object><img src="{PATH}' || root || '/v.svg" type="image/svg+xml"></img>' AS html FROM e""")
+def object_conversion(spark, d):
+    from palimpsest.functions.rewrite.html import page_rewriter
+
+    page = '<object data="/d.pdf" type="application/pdf">x</object><embed src="/e.bin"><embed src="/i.png" type="image/png"><object data="/o.x">y</object><object data="/v.svg" type="image/svg+xml"></object>'
+    return table(spark, d, "events").select("event_id", page_rewriter(PREFIX)(F.lit(page), F.concat(F.lit("https://u"), "user_id", F.lit(".example/p"))).alias("html"))
+
+
+@register("""SELECT event_id, '<p>loadOrderID&quot;&#x3A;' || CASE WHEN event_id % 2 = 0 THEN user_id ELSE 123 END || '</p>' AS html FROM events""")
+def text_node_rule(spark, d):
+    from palimpsest.functions.rewrite.html import page_rewriter
+
+    base = F.concat(F.lit("https://a.example/?x"), F.when(F.expr("event_id % 2 = 0"), "&:loadOrderID=").otherwise("&other="), "user_id")
+    return table(spark, d, "events").select("event_id", page_rewriter(PREFIX)(F.lit("<p>loadOrderID&quot;&#x3A;123</p>"), base).alias("html"))
+
+
+@register("""SELECT event_id, '<iframe src="https://u' || user_id || '.test/f"></iframe><a href="https://u' || user_id || '.example/l">x</a><script>this.location</script>' AS html FROM events""")
+def proxied_pages(spark, d):
+    """Pages replayed on another host: frames move, links and scripts stay."""
+    from palimpsest.functions.rewrite.html import ProxyPageRewriter
+
+    fix = _udf("string", lambda text, base: ProxyPageRewriter(base, "example", "test").run(text))
+    page = F.concat(F.lit('<iframe src="https://u'), "user_id", F.lit('.example/f"></iframe><a href="https://u'), "user_id", F.lit('.example/l">x</a><script>this.location</script>'))
+    return table(spark, d, "events").select("event_id", fix(page, F.lit("https://a.example/")).alias("html"))
+
+
 # --- integrity, statistics, streams --------------------------------------------------------------
 
 @register("""SELECT 'f' || doc_id AS id, 'sha256:' || sha256(coalesce(text, '')) AS expected, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS matched FROM documents""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 
 from pyarrow import fs
@@ -86,10 +87,31 @@ def move_file(path: str, to: str) -> None:
     system.move(at, _system(to)[1])
 
 
+#: Reads that fail are tried again: so often, and each time so many seconds later than before.
+TRIES, WAIT = 20, 2.0
+
+
+def retried(read, tries: int = TRIES, wait: float = WAIT, first: float = 1.0):  # noqa: ANN001, ANN201
+    """What ``read()`` gives; failing reads are repeated, ever later (SC23). The last error is raised."""
+    for k in range(tries):
+        try:
+            return read()
+        except FileNotFoundError:
+            raise
+        except OSError:
+            if k + 1 == tries:
+                raise
+            time.sleep(first + k * wait)
+    raise ValueError("no tries")
+
+
 def read_range(path: str, start: int = 0, length: int = -1) -> bytes:
-    with open_file(path) as f:
-        f.seek(start)
-        return f.read(length) if length >= 0 else f.read()
+    def read() -> bytes:
+        with open_file(path) as f:
+            f.seek(start)
+            return f.read(length) if length >= 0 else f.read()
+
+    return retried(read)
 
 
 def expand(path: str) -> list[str]:

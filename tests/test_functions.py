@@ -212,3 +212,36 @@ def test_text_and_encodings(spark):
     assert (r.status, r.content_range, r.body) == (416, "bytes */10", None)
     r = _one(spark, a=X.charset(F.lit('<meta charset="ISO-8859-1">')), b=X.decode_text(F.lit("é".encode("latin-1")), F.lit("latin1")), c=X.decode_text(F.lit(b"\xff\xfea\x00"), F.lit(None).cast("string")))
     assert (r.a, r.b, r.c) == ("iso-8859-1", "é", "a")
+
+
+def test_top_level_names_outlive_the_wrapper():
+    from palimpsest.functions.rewrite.js import top_names
+
+    script = "let a = 1, b = {c: 2};\nconst d = () => { let inner = 3; }\nconst {e} = d; let top = 4; window.x = `${a}`"
+    assert [(k, n) for k, n, _ in top_names(script)] == [("let", "a"), ("let", "b"), ("const", "d"), ("let", "top")]
+    out = rewrite_js(script)
+    assert out.startswith("let a;\nlet b;\n") and "\n a = 1, b = {c: 2};" in out and "let top = 4" in out
+    assert out.endswith("const d = self.__replay_const_d; delete self.__replay_const_d;\n") and "self.__replay_const_d = d;" in out
+
+
+def test_failing_reads_are_repeated():
+    from palimpsest.sources import files
+
+    calls = []
+
+    def read():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return b"x"
+
+    assert files.retried(read, wait=0, first=0) == b"x" and len(calls) == 3
+    with pytest.raises(OSError, match="busy"):
+        files.retried(lambda: (_ for _ in ()).throw(OSError("busy")), tries=2, wait=0, first=0)
+
+
+def test_players_become_frames():
+    from palimpsest.functions.rewrite.html import rewrite_html
+
+    flash = '<object type="application/x-shockwave-flash" data="//www.youtube.com/v/abc?x=1"></object>'
+    assert rewrite_html(flash, PRE, BASE) == f'<iframe type="application/x-shockwave-flash" src="{PRE.replace("mp_", "if_")}https://www.youtube.com/embed/abc"></iframe>'
