@@ -23,6 +23,8 @@ from palimpsest.llm.toxicity import _OUTSIDE
 SLOTS = 1 << 16
 #: Lines of documents that stand for ``unknown`` in training.
 BACKGROUND = 4000
+#: Characters of a background line that training sees; scans read whole lines.
+BACKGROUND_CHARS = 2000
 #: Of the words of a template or of the paragraph, the share that must agree, in order.
 CLOSE = 0.6
 #: Of calibration paragraphs without a licence, the share that may pass.
@@ -311,7 +313,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     line = F.expr("element_at(split(text, '\n'), cast(1 + pmod(xxhash64(text), size(split(text, '\n'))) as int))")
     sample = bounded_sample(rows.where("text is not null").select("text", F.lit(1).alias("_one")), "_one", BACKGROUND)
-    background = sample.select(F.substring(line, 1, 2000).alias("line")).orderBy("line").collect()
+    background = sample.select(F.substring(line, 1, BACKGROUND_CHARS).alias("line")).orderBy("line").collect()
     model = docs.sparkSession.sparkContext.broadcast(train([r["line"].encode() for r in background]))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(tidied(_scan(model)),

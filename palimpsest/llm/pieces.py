@@ -30,6 +30,10 @@ PAIRS = 2_000_000
 STRIDE = 32
 #: Segments walked side by side.
 LANES = 40_000
+#: Characters that a walk is fed at once.
+FEED = 4096
+#: The longest segments of a batch are walked one by one: side by side, so few would cost more.
+FEW = 40
 UNKNOWN_PENALTY = 10.0
 BATCH_BYTES = 4 << 20
 
@@ -69,6 +73,8 @@ class PieceModel:
         self._halves: dict[str, tuple[str, str]] = {}
         self._tied = len(set(self.scores.values())) < len(self.scores)
         self._own: dict[str, bool] = {}
+        self._young: dict[tuple[str, str], bool] = {}
+        self._older: dict[tuple[str, str], bool] = {}
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         starts_only = not any(MARK in p.lstrip(MARK) for p in self.ids)
         # where no piece spans a boundary all paths meet: texts part there at once
@@ -117,9 +123,15 @@ class PieceModel:
         that then met at the boundary must not have merged first. Pieces of equal
         score (runs of spaces) have no such order; their text is merged anew.
         """
-        if self._tied and MARK + MARK in a + b:
-            return self.merged(a + b) == [a, b]
-        return self._unmerged(a, b)
+        ok = self._young.get((a, b))
+        if ok is None:
+            ok = self._older.get((a, b))
+            if ok is None:
+                ok = self.merged(a + b) == [a, b] if self._tied and MARK + MARK in a + b else self._unmerged(a, b)
+            if len(self._young) >= PAIRS // 16:  # the older half goes
+                self._older, self._young = self._young, {}
+            self._young[a, b] = ok
+        return ok
 
     def _unmerged(self, a: str, b: str) -> bool:
         rank, limit = self.rank, len(self.rank)
@@ -430,26 +442,51 @@ class Encoder:
 
     def _walked(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each segment and the ids."""
-        m = self.m
         raw = data[_ranges(start, end - start)]
         chars = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
         chars[chars == 0x20] = ord(MARK)
         heads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         off = heads[np.concatenate([[0], np.cumsum(end - start)])]
-        n = len(off) - 1
+        length = np.diff(off)
+        alone = np.zeros(len(length), bool)
+        alone[np.argsort(-length, kind="stable")[:FEW]] = True
+        size = np.zeros(len(length), np.int64)
+        found = []
+        for some, walk in ((~alone, self._side_by_side), (alone, self._one_by_one)):
+            own = length[some]
+            size[some], ids = walk(chars[_ranges(off[:-1][some], own)], np.concatenate([[0], np.cumsum(own)]))
+            found.append((some, ids))
+        at = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.int32)
+        for some, ids in found:
+            out[_ranges(at[some], size[some])] = ids
+        return size, out
+
+    def _one_by_one(self, chars: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, ids = [], []
+        text = chars.astype("<u4").tobytes().decode("utf-32-le")
+        for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            v, n = StreamingViterbi(self.m), len(ids)
+            for k in range(i, j, FEED):
+                ids += v.feed(text[k : min(k + FEED, j)])
+            ids += v.finish()
+            size.append(len(ids) - n)
+        return np.array(size, np.int64), np.array(ids, np.int32)
+
+    def _side_by_side(self, chars: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, n = self.m, len(off) - 1
         blocks = [self.lanes.walk(chars[off[i] : off[min(i + LANES, n)]], off[i : i + LANES + 1] - off[i]) for i in range(0, n, LANES)]
         codes, size = (np.concatenate(x) for x in zip(*blocks, strict=True)) if blocks else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         lone = np.flatnonzero(codes >= self.lanes.n_ids)
-        if len(lone):  # bytes or the unknown piece
-            spelt = [m.emit(chr(c - self.lanes.n_ids)) for c in codes[lone].tolist()]
-            many = np.ones(len(codes), np.int64)
-            many[lone] = [len(x) for x in spelt]
-            ids = np.repeat(codes, many)
-            at = np.cumsum(many) - many
-            ids[_ranges(at[lone], many[lone])] = [i for x in spelt for i in x]
-            size = per_row(many, np.concatenate([[0], np.cumsum(size)]))
-            return size, ids
-        return size, codes
+        if not len(lone):
+            return size, codes
+        # a character outside the vocabulary: its bytes, or the unknown piece
+        spelt = [m.emit(chr(c - self.lanes.n_ids)) for c in codes[lone].tolist()]
+        many = np.ones(len(codes), np.int64)
+        many[lone] = [len(x) for x in spelt]
+        ids = np.repeat(codes, many)
+        ids[_ranges((np.cumsum(many) - many)[lone], many[lone])] = [i for x in spelt for i in x]
+        return per_row(many, np.concatenate([[0], np.cumsum(size)])), ids
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their offsets by row of prepared texts (a space in front where the model wants it)."""

@@ -7,12 +7,16 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import contamination, graph, langid, licences, near, pieces, quality, repeats, shards, toxicity, urls
+from palimpsest.llm.common import flat
 from palimpsest.llm.queries import PIECE_MODEL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -482,3 +486,119 @@ def test_pipeline_stages_decide_by_row(spark, docs, tmp_path):
     safe = corpus_pipeline.leak_stage(spark, table, str(tmp_path)).collect()
     assert len(safe) == len(rows) - 3 and len([x for x in safe if x.doc_id == 8]) == 1
     assert corpus_pipeline.token_stage(spark, table, str(tmp_path)).where("round_trip").count() == len(rows)
+
+
+def test_language_scores_equal_a_plain_forward_pass(docs):
+    """Windows, filters, pooling and softmax one at a time."""
+    langs, net = langid.train(docs)
+    out = {(x.doc_id, x.lang_pred): x.score for x in langid.identify(docs).collect()}
+    for row in docs.where("doc_id < 12 or doc_id = 205").collect():
+        raw = re.sub(rb"[A-Z]", lambda m: m[0].lower(), row.text.encode())
+        total = np.zeros(len(langs))
+        for at in range(0, len(raw), langid.WINDOW):
+            window = raw[at : at + langid.WINDOW]
+            padded = window + bytes(langid.WINDOW - len(window) + max(langid.WIDTHS))
+            hidden = []
+            for i, width in enumerate(langid.WIDTHS):
+                for f in range(i * langid.FILTERS, (i + 1) * langid.FILTERS):
+                    w = net.filt[: width * langid.DIM, f].reshape(width, langid.DIM)
+                    each = sum(net.embed[list(padded[k : k + langid.WINDOW])] @ w[k] for k in range(width))
+                    hidden.append(max(0.0, float(each.max()) + net.bias[f]))
+            z = np.array(hidden) @ net.dense + net.base
+            p = np.exp(z - z.max())
+            total += p / p.sum() * len(window)
+        best = int(total.argmax())
+        assert out[row.doc_id, langs[best]] == pytest.approx(total[best] / total.sum(), abs=1e-3)
+
+
+def test_licence_lines_equal_a_plain_scan():
+    """Lines one at a time: weights added up, softmax, threshold, and templates by a plain common subsequence."""
+    net = licences.train([f"plain line number {i} about rivers and hills".encode() for i in range(300)])
+    lines = [t for f in licences.TEMPLATES.values() for t in f] + ["The general assembly met on Monday.", "", "rivers and hills", "Licensed under nothing at all"]
+    lines += [" ".join(x.split()[:-2]).upper() for x in lines[:6]]
+    texts = [None, "", "\n".join(lines), lines[0] + "\n" + lines[0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    got = [r for b in licences._scan(types.SimpleNamespace(value=net))(iter([batch])) for r in b.to_pylist()]
+    want = []
+    for doc, text in enumerate(texts):
+        at = 0
+        for nth, line in enumerate((text or "").split("\n")):
+            slot, _ = licences._grams_of_lines([line.encode()])
+            if len(slot):
+                z = [sum(float(net.weights[x, k]) for x in slot) / len(slot) ** 0.5 + float(net.bias[k]) for k in range(len(net.families))]
+                e = [math.exp((x - max(z)) / net.temperature) for x in z]
+                p = [x / sum(e) for x in e]
+                k = max(range(len(p)), key=p.__getitem__)
+                if k and p[k] >= net.least:
+                    words = licences.template_words(line)
+                    want.append((doc, nth, at, at + len(line.encode()), net.families[k], p[k], max(_common(words, licences.template_words(t)) for t in licences.TEMPLATES[net.families[k]])))
+            at += len(line.encode()) + 1
+    assert [(r["doc_id"], r["line"], r["start_byte"], r["end_byte"], r["family"]) for r in got] == [x[:5] for x in want]
+    for r, x in zip(got, want, strict=True):
+        assert r["probability"] == pytest.approx(x[5], abs=1e-4) and r["similarity"] == pytest.approx(x[6])
+        assert r["confirmed"] == (x[6] >= licences.CLOSE)
+    assert sum(r["confirmed"] for r in got) >= len(licences.TEMPLATES)
+
+
+def _common(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1] / len(b) if b else 0.0
+
+
+def test_label_model_posterior_equals_enumeration():
+    r = np.random.default_rng(4)
+    counts = r.integers(0, 50, 1 << toxicity.VOTERS).astype(float)
+    labelled = r.integers(0, 3, (2, 1 << toxicity.VOTERS)).astype(float)
+    model = toxicity.LabelModel().fit(counts, labelled, rounds=20)
+    post = model.posterior()
+    i, j = np.triu_indices(toxicity.VOTERS, 1)
+    for state in r.integers(0, 1 << toxicity.VOTERS, 60):
+        v = [(int(state) >> k) & 1 for k in range(toxicity.VOTERS)]
+        base = sum(x * y for x, y in zip(v, model.rate, strict=True)) + sum(v[a] * v[b] * c for a, b, c in zip(i, j, model.correlation, strict=True))
+        one, none = math.exp(base + model.b + sum(x * y for x, y in zip(v, model.accuracy, strict=True))), math.exp(base)
+        assert post[state] == pytest.approx(one / (one + none), rel=1e-6, abs=1e-12)
+
+
+def test_votes_of_many_texts_equal_those_of_each():
+    r = random.Random(6)
+    texts = ["", "VILEWORT vilething, vilely nasty", "### $$ !! a", "QUITE LOUD"] + [" ".join(r.choice(["vilewort", "nastig", "plain", "words", "Of"]) for _ in range(r.randint(1, 40))) for _ in range(40)]
+    data, off = flat(pa.array(texts))
+    entries = np.unique(toxicity.entries_of(*flat(pa.array(["vilewort nastig vilething"])))[0])
+    lex = toxicity.Lexicon(entries[entries >= 0], np.array(r.choices([True, False], k=int((entries >= 0).sum()))))
+    pattern, hits = toxicity.votes_of(lex, data, off)
+    for k, t in enumerate(texts):
+        one, own = toxicity.votes_of(lex, *flat(pa.array([t])))
+        assert one[0] == pattern[k] and own[0].tolist() == hits[k].tolist()
+        chars = max(1, len(t.encode()))
+        assert bool(pattern[k] >> 10 & 1) == (20 * sum(c in "#*$%&|<>!@" for c in t) >= chars)
+        assert bool(pattern[k] >> 11 & 1) == (2 * sum("A" <= c <= "Z" for c in t) >= chars)
+
+
+def test_very_long_texts(spark, docs):
+    """Texts beyond a chunk, on one line and in one word, through all ten operators."""
+    r = random.Random(3)
+    tail = _words(r, "en", 90)
+    long = _words(r, "en", 170_000) + " " + tail
+    word = "".join(r.choice("etaoin") for _ in range(1_200_000))
+    assert min(len(long), len(word)) > 1 << 20
+    more = [(901, long), (902, _words(r, "de", 60) + " " + tail), (903, word), (904, word[:600_000] + "z" + word[600_000:])]
+    rows = docs.where("doc_id < 40").select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(i, t, "en") for i, t in more], "doc_id long, text string, lang string")).repartition(2)
+    ruled = {x.doc_id: x for x in quality.judge(rows).collect()}
+    assert (ruled[901].n_words, ruled[903].n_words, ruled[903].word_chars) == (len(long.split()), 1, len(word))
+    assert {x.doc_id: x.lang_pred for x in langid.identify(rows).collect()}[901] == "en"
+    found = contamination.find_leaks(rows, spark.createDataFrame([(1, tail[5:300])], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.edits) for x in found} == {(901, 0), (902, 0)} and max(x.end_byte for x in found) > len(long) - 500
+    assert licences.scan(rows).where("doc_id = 903").count() == 0
+    coded = {x.doc_id: x for x in pieces.encode(rows, PIECE_MODEL).where("doc_id > 900").collect()}
+    assert all(x.round_trip for x in coded.values()) and coded[903].n_ids > 100_000
+    cut = {x.doc_id: x for x in repeats.remove_repeats(rows).collect()}
+    assert cut[903].n_removed == len(word) and cut[904].n_removed == len(word) and cut[904].n_spans == 2
+    assert cut[901].n_removed >= len(tail) - 5 and cut[902].n_removed >= len(tail)
+    same = {x.doc_id: x for x in near.near_duplicates(rows).collect()}
+    assert same[901].n_similar == same[903].n_similar == 0 and same[903].n_shingles == 1
+    scores = {x.doc_id: x.score for x in toxicity.score(rows, spark.createDataFrame([(1, 0), (2, 1), (3, 0), (5, 1)], "doc_id long, toxic int")).collect()}
+    assert set(scores) >= {901, 902, 903, 904}
+    assert {x.doc_id: x["size"] for x in shards.shard_documents(rows, [1.0] * 5).collect()}[903] == len(word) + 16

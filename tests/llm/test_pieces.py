@@ -30,9 +30,12 @@ def _encoded(encoder, texts):
     return [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)], same.tolist()
 
 
-def test_ids_equal_the_library(model):
+@pytest.mark.parametrize("few", [0, 3, 40])
+def test_ids_equal_the_library(model, monkeypatch, few):
     import sentencepiece
 
+    monkeypatch.setattr(pieces, "FEW", few)  # how many are walked one by one
+
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     want = [library.encode(t) for t in _texts()]
     small = pieces.Encoder(model, capacity=8)  # hardly remembers anything
