@@ -140,3 +140,64 @@ def incremental_ingest(spark, d):
     rows.repartition(4).write.parquet(f"{base}/in")
     ingest(spark, f"{base}/in", rows.schema, f"{base}/out", f"{base}/check", files_per_batch=1).awaitTermination()
     return ingested(spark, f"{base}/out").select("url", "ts_ms", "event_id")
+
+
+@register("SELECT page_id, html FROM pages")
+def nested_archives(spark, d):
+    """Members of an archive inside an archive, each read by its path."""
+    import io
+    import zipfile
+
+    base = _folder(spark, "nested")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        rows = [r for b in batches for r in zip(b["page_id"], b["html"], strict=True)]
+        inner, outer, name = io.BytesIO(), io.BytesIO(), f"{base}/o{TaskContext.get().partitionId()}.zip"
+        with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+            for i, t in rows:
+                z.writestr(f"p/{i}.html", (t or "").encode())
+        with zipfile.ZipFile(outer, "w") as z:
+            z.writestr("in.zip", inner.getvalue())
+        held = f"{name}.{TaskContext.get().taskAttemptId()}"
+        with files.create_file(held) as f:
+            f.write(outer.getvalue())
+        files.move_file(held, name)
+        yield pd.DataFrame({"page_id": [i for i, _ in rows], "path": [f"{name}#!/in.zip#!/p/{i}.html" for i, _ in rows]})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"page_id": b["page_id"], "html": [files.read_range(p).decode() for p in b["path"]]})
+
+    packed = table(spark, d, "pages").select("page_id", "html").repartition(3, "page_id").mapInPandas(pack, "page_id long, path string")
+    shared_folder(spark)
+    return packed.checkpoint(eager=True).mapInPandas(read, "page_id long, html string")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, plan, name: str) -> DataFrame:  # noqa: ANN001
+    """What a streaming plan makes of ``rows``, read from files until there are no more."""
+    base = _folder(spark, name)
+    rows.repartition(4).write.parquet(f"{base}/in")
+    stream = plan(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@register("""SELECT 'c' || (event_id % 7) AS client, event_type AS url, row_number() OVER (PARTITION BY event_id % 7, event_type ORDER BY ts) - 1 AS skip FROM events""")
+def streamed_repeat_counts(spark, d):
+    """How often a client asked for a URL before, by a stream that keeps a count for each."""
+    from palimpsest.streaming.access import repeat_counts
+
+    rows = table(spark, d, "events").select(F.expr("concat('c', event_id % 7)").alias("client"), F.col("event_type").alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+    return _streamed(spark, rows, repeat_counts, "repeats").select("client", "url", "skip")
+
+
+@register("""WITH w AS (SELECT date_trunc('hour', ts) AS start, event_id % 5 AS client, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT epoch_us(start) AS start_us, client, n FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)""")
+def streamed_client_windows(spark, d):
+    """Windows that the watermark has closed."""
+    from palimpsest.streaming.access import client_windows
+
+    rows = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.expr("event_id % 5").alias("client"))
+    return _streamed(spark, rows, lambda s: client_windows(s, width="1 hour"), "windows").select(F.unix_micros("start").alias("start_us"), "client", "n")

@@ -743,4 +743,56 @@ def text_index(spark, d):
     return listing.text_index(pages).select("url", "ts_ms", "text")
 
 
+@register("""SELECT event_id, event_id % 5 IN (0, 1) AS changed FROM events""")
+def script_types(spark, d):
+    """Which kinds of scripts are code."""
+    from palimpsest.functions.rewrite.html import PageRewriter
+
+    changed = _udf("boolean", lambda kind: PageRewriter(PREFIX, "https://a.example/").script(kind, "window.x = 1") != "window.x = 1")
+    return table(spark, d, "events").select("event_id", changed(F.expr("element_at(array('', 'text/javascript', 'application/json', 'text/template', 'speculationrules'), cast(1 + event_id % 5 as int))")).alias("changed"))
+
+
+@register("""SELECT event_id, 'https://a.example/x.js' || CASE WHEN event_id % 2 = 0 THEN '' ELSE '?v=' || repeat('1', 5000) END AS canon FROM events""")
+def length_guards(spark, d):
+    """Rules are not tried on very long URLs."""
+    from palimpsest.operators.fuzzy import routed
+
+    url = F.concat(F.lit("https://a.example/x.js?v="), F.expr("repeat('1', case when event_id % 2 = 0 then 10 else 5000 end)"))
+    return table(spark, d, "events").select("event_id", routed(url)["canon"].alias("canon"))
+
+
+@register("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '.warc.gz' WHEN 1 THEN '.wacz' WHEN 2 THEN '.cdxj' END AS ending FROM events""")
+def known_extensions(spark, d):
+    name = F.expr("concat('https://a.example/f', user_id, element_at(array('.WARC.GZ?x=1', '.wacz#p', '.cdxj', '.txt'), cast(1 + event_id % 4 as int)))")
+    return table(spark, d, "events").select("event_id", _udf("string", lambda n: files.known_extension(n))(name).alias("ending"))
+
+
+@register("""SELECT c_custkey, c_name = 'Customer#000000001' AS named, CASE WHEN c_name = 'Customer#000000001' THEN 'new' ELSE c_mktsegment END AS title, CASE WHEN c_name = 'Customer#000000001' THEN 'd' END AS about,
+  CASE WHEN c_name = 'Customer#000000002' THEN 'secret' END AS auth FROM customer""")
+def collection_metadata(spark, d):
+    """One collection's metadata merged, another's request headers set."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.create_map(F.lit("title"), "c_mktsegment").alias("metadata"), F.lit(None).cast("map<string,string>").alias("headers"))
+    c = collections.update_auth(collections.merge_metadata(c, "Customer#000000001", {"title": "new", "desc": "d"}), "Customer#000000002", {"Authorization": "secret"})
+    return c.select("c_custkey", (F.col("name") == "Customer#000000001").alias("named"), F.col("metadata")["title"].alias("title"), F.col("metadata")["desc"].alias("about"), F.col("headers")["Authorization"].alias("auth"))
+
+
+@register("""SELECT doc_id, 'datapackageHash' AS id, doc_id % 2 = 0 AS matched FROM documents""")
+def digest_records(spark, d):
+    """Signed digest files: the hash of the manifest beside them."""
+    import json
+
+    @F.pandas_udf("array<struct<id: string, matched: boolean>>")
+    def told(told_hash: pd.Series, manifest: pd.Series) -> pd.Series:
+        return pd.Series([[{"id": i, "matched": m} for i, _, m in integrity.digest_record(json.dumps({"hash": h}), t.encode())] for h, t in zip(told_hash, manifest, strict=True)])
+
+    t = F.coalesce("text", F.lit(""))
+    right = F.concat(F.lit("sha256:"), F.sha2(F.concat(t, F.when(F.expr("doc_id % 2 = 0"), "").otherwise("!")), 256))
+    return table(spark, d, "documents").select("doc_id", F.explode(told(right, t)).alias("x")).select("doc_id", "x.*")
+
+
+@register("SELECT doc_id, 'sha256:' || sha256(coalesce(text, '')) AS hash FROM documents")
+def payload_hashes(spark, d):
+    return table(spark, d, "documents").select("doc_id", integrity.payload_hash(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"))
+
+
 OWN = set(QUERIES)

@@ -30,6 +30,9 @@ class _View:
     def tell(self) -> int:
         return self.at
 
+    def seekable(self) -> bool:
+        return True
+
     def read(self, n: int = -1) -> bytes:
         n = self.size - self.at if n is None or n < 0 else min(n, self.size - self.at)
         if n <= 0:
