@@ -23,7 +23,7 @@ from palimpsest.llm.common import flat, mix, per_row, prefix_hash, range_hash, t
 
 MARK = "▁"
 #: Segments remembered by one Python worker; beyond, those unused for longest go.
-CACHE = 1_000_000
+CACHE = 600_000
 #: Pairs of pieces remembered by one Python worker.
 PAIRS = 2_000_000
 #: Columns between two commits of the lanes, and spare columns of their ring.
@@ -35,7 +35,7 @@ FEED = 4096
 #: The longest segments of a batch are walked one by one: side by side, so few would cost more.
 FEW = 40
 UNKNOWN_PENALTY = 10.0
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 class PieceModel:
@@ -128,7 +128,7 @@ class PieceModel:
             ok = self._older.get((a, b))
             if ok is None:
                 ok = self.merged(a + b) == [a, b] if self._tied and MARK + MARK in a + b else self._unmerged(a, b)
-            if len(self._young) >= PAIRS // 16:  # the older half goes
+            if len(self._young) >= PAIRS // 32:  # the older half goes
                 self._older, self._young = self._young, {}
             self._young[a, b] = ok
         return ok

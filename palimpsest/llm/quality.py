@@ -24,12 +24,12 @@ from palimpsest.llm.common import SPACE, chunks, durable, flat, mix, per_row, pr
 ORDER = 5
 #: 5-grams in one file of the model.
 SHARD = 1 << 20
-#: Files that a worker keeps in memory (12 bytes a gram); others are read again for each block.
+#: Files that a task keeps in memory (12 bytes a gram); others are read again for each block.
 HELD = 16
 #: Bytes of texts whose grams are looked up together.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 #: Different grams that a task counts before it passes them on.
-PENDING = 1 << 21
+PENDING = 1 << 20
 MIN_WORDS = 50
 #: Bands: this many interquartile ranges beyond the quartiles of log perplexity.
 BAND = 3.0
@@ -73,7 +73,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(k)
                 counts.append(n)
                 held += len(k)
-            if held > 2 * base + PENDING:  # merge as often as the sum doubles
+            if held > 2 * base + PENDING // 2:  # merge as often as the sum doubles
                 k, n = _summed(keys, counts)
                 keys, counts, held = [k], [n], len(k)
                 base = held
@@ -218,18 +218,6 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-_FILES: dict[tuple[str, ...], GramFiles] = {}
-
-
-def _gram_files(files: list[str]) -> GramFiles:
-    """The model's arrays, kept by a Python worker from task to task."""
-    name = tuple(files)
-    if name not in _FILES:
-        _FILES.clear()
-        _FILES[name] = GramFiles(files)
-    return _FILES[name]
-
-
 def mean_and_spread(model: GramFiles, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and standard deviation of -log p of each text's bytes; 0 for empty texts."""
     mean, spread = np.zeros(len(off) - 1), np.zeros(len(off) - 1)
@@ -237,7 +225,8 @@ def mean_and_spread(model: GramFiles, data: np.ndarray, off: np.ndarray) -> tupl
         parts = []
         for x, y, d, o in chunks(block, b_off):
             if len(d):
-                parts.append((i + x, i + y, o, *np.unique(keys_of(d, o), return_inverse=True)))
+                k, back = np.unique(keys_of(d, o), return_inverse=True)
+                parts.append((i + x, i + y, o, k, back.astype(np.int32)))
         if not parts:
             continue
         keys = np.unique(np.concatenate([p[3] for p in parts]))
@@ -255,7 +244,7 @@ def _score(files: list[str]):  # noqa: ANN202
     """Batches of (doc_id, lang, text) to base rules, mean and spread of log perplexity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _gram_files(files)
+        model = GramFiles(files)  # of this task: a worker that lives on for other stages holds nothing
         for batch in batches:
             data, off = flat(batch.column(2))
             parts = [base_rules(d, o) for _, _, d, o in chunks(data, off)]
