@@ -6,8 +6,9 @@ PASSAGE-byte string has a least GRAM-byte hash among its grams; runs of string
 starts with the same least hash are filed under it. Strings can only be equal
 within one hash, so hashes seen in one place only are dropped, runs whose bytes
 (with all that completes their last SPAN-byte string) are equal are settled at
-once, and one copy of each different run of the remaining hashes goes to a shard
-whose suffix array tells which starts repeat, and for how many bytes.
+once, and one copy of each different run of the remaining hashes goes to a shard.
+There, runs that share no gram with its neighbourhood are passed over, and the
+suffix array of the others tells which starts repeat, and for how many bytes.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ PASSAGE_WORDS = 50
 GRAM = 40
 #: Bytes of runs whose suffixes are sorted at once.
 SHARD_BYTES = 1 << 20
-#: Hashes with more different runs than this are settled by counting string hashes.
+#: Hashes with more different runs than this are settled by counting string hashes,
 HOT_RUNS = 2048
+#: in parts of about so many strings, whatever the number of runs.
+PART_STRINGS = 1 << 19
 SEEN = 200_000
 
 
@@ -169,8 +172,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out: list[tuple] = []
         for a, b, t, runs in zip(k1, k2, text, batch.column(3).to_pylist(), strict=True):
-            for h, p0, p1, p2 in {(r["h"], r["p0"], r["p1"], r["p2"]) for r in runs}:
-                out.append((h, a, b, p0, p1 - p0 + 1, t[p0:p2]))
+            for h, p0, p1, p2, parts in {(r["h"], r["p0"], r["p1"], r["p2"], r["parts"]) for r in runs}:
+                out.append((h, a, b, p0, p1 - p0 + 1, parts, t[p0:p2]))
             if len(out) > 2000:
                 yield _pieces(out)
                 out = []
@@ -178,12 +181,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pieces(out)
 
 
-PIECE_SCHEMA = "h long, k1 long, k2 long, p0 int, n int, bytes binary"
+PIECE_SCHEMA = "h long, k1 long, k2 long, p0 int, n int, parts int, bytes binary"
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "k1", "k2", "p0", "n", "bytes"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "k1", "k2", "p0", "n", "parts", "bytes"])
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +195,7 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int, int]] = set()
     size, last = 0, None
     for batch in batches:
-        for h, a, b, p0, n, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for h, a, b, p0, n, _, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if h != last:
                 if size >= SHARD_BYTES:
                     yield from _shard(held)
@@ -201,45 +204,134 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = h
             if (a, b, p0) not in seen:  # the same text from several tasks
                 seen.add((a, b, p0))
-                held.append((a, b, p0, n, raw))
+                held.append((a, b, p0, n, raw, h))
                 size += len(raw)
     if held:
         yield from _shard(held)
 
 
+def _alike(held: list[tuple]) -> list[tuple]:
+    """The runs that may hold a string of another one, or one twice.
+
+    A string of PASSAGE bytes reaches from each least gram in it half of the other
+    bytes to the right, or as far to the left; one of these two blocks is there again
+    wherever the string is.
+    """
+    off = np.concatenate([[0], np.cumsum([len(x[4]) for x in held])])
+    h = prefix_hash(np.frombuffer(b"".join([x[4] for x in held]), np.uint8))
+    at = np.arange(off[-1] - GRAM + 1)
+    least = np.repeat(np.array([x[5] for x in held]), np.diff(off))[: len(at)]
+    q = np.flatnonzero(range_hash(h, at, at + GRAM).view(np.int64) == least)
+    row = np.searchsorted(off, q, side="right") - 1
+    side = (PASSAGE - GRAM) // 2
+    right, left = q + GRAM + side <= off[row + 1], (q - side >= off[row]) & (q + GRAM <= off[row + 1])
+    block = np.concatenate([range_hash(h, q[right], q[right] + GRAM + side), range_hash(h, q[left] - side, q[left] + GRAM)])
+    row = np.concatenate([row[right], row[left]])
+    order = np.argsort(block)
+    same = np.flatnonzero(block[order[1:]] == block[order[:-1]])
+    stay = np.zeros(len(held), bool)
+    stay[row[order[same]]] = stay[row[order[same + 1]]] = True
+    return [held[i] for i in np.flatnonzero(stay)]
+
+
 def _shard(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    held = _alike(held)
     found = repeated_starts([x[4] for x in held], [PASSAGE, SPAN], [x[3] for x in held])
-    out: list[list] = [[], [], [], [], []]
+    out: list[tuple] = []
     for span, all_starts in zip((PASSAGE, SPAN), found, strict=True):
-        for (a, b, p0, _, _), starts in zip(held, all_starts, strict=True):
-            if len(starts):
-                gap = np.flatnonzero(np.diff(starts) > span)
-                first = starts[np.append(0, gap + 1)] + p0
-                end = starts[np.append(gap, len(starts) - 1)] + p0 + span
-                for column, value in zip(out, ([a] * len(first), [b] * len(first), [span] * len(first), first.tolist(), end.tolist()), strict=True):
-                    column += value
-    if out[0]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["k1", "k2", "span", "lo", "hi"])
+        for (a, b, p0, *_), starts in zip(held, all_starts, strict=True):
+            out += _intervals(a, b, span, starts + p0)
+    if out:
+        yield _found(out)
+
+
+def _intervals(a: int, b: int, span: int, starts: np.ndarray) -> list[tuple]:
+    """Ascending starts of repeated strings of one text to the bytes they cover."""
+    if not len(starts):
+        return []
+    gap = np.flatnonzero(np.diff(starts) > span)
+    return [(a, b, span, lo, hi + span) for lo, hi in zip(starts[np.append(0, gap + 1)].tolist(), starts[np.append(gap, len(starts) - 1)].tolist(), strict=True)]
+
+
+FOUND_SCHEMA = "k1 long, k2 long, span int, lo int, hi int"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k1", "k2", "span", "lo", "hi"])
+
+
+#: A string of PASSAGE bytes (two hashes), the one of SPAN bytes there (a hash, 0 where the text ends before), and the place.
+STRING = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("v", "<u8"), ("p", "<i4")])
+STRINGS_SCHEMA = "h long, part int, k1 long, k2 long, strings binary"
 
 
 def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of hot hashes to one row a string of each length: two hashes and its place."""
+    """Runs of hot hashes to one row a run and part: its strings that belong to the part."""
     for batch in batches:
-        for _, a, b, p0, count, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        out: list[tuple] = []
+        for key, a, b, p0, count, parts, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             d = np.frombuffer(raw, np.uint8)
             h = prefix_hash(d)
-            for span in (PASSAGE, SPAN):
-                at = np.arange(max(0, min(count, len(d) - span + 1)))
-                w1 = range_hash(h, at, at + span)
-                half = span // 2
-                w2 = mix(range_hash(h, at, at + half) * np.uint64(3) + range_hash(h, at + half, at + span))
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, span, np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(n, a)), pa.array(np.full(n, b)),
-                     pa.array((at + p0).astype(np.int32))],
-                    names=["span", "w1", "w2", "k1", "k2", "p"],
-                )
+            at = np.arange(max(0, min(count, len(d) - PASSAGE + 1)))
+            half = PASSAGE // 2
+            x = np.zeros(len(at), STRING)
+            x["w1"] = range_hash(h, at, at + PASSAGE)
+            x["w2"] = mix(range_hash(h, at, at + half) * np.uint64(3) + range_hash(h, at + half, at + PASSAGE))
+            long = at[: max(0, len(d) - SPAN + 1)]
+            x["v"][: len(long)] = range_hash(h, long, long + SPAN)
+            x["p"] = at + p0
+            part = (x["w1"] % np.uint64(parts)).astype(np.int64)
+            x = x[np.argsort(part, kind="stable")]
+            cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+            out += [(key, i, a, b, x[cut[i] : cut[i + 1]].tobytes()) for i in np.flatnonzero(np.diff(cut)).tolist()]
+            if len(out) > 2000:
+                yield _strings(out)
+                out = []
+        if out:
+            yield _strings(out)
+
+
+def _strings(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "part", "k1", "k2", "strings"])
+
+
+def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings sorted by hash and part to (k1, k2, span, lo, hi): bytes of repeated strings."""
+    held: list[tuple] = []
+    last = None
+    for batch in batches:
+        for h, part, a, b, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (h, part) != last:
+                if held:
+                    yield from _count(held)
+                held, last = [], (h, part)
+            held.append((a, b, raw))
+    if held:
+        yield from _count(held)
+
+
+def _count(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    texts: dict[tuple[int, int], int] = {}
+    number = np.array([texts.setdefault(x[:2], len(texts)) for x in held])
+    x = np.frombuffer(b"".join([x[2] for x in held]), STRING)
+    place = np.repeat(number, [len(x[2]) // STRING.itemsize for x in held]) << 32 | x["p"]
+    place, once = np.unique(place, return_index=True)  # the same text from several tasks
+    x = x[once]
+    order = np.lexsort((x["v"], x["w2"], x["w1"]))
+    x = x[order]
+    same = (x["w1"][1:] == x["w1"][:-1]) & (x["w2"][1:] == x["w2"][:-1])
+    keys = list(texts)
+    out: list[tuple] = []
+    for span, again in ((PASSAGE, same), (SPAN, same & (x["v"][1:] == x["v"][:-1]) & (x["v"][1:] != 0))):
+        hit = np.append(False, again) | np.append(again, False)
+        at = np.sort(place[order[hit]])
+        for starts in np.split(at, np.flatnonzero(np.diff(at >> 32)) + 1):
+            if len(starts):
+                out += _intervals(*keys[starts[0] >> 32], span, starts & 0xFFFFFFFF)
+    if out:
+        yield _found(out)
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -301,10 +393,12 @@ def repeated_intervals(docs: DataFrame, text: str = "text") -> tuple[DataFrame,
     ends = [F.min("_p").alias("_first"), F.max("_p").alias("_last"), F.max("twice").alias("twice")]
     shared = runs.select("h", place.alias("_p"), "twice").groupBy("h").agg(*ends).where("twice or _first < _last").select("h")
     near = durable(runs.join(shared, "h"))
-    by_bytes = near.select("h", "s", place.alias("_p"), "twice").groupBy("h", "s").agg(*ends)
+    starts = F.max(F.col("p1") - F.col("p0") + 1).alias("_starts")
+    by_bytes = near.select("h", "s", place.alias("_p"), "twice", "p0", "p1").groupBy("h", "s").agg(*ends, starts)
     same = by_bytes.select("h", "s", "_first", (F.col("_first") < F.col("_last")).alias("multi"))
-    kinds = by_bytes.groupBy("h").agg(F.count("*").alias("_n"), F.max("twice").alias("_twice"))
-    many = kinds.where("_n > 1 or _twice").select("h", (F.col("_n") > HOT_RUNS).alias("hot"))
+    kinds = by_bytes.groupBy("h").agg(F.count("*").alias("_n"), F.max("twice").alias("_twice"), F.sum("_starts").alias("_starts"))
+    parts = F.ceil(F.col("_starts") / PART_STRINGS).cast("int").alias("parts")
+    many = kinds.where("_n > 1 or _twice").select("h", (F.col("_n") > HOT_RUNS).alias("hot"), parts)
     state = near.join(same, ["h", "s"])
     short = F.struct(F.lit(PASSAGE).alias("span"), F.col("p0").alias("lo"), (F.col("p1") + PASSAGE).alias("hi"))
     last = F.least("p1", F.col("p2") - SPAN)  # start of the last whole string of SPAN bytes
@@ -313,17 +407,17 @@ def repeated_intervals(docs: DataFrame, text: str = "text") -> tuple[DataFrame,
     todo = durable(state.where(place == F.col("_first")).select("h", "k1", "k2", "p0", "p1", "p2").join(many, "h"))
 
     def cut(some: DataFrame) -> DataFrame:
-        lists = some.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "p0", "p1", "p2")).alias("runs"))
+        lists = some.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "p0", "p1", "p2", "parts")).alias("runs"))
         active = membership_filter(some.select("k1").distinct(), "k1")
         bodies = texts.mapInArrow(tidied(_texts(active)), "k1 long, k2 long, text string")
         return bodies.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(tidied(_cut), PIECE_SCHEMA)
 
     by_hash = cut(todo.where("not hot")).repartition("h").sortWithinPartitions("h")
-    found = settled.unionByName(by_hash.mapInArrow(tidied(_sort_shards), "k1 long, k2 long, span int, lo int, hi int"))
+    found = settled.unionByName(by_hash.mapInArrow(tidied(_sort_shards), FOUND_SCHEMA))
     if not todo.where("hot").isEmpty():
-        strings = cut(todo.where("hot")).mapInArrow(tidied(_string_hashes), "span int, w1 long, w2 long, k1 long, k2 long, p int").distinct()
-        twice = strings.groupBy("span", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("span", "w1", "w2")
-        found = found.unionByName(strings.join(twice, ["span", "w1", "w2"]).select("k1", "k2", "span", F.col("p").alias("lo"), (F.col("p") + F.col("span")).alias("hi")))
+        strings = cut(todo.where("hot")).mapInArrow(tidied(_string_hashes), STRINGS_SCHEMA)
+        by_part = strings.repartition("h", "part").sortWithinPartitions("h", "part")
+        found = found.unionByName(by_part.mapInArrow(tidied(_count_parts), FOUND_SCHEMA))
     return durable(found), whole
 
 

@@ -50,8 +50,14 @@ def words_at(s: np.ndarray) -> np.ndarray:
 
 def _refine(rank: np.ndarray, items: np.ndarray, key: np.ndarray) -> None:
     """Split groups of equal rank by ``key``; a rank is its group's first place."""
-    order = np.lexsort((key, rank[items]))
-    it, k, r = items[order], key[order], rank[items[order]]
+    r, bits = rank[items], len(rank).bit_length()
+    if key.dtype == np.int64 and 3 * bits <= 63:  # ranks as keys: all three numbers fit one word
+        packed = np.sort(r << 2 * bits | key + 1 << bits | np.arange(len(items)))
+        order, k, r = packed & (1 << bits) - 1, packed >> bits & (1 << bits) - 1, packed >> 2 * bits
+    else:
+        order = np.lexsort((key, r)) if r.any() else np.argsort(key)
+        k, r = key[order], r[order]
+    it = items[order]
     place = np.arange(len(it))
     group = np.append(True, r[1:] != r[:-1])
     fresh = group | np.append(True, k[1:] != k[:-1])
@@ -77,9 +83,10 @@ def sort_lms(s: np.ndarray, lms: np.ndarray) -> np.ndarray:
         done += 8
         items = items[length[items] >= done]  # one that ends right here still has its end to show
     step = 1
+    items = np.arange(m)
     while True:
-        count = np.bincount(rank, minlength=m)
-        items = np.flatnonzero(count[rank] > 1)
+        count = np.bincount(rank[items], minlength=m)
+        items = items[count[rank[items]] > 1]  # a rank of its own stays so
         if not len(items) or step > m:
             break
         ahead = items + step

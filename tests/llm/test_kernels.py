@@ -105,6 +105,26 @@ def test_suffix_array_of_a_large_shard_of_prose_with_near_copies():
     assert all(b[i : i + 4000] < b[j : j + 4000] or b[i:] < b[j:] for i, j in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True))
 
 
+def test_runs_without_a_repeated_string_are_not_sorted():
+    r = random.Random(29)
+    alone = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    gram, block, mid = alone(60), alone(600), alone(250)
+    texts = [alone(300) + gram + alone(300) for _ in range(30)] + [alone(200) + block + alone(r.randint(0, 200)) for _ in range(5)]
+    texts += [alone(r.randint(0, 90)) + mid + alone(r.randint(0, 90)) for _ in range(4)] + [alone(9) + mid + alone(700) + mid, "ab" * 400, block + "of " * 300]
+    raw = [t.encode() for t in texts]
+    run = repeats.runs_of(*_flat(texts))
+    held = [
+        (i, 0, p0, p1 - p0 + 1, raw[i][p0:p2], h)
+        for i, p0, p1, p2, h in zip(run["row"].tolist(), run["p0"].tolist(), run["p1"].tolist(), run["p2"].tolist(), run["h"].view(np.int64).tolist(), strict=True)
+    ]
+    kept = repeats._alike(held)
+    count = collections.Counter(t[i : i + repeats.PASSAGE] for t in raw for i in range(len(t) - repeats.PASSAGE + 1))
+    repeated = [x for x in held if any(count[x[4][i : i + repeats.PASSAGE]] > 1 for i in range(x[3]))]
+    assert set(repeated) <= set(kept)
+    assert not any(x[0] < 30 for x in kept)  # 40 to 60 bytes in common are too few
+    assert len(kept) < len(held) / 2
+
+
 def test_runs_cover_every_start_once_and_equal_strings_share_a_hash():
     r = random.Random(4)
     texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 90))) for _ in range(40)] + ["aaaa" * 20]

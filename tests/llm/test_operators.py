@@ -339,6 +339,24 @@ def test_repeats_far_apart_in_one_text(spark, monkeypatch, hot):
     assert x not in clean[0] and y not in clean[1] and clean[4] == texts[4]
 
 
+@pytest.mark.parametrize("strings", [1 << 19, 60])
+def test_repeats_of_hot_hashes_are_moved_by_run_not_by_string(spark, monkeypatch, strings):
+    monkeypatch.setattr(repeats, "HOT_RUNS", 2)
+    monkeypatch.setattr(repeats, "PART_STRINGS", strings, raising=False)
+    r = random.Random(53)
+    prose = lambda n: " ".join("".join(r.choice("etaoinsh") for _ in range(r.choice([2, 3, 5, 9]))) for _ in range(n))
+    notice, long = prose(60), prose(140)
+    texts = [f"{prose(60)} {notice} {prose(r.randint(1, 90))}" for _ in range(9)] + [f"{prose(70)} {long}{prose(40)}" for _ in range(9)] + [f"{long} {prose(9)} {long}", prose(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = repeats.repeated_intervals(docs)[0].collect()
+    if strings > 60:  # small parts cut intervals up
+        assert 0 < len(found) < 1000  # 19 texts of some hundreds of repeated strings each
+    raw = [t.encode() for t in texts]
+    want = [(i, *x, *y) for i, (x, y) in enumerate(zip(_brute_repeats(raw, repeats.SPAN), _brute_passages(raw), strict=True))]
+    assert sorted(map(tuple, repeats.remove_repeats(docs).collect())) == want
+    assert all(x[2] for x in want[9:19]) and all(x[5] for x in want[:19])
+
+
 def _brute_near(rows):
     sets = []
     for t in rows:
