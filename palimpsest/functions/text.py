@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import re
 import zlib
 from html.parser import HTMLParser
 
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SKIP = set("banner-div footer header noscript script style".split())
+_OPEN = re.compile("<")
 
 
 class _Text(HTMLParser):
-    """Text tokens outside skipped elements. Only the last opened one is known: its end ends the skipping."""
+    """Text tokens outside skipped elements. Only the last opened one is known: its end ends the skipping.
+
+    The parser stops at tags alone: references stay as they are written, whole or not.
+    """
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
@@ -25,6 +30,14 @@ class _Text(HTMLParser):
         self.parts: list[str] = []
         self.held = ""
 
+    def reset(self) -> None:
+        super().reset()
+        self.interesting = _OPEN
+
+    def clear_cdata_mode(self) -> None:
+        super().clear_cdata_mode()
+        self.interesting = _OPEN
+
     def flush(self) -> None:
         text = self.held.strip()
         if text and self.open is None:
@@ -47,12 +60,6 @@ class _Text(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.held += data
 
-    def handle_entityref(self, name: str) -> None:
-        self.held += f"&{name};"
-
-    def handle_charref(self, name: str) -> None:
-        self.held += f"&#{name};"
-
     def handle_comment(self, data: str) -> None:
         self.flush()
 

@@ -203,6 +203,8 @@ def test_text_and_encodings(spark):
     assert X.extract_text("<title>T</title><script>no</script><p> one <b>two</b></p><footer>x</footer>&amp;") == "T one two &amp;"
     assert X.extract_text("<header><style>x</style>seen</header>") == "seen"
     assert X.extract_text(None) is None
+    # references without an end, or of nothing, stay as written
+    assert X.extract_text("<p>a&am; b&am c&#65 d&#; e</p><i>f</i> g&am") == "a&am; b&am c&#65 d&#; e f g&am"
     assert X.decode_body(gzip.compress(b"abc"), "gzip", None) == b"abc"
     assert X.decode_body(b"abc", "gzip", None) == b"abc"
     assert X.decode_body(b"3\r\nabc\r\n2\r\nde\r\n0\r\n\r\n", None, "chunked") == b"abcde"
