@@ -194,6 +194,25 @@ def test_statistics(spark):
     assert {x.url: x.top for x in stats.referrer_top(chain).collect()} == {"c": "a", "b": "a", "a": "a"}
 
 
+def test_nearest_blocks_without_their_pairs(spark):
+    r = random.Random(5)
+    idx = spark.createDataFrame([(r.choice("vw"), f"test,s{i:03d})/", r.choice([None, r.randrange(40)])) for i in range(150)], "archive string, prefix string, at long")
+    ask = [(i, r.choice("vw"), r.choice(["test,s0", "test,s1", "test,s02", "no"]), r.choice([None, *range(-5, 50)])) for i in range(200)]
+    ask += [(900, "v", "test,s0", 3), (900, "w", "test,s", 3)]  # a request of several archives
+    ask = spark.createDataFrame(ask, "req_id long, archive string, key string, ts_ms long")
+    for limit in (1, 3, 7):
+        want = blocks.nearest_blocks(blocks.candidate_blocks(idx, ask, F.col("key"), as_prefix=True), F.col("at"), limit)
+        got = blocks.nearest_candidates(idx, ask, F.col("at"), F.col("key"), True, limit)
+        plain = lambda rows: sorted(map(repr, rows.select("req_id", "archive", "key", "ts_ms", "prefix", "at", "rank").collect()))
+        assert plain(got) == plain(want)
+    # 20,000 requests of one range of 20,000 blocks: no 400 million pairs
+    many = spark.range(20_000).selectExpr("'w' as archive", "concat('test,s', lpad(id, 5, '0')) as prefix", "id * 10 as at")
+    hot = spark.range(20_000).selectExpr("id as req_id", "'w' as archive", "'test' as key", "id * 10 as ts_ms")
+    got = blocks.nearest_candidates(many, hot, F.col("at"), F.col("key"), True)
+    assert got.count() == 140_000
+    assert got.where("ts_ms between 30 and 199960").agg(F.max(F.expr("abs(at - ts_ms)"))).first()[0] == 30
+
+
 def test_adblock(spark):
     texts = spark.createDataFrame([("! c\ns.test,t.test##.ad\r\n##.all x.s.test#@#.ad\nplain",)], "text string")
     rules = adblock.parse_rules(adblock.lines_of(texts))
