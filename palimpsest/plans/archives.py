@@ -32,6 +32,15 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Pages and captures of a file, and pages of a batch that is read.
+_PAGES, _CAPTURES, _BATCH = 4_000, 250_000, 1_000
+
+
+def _files_for(rows: DataFrame, least: int, each: int) -> int:
+    """Files that rows are dealt to: as many as keep a file, and so a task, at one size."""
+    return max(least, -(-rows.count() // each))
+
+
 def _written(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
     """Captures as WARC files: requests before or after their responses, HEAD requests, revisits of
     other times and of themselves."""
@@ -145,7 +154,6 @@ def incremental_ingest(spark, d):
 @register("SELECT page_id, html FROM pages")
 def nested_archives(spark, d):
     """Members of an archive inside an archive, each read by its path."""
-    import io
     import zipfile
 
     base = _folder(spark, "nested")
@@ -153,24 +161,27 @@ def nested_archives(spark, d):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        rows = [r for b in batches for r in zip(b["page_id"], b["html"], strict=True)]
-        inner, outer, name = io.BytesIO(), io.BytesIO(), f"{base}/o{TaskContext.get().partitionId()}.zip"
-        with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
-            for i, t in rows:
-                z.writestr(f"p/{i}.html", (t or "").encode())
-        with zipfile.ZipFile(outer, "w") as z:
-            z.writestr("in.zip", inner.getvalue())
+        name = f"{base}/o{TaskContext.get().partitionId()}.zip"
         held = f"{name}.{TaskContext.get().taskAttemptId()}"
-        with files.create_file(held) as f:
-            f.write(outer.getvalue())
+        with files.create_file(held) as f, zipfile.ZipFile(f, "w") as outer:
+            # the inner archive goes straight into the outer one, stored as it is
+            with outer.open("in.zip", "w", force_zip64=True) as member, zipfile.ZipFile(member, "w", zipfile.ZIP_DEFLATED) as z:
+                for b in batches:
+                    for i, t in zip(b["page_id"], b["html"], strict=True):
+                        if t is not None:
+                            z.writestr(f"p/{i}.html", t.encode())
+                    yield pd.DataFrame({"page_id": b["page_id"], "path": [None if t is None else f"{name}#!/in.zip#!/p/{i}.html" for i, t in zip(b["page_id"], b["html"], strict=True)]})
         files.move_file(held, name)
-        yield pd.DataFrame({"page_id": [i for i, _ in rows], "path": [f"{name}#!/in.zip#!/p/{i}.html" for i, _ in rows]})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "html": [files.read_range(p).decode() for p in b["path"]]})
+            for at in range(0, len(b), _BATCH):
+                part = b.iloc[at : at + _BATCH]
+                texts = files.read_members(p for p in part["path"] if p is not None)
+                yield pd.DataFrame({"page_id": part["page_id"], "html": [None if p is None else next(texts).decode() for p in part["path"]]})
 
-    packed = table(spark, d, "pages").select("page_id", "html").repartition(3, "page_id").mapInPandas(pack, "page_id long, path string")
+    rows = table(spark, d, "pages").select("page_id", "html")
+    packed = rows.repartition(_files_for(rows, 3, _PAGES), "page_id").mapInPandas(pack, "page_id long, path string")
     shared_folder(spark)
     return packed.checkpoint(eager=True).mapInPandas(read, "page_id long, html string")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import time
 import zipfile
+from collections.abc import Iterable, Iterator
 
 from pyarrow import fs
 from pyspark.sql import Column
@@ -117,6 +118,36 @@ def read_range(path: str, start: int = 0, length: int = -1) -> bytes:
     return retried(read)
 
 
+def read_members(paths: Iterable[str]) -> Iterator[bytes]:
+    """The whole of each path. An archive stays open, its directory read once, for all paths in a row that lie in it."""
+    held: dict[str, zipfile.ZipFile] = {}
+
+    def close() -> None:
+        for z in held.values():
+            z.close()
+            z.under.close()
+        held.clear()
+
+    def read(outer: str, member: str) -> bytes:
+        try:
+            if outer not in held:
+                close()
+                f = open_file(outer)
+                held[outer] = zipfile.ZipFile(f)
+                held[outer].under = f
+            return held[outer].read(member)
+        except OSError:
+            close()
+            raise
+
+    try:
+        for p in paths:
+            outer, mark, member = p.rpartition("#!/")
+            yield retried(lambda: read(outer, member)) if mark else read_range(p)  # noqa: B023
+    finally:
+        close()
+
+
 def expand(path: str) -> list[str]:
     """Files under a path, or the path itself."""
     if "#!/" in path:

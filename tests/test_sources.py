@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
 import zipfile
 
@@ -168,3 +169,20 @@ def test_index_passes_over_long_bodies(tmp_path, name):
     assert [r["url"][-1] for r in rows] == ["0", "1", "2"]
     assert rows[0]["digest"] == "sha-256:" + hashlib.sha256(body).hexdigest() and rows[1]["digest"] == "sha1:A"
     assert len(rows[0]["payload"]) == len(body) and len(rows[1]["payload"]) < len(body)
+
+
+def test_members_of_an_archive_share_its_directory(tmp_path, monkeypatch):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(50):
+            z.writestr(f"p/{i}", f"text {i}")
+    for name in "ab":
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("in.zip", inner.getvalue())
+    (tmp_path / "plain").write_bytes(b"x")
+    read = []
+    opened = zipfile.ZipFile.__init__
+    monkeypatch.setattr(zipfile.ZipFile, "__init__", lambda self, *a, **k: (read.append(1), opened(self, *a, **k))[1])
+    paths = [f"{tmp_path}/{name}.zip#!/in.zip#!/p/{i}" for name in "ab" for i in range(50)]
+    assert list(files.read_members([*paths, f"{tmp_path}/plain", paths[0]])) == [f"text {i}".encode() for _ in "ab" for i in range(50)] + [b"x", b"text 0"]
+    assert len(read) <= 6  # two archives, one of them again: outer and inner directory each time
