@@ -33,7 +33,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 #: Pages and captures of a file, and pages of a batch that is read.
-_PAGES, _CAPTURES, _BATCH = 4_000, 250_000, 1_000
+_PAGES, _CAPTURES, _BATCH = 4_000, 100_000, 1_000
 
 
 def _files_for(rows: DataFrame, least: int, each: int) -> int:
@@ -41,9 +41,9 @@ def _files_for(rows: DataFrame, least: int, each: int) -> int:
     return max(least, -(-rows.count() // each))
 
 
-def _written(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+def _written(spark: SparkSession, d: str, whole: int | None = None) -> tuple[DataFrame, str]:
     """Captures as WARC files: requests before or after their responses, HEAD requests, revisits of
-    other times and of themselves."""
+    other times and of themselves. As many files as captures need, or ``whole`` ones."""
     rows = caps(spark, d).select(
         F.concat("url", F.lit("/"), "event_id").alias("url"), "ts_ms", "status", "mime", F.concat(F.lit("body "), F.repeat(F.col("digest"), F.expr("cast(event_id % 40 as int)"))).cast("binary").alias("payload"),
         F.when(F.expr("k % 13 = 0"), "HEAD").otherwise("GET").alias("method"), F.when(F.col("mime") == "warc/revisit", F.concat("url", F.lit("/"), "event_id")).alias("orig_url"),
@@ -51,7 +51,7 @@ def _written(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
     )
     folder = _folder(spark, "warc")
     info = {"title": "T", "desc": "D", "pages": [{"id": "1", "url": "https://p.example/", "title": "P", "timestamp": "20240101000000"}]}
-    return warc.write_warc(rows.repartition(3, "event_id"), folder, info), folder
+    return warc.write_warc(rows.repartition(_files_for(rows, 3, _CAPTURES), "event_id"), folder, info, whole), folder
 
 
 _KEPT = """w AS (SELECT event_id, url || '/' || event_id AS url, ts_ms, CASE WHEN mime = 'warc/revisit' THEN 200 ELSE status END AS status, mime,
@@ -93,7 +93,7 @@ def warc_record_reads(spark, d):
 def warc_info(spark, d):
     """Title and pages that the files' first records tell."""
     warc.register(spark)
-    rows = warc.info_rows(spark.read.format("warc").option("infoonly", "true").load(_written(spark, d)[1]))
+    rows = warc.info_rows(spark.read.format("warc").option("infoonly", "true").load(_written(spark, d, 3)[1]))
     return rows.select("title", F.explode("pages").alias("p")).groupBy("title", F.col("p.url").alias("url")).agg(F.count("*").alias("n"))
 
 

@@ -91,6 +91,11 @@ def move_file(path: str, to: str) -> None:
     system.move(at, _system(to)[1])
 
 
+def remove_folder(path: str) -> None:
+    system, at = _system(path)
+    system.delete_dir(at)
+
+
 #: Reads that fail are tried again: so often, and each time so many seconds later than before.
 TRIES, WAIT = 20, 2.0
 

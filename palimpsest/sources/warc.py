@@ -24,14 +24,15 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from palimpsest.session import durable
-from palimpsest.sources.files import create_file, expand, file_size, move_file, open_file, read_range
+from palimpsest.sources.files import create_file, expand, file_size, move_file, open_file, read_range, remove_folder
 
 SCHEMA = (
     "url string, ts_ms bigint, status int, status_text string, mime string, digest string, resp_headers map<string,string>,"
     " req_headers map<string,string>, method string, page_id string, orig_url string, orig_ts_ms bigint, cookie string,"
     " path string, start bigint, length bigint, seq bigint, kind string, payload binary"
 )
-_BLOCK = 1 << 20
+#: Bytes read at once. What is left of a block is copied for each record in it, so blocks are small.
+_BLOCK = 1 << 16
 
 
 @dataclass
@@ -50,12 +51,12 @@ class Record:
         return self.headers.get("warc-target-uri", "").strip("<>")
 
 
-def _first_member(f, at: int) -> int | None:  # noqa: ANN001
+def _first_member(f, at: int, block: int = _BLOCK) -> int | None:  # noqa: ANN001
     """Offset of the first gzip member of a record at or after ``at``."""
     held = b""
     f.seek(at)
     while True:
-        more = f.read(_BLOCK)
+        more = f.read(block)
         held += more
         k = held.find(b"\x1f\x8b\x08")
         while k >= 0 and (len(held) - k >= 4096 or not more):
@@ -71,14 +72,14 @@ def _first_member(f, at: int) -> int | None:  # noqa: ANN001
         at, held = at + keep, held[keep:]
 
 
-def _members(f, at: int = 0, head: int | None = None) -> Iterator[tuple[int, int, bytes]]:  # noqa: ANN001
+def _members(f, at: int = 0, head: int | None = None, block: int = _BLOCK) -> Iterator[tuple[int, int, bytes]]:  # noqa: ANN001
     """(offset, compressed length, bytes) of each gzip member from ``at`` on; with ``head`` only that
     many bytes and what follows in the same block of output are kept."""
     f.seek(at)
     held = b""
     while True:
         if not held:
-            held = f.read(_BLOCK)
+            held = f.read(block)
             if not held:
                 return
         z, out, used, kept = zlib.decompressobj(31), [], 0, 0
@@ -93,7 +94,7 @@ def _members(f, at: int = 0, head: int | None = None) -> Iterator[tuple[int, int
             if z.eof:
                 break
             if not held and len(data) < _BLOCK:
-                held = f.read(_BLOCK)
+                held = f.read(block)
                 if not held:
                     return  # cut off: drop the last member
         yield at, used, b"".join(out)
@@ -124,7 +125,7 @@ def _spare(headers: dict[str, str]) -> bool:
     return headers.get("warc-type") in ("request", "revisit") or "warc-payload-digest" in headers
 
 
-def records(f, at: int = 0, index_only: bool = False) -> Iterator[Record]:  # noqa: ANN001
+def records(f, at: int = 0, index_only: bool = False, block: int = _BLOCK) -> Iterator[Record]:  # noqa: ANN001
     """The records of an open file from offset ``at`` of one on, in order.
 
     With ``index_only`` bodies whose digest the record names are passed over.
@@ -133,7 +134,7 @@ def records(f, at: int = 0, index_only: bool = False) -> Iterator[Record]:  # no
     zipped = f.read(2) == b"\x1f\x8b"
     f.seek(at)
     if zipped:
-        for start, length, data in _members(f, at, HEAD if index_only else None):
+        for start, length, data in _members(f, at, HEAD if index_only else None, block):
             end = data.find(b"\r\n\r\n")
             if end < 0 or not data.startswith(b"WARC/"):
                 continue
@@ -163,17 +164,18 @@ def records(f, at: int = 0, index_only: bool = False) -> Iterator[Record]:  # no
             return
         size = int(headers.get("content-length", 0) or 0)
         need = end + 4 + size
-        if index_only and _spare(headers) and len(buf) >= min(need, end + 4 + HEAD) and need > len(buf):
+        want = min(need, end + 4 + HEAD) if index_only and _spare(headers) else need
+        while len(buf) < want:
+            more = f.read(max(_BLOCK, want - len(buf)))
+            if not more:
+                return
+            buf += more
+        if need > len(buf):
             yield Record(at, need, headers, buf[end + 4 :])
             at += need
             f.seek(at)
             buf = b""
             continue
-        while len(buf) < need:
-            more = f.read(max(_BLOCK, need - len(buf)))
-            if not more:
-                return
-            buf += more
         yield Record(at, need, headers, buf[end + 4 : need])
         buf, at = buf[need:], at + need
 
@@ -294,11 +296,21 @@ _FIELDS = [x.strip().split(" ")[0] for x in SCHEMA.replace("map<string,string>",
 
 #: Bytes of a gzipped file that one task reads.
 SPLIT = 64 << 20
+#: Tasks that the ranges are dealt to: were there more ranges, a task reads several neighbours, one after the other.
+TASKS = 512
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, low: int = 0, high: int | None = None) -> None:
-        self.path, self.low, self.high = path, low, high
+    """A file as a whole, or its ranges of ``step`` bytes from ``low`` to ``high``; the last has no end."""
+
+    def __init__(self, path: str, low: int = 0, high: int = 0, step: int = 0, last: bool = True) -> None:
+        self.path, self.low, self.high, self.step, self.last = path, low, high, step, last
+
+    def ranges(self) -> Iterator[tuple[int, int | None]]:
+        if not self.step:
+            yield 0, None
+        for low in range(self.low, self.high, self.step or 1):
+            yield low, None if self.last and low + self.step >= self.high else low + self.step
 
 
 class _Reader(DataSourceReader):
@@ -316,34 +328,38 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for p in self._files():
-            size = file_size(p) if p.endswith(".gz") and not self.info_only else None
-            if size is None or size <= self.split:
+        sizes = {p: file_size(p) if p.endswith(".gz") and not self.info_only else 0 for p in self._files()}
+        at_once = max(1, -(-sum(sizes.values()) // (self.split * TASKS))) * self.split
+        for p, size in sizes.items():
+            if size <= self.split:
                 out.append(_Part(p))
             else:
-                cuts = [*range(0, size, self.split), None]
-                out += [_Part(p, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+                out += [_Part(p, a, min(a + at_once, size), self.split, a + at_once >= size) for a in range(0, size, at_once)]
         return out
 
     def read(self, partition: _Part) -> Iterator[tuple]:
+        block = max(1 << 14, min(_BLOCK, self.split))
         with open_file(partition.path) as f:
-            at = partition.low and _first_member(f, partition.low)
-            if at is None:
-                return
-            rows = in_range(records(f, at, not self.payload), partition.low, partition.high)
-            for seq, (record, request) in enumerate(paired(rows)):
-                if self.info_only:
-                    if record.kind != "warcinfo":
-                        return
-                    yield tuple({"kind": "warcinfo", "payload": record.content, "path": partition.path, "seq": seq}.get(c) for c in _FIELDS)
-                    continue
-                row = capture(record, request)
-                if row is None:
-                    continue
-                row |= {"path": partition.path, "seq": record.start}
-                if not self.payload:
-                    row["payload"] = None
-                yield tuple(row.get(c) for c in _FIELDS)
+            for low, high in partition.ranges():
+                at = low and _first_member(f, low, block)
+                if at is None:
+                    return
+                yield from self._rows(partition.path, in_range(records(f, at, not self.payload, block), low, high))
+
+    def _rows(self, path: str, rows: Iterator[Record]) -> Iterator[tuple]:
+        for seq, (record, request) in enumerate(paired(rows)):
+            if self.info_only:
+                if record.kind != "warcinfo":
+                    return
+                yield tuple({"kind": "warcinfo", "payload": record.content, "path": path, "seq": seq}.get(c) for c in _FIELDS)
+                continue
+            row = capture(record, request)
+            if row is None:
+                continue
+            row |= {"path": path, "seq": record.start}
+            if not self.payload:
+                row["payload"] = None
+            yield tuple(row.get(c) for c in _FIELDS)
 
 
 class WarcSource(DataSource):
@@ -375,6 +391,7 @@ _SINK = "url string, ts_ms long, status int, mime string, payload binary, method
 def _iso(ms: int) -> str:
     from datetime import UTC, datetime
 
+    ms = int(ms)  # a column with nulls comes as floats
     return datetime.fromtimestamp(ms / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%S.") + f"{ms % 1000:03d}Z"
 
 
@@ -397,33 +414,58 @@ def capture_records(row: dict) -> list[bytes]:
     return out[::-1] if row["request_first"] else out
 
 
-def write_warc(captures: DataFrame, folder: str, info: dict | None = None) -> DataFrame:
-    """Captures as gzipped WARC files of ``folder``, one a partition; (path, n) of those written.
+def write_warc(captures: DataFrame, folder: str, info: dict | None = None, files: int | None = None) -> DataFrame:
+    """Captures as gzipped WARC files of ``folder``; (path, n) of those written.
 
-    A file is written under a name of its attempt and renamed when whole, so that a task that is
-    run again leaves one file.
+    Each partition is a file, or with ``files`` a part of one of so many: parts are written by tasks of
+    their own and then put together, as members of gzip may be. A file is written under a name of its
+    attempt and renamed when whole, so that a task that is run again leaves one file.
     """
+    head = _block("warcinfo", "", 0, f"software: palimpsest\r\njson-metadata: {json.dumps(info or {})}\r\n".encode())
+    names = [x.strip().split(" ")[0] for x in _SINK.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
-        name = f"{folder}/part-{context.partitionId():05d}.warc.gz"
+        k = context.partitionId()
+        name = f"{folder}/part-{k:05d}.warc.gz" if files is None else f"{folder}-parts/{k:05d}"
         held = f"{name}.{context.taskAttemptId()}"
         n = 0
         with create_file(held) as f:
-            meta = f"software: palimpsest\r\njson-metadata: {json.dumps(info or {})}\r\n".encode()
-            f.write(gzip.compress(_block("warcinfo", "", 0, meta), mtime=0))
+            if files is None:
+                f.write(gzip.compress(head, mtime=0))
             for b in batches:
-                for row in b.astype(object).where(b.notna(), None).to_dict("records"):
-                    for x in capture_records(row):
+                columns = [b[c].astype(object).where(b[c].notna(), None) for c in names]
+                for values in zip(*columns, strict=True):
+                    for x in capture_records(dict(zip(names, values, strict=True))):
                         f.write(gzip.compress(x, mtime=0))
-                    n += 1
+                n += len(b)
         move_file(held, name)
-        yield pd.DataFrame({"path": [name], "n": [n]})
+        yield pd.DataFrame({"path": [name], "n": [n], "file": [k % files if files else k]})
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file, parts, n in zip(b["file"], b["parts"], b["n"], strict=True):
+                name = f"{folder}/part-{file:05d}.warc.gz"
+                held = f"{name}.{TaskContext.get().taskAttemptId()}"
+                with create_file(held) as f:
+                    f.write(gzip.compress(head, mtime=0))
+                    for p in sorted(parts):
+                        with open_file(p) as part:
+                            while data := part.read(8 << 20):
+                                f.write(data)
+                move_file(held, name)
+                yield pd.DataFrame({"path": [name], "n": [n]})
 
     fields = [x.strip().split(" ") for x in _SINK.split(",")]
     have = set(captures.columns)
     rows = captures.select(*((F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in fields))
-    return durable(rows.mapInPandas(run, "path string, n long"))
+    written = durable(rows.mapInPandas(run, "path string, n long, file int"))
+    if files is None:
+        return written.select("path", "n")
+    parts = written.groupBy("file").agg(F.collect_list("path").alias("parts"), F.sum("n").alias("n"))
+    whole = durable(parts.repartitionByRange(files, "file").mapInPandas(join, "path string, n long"))
+    remove_folder(f"{folder}-parts")
+    return whole
 
 
 def read_record(path: str, start: int, length: int) -> Record | None:

@@ -186,3 +186,27 @@ def test_members_of_an_archive_share_its_directory(tmp_path, monkeypatch):
     paths = [f"{tmp_path}/{name}.zip#!/in.zip#!/p/{i}" for name in "ab" for i in range(50)]
     assert list(files.read_members([*paths, f"{tmp_path}/plain", paths[0]])) == [f"text {i}".encode() for _ in "ab" for i in range(50)] + [b"x", b"text 0"]
     assert len(read) <= 6  # two archives, one of them again: outer and inner directory each time
+
+
+def test_ranges_are_dealt_to_few_tasks(tmp_path, monkeypatch):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nbody "
+    for name in "ab":
+        blocks = [warc._block(k, f"http://{name}.test/{i}", 1000 * i, http) for i in range(200) for k in (("request", "response") if i % 2 else ("response", "request"))]
+        (tmp_path / f"{name}.warc.gz").write_bytes(b"".join(map(gzip.compress, blocks)))
+    monkeypatch.setattr(warc, "TASKS", 4)
+    for payload in ("true", "false"):
+        reader = warc._Reader({"path": str(tmp_path), "splitbytes": "700", "payload": payload})
+        parts = reader.partitions()
+        assert len(parts) <= 4 + 2 and sum(len(list(p.ranges())) for p in parts) > 100
+        assert [r[0] for p in parts for r in reader.read(p)] == [f"http://{name}.test/{i}" for name in "ab" for i in range(200)]
+
+
+def test_parts_make_whole_files(spark, tmp_path):
+    warc.register(spark)
+    rows = spark.range(100).selectExpr("concat('http://s.test/', id) as url", "id * 1000 as ts_ms", "200 as status", "'text/html' as mime", "cast(concat('b', id) as binary) as payload", "'GET' as method", "id % 2 = 0 as request_first")
+    written = warc.write_warc(rows.repartition(5, "url"), str(tmp_path / "w"), {"title": "T"}, 2).collect()
+    assert sorted(x.name for x in tmp_path.rglob("*")) == ["part-00000.warc.gz", "part-00001.warc.gz", "w"]
+    assert sum(x.n for x in written) == 100
+    assert spark.read.format("warc").option("infoonly", "true").load(str(tmp_path / "w")).count() == 2
+    got = spark.read.format("warc").load(str(tmp_path / "w")).select("url", F.decode("payload", "UTF-8").alias("b")).collect()
+    assert sorted((x.url, x.b) for x in got) == sorted((f"http://s.test/{i}", f"b{i}") for i in range(100))
