@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import io
 import time
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from typing import IO
 
 from pyarrow import fs
 from pyspark.sql import Column
@@ -83,7 +87,7 @@ def file_size(path: str) -> int:
 def create_file(path: str):  # noqa: ANN201
     system, at = _system(path)
     system.create_dir(at.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(at, compression=None)
+    return system.open_output_stream(at, compression=None, buffer_size=1 << 20)
 
 
 def move_file(path: str, to: str) -> None:
@@ -192,10 +196,43 @@ def zip_entries(path: str) -> list[dict]:
 
 def read_member(path: str, name: str, start: int = 0, length: int = -1, unzip: bool = False) -> bytes:
     """Bytes of a member, from ``start``; with ``unzip`` the member's own gzip undone (SC14)."""
-    import gzip
-
     with open_file(path) as f, zipfile.ZipFile(f) as z, z.open(name) as m:
         if start:
             m.seek(start)
         data = m.read(length) if length >= 0 else m.read()
     return gzip.decompress(data) if unzip and data[:2] == b"\x1f\x8b" else data
+
+
+@contextmanager
+def open_member(path: str, name: str) -> Iterator[IO[bytes]]:
+    """A member as a stream."""
+    with open_file(path) as f, zipfile.ZipFile(f) as z, z.open(name) as m:
+        yield m
+
+
+def member_digest(path: str, name: str) -> str:
+    """SHA-256 of a member, read a block at a time."""
+
+    def read() -> str:
+        told = hashlib.sha256()
+        with open_member(path, name) as m:
+            while data := m.read(1 << 20):
+                told.update(data)
+        return told.hexdigest()
+
+    return retried(read)
+
+
+def text_lines(path: str, name: str, most: int = 10_000, size: int = 8 << 20) -> Iterator[list[str]]:
+    """Lines of a text member, gzipped or not, in lists of ``most`` lines or about ``size`` letters."""
+    with open_member(path, name) as m:
+        raw = gzip.open(m) if m.peek(2)[:2] == b"\x1f\x8b" else m
+        held, n = [], 0
+        for line in io.TextIOWrapper(raw, "utf-8", "replace"):
+            held.append(line.rstrip("\n"))
+            n += len(line)
+            if len(held) >= most or n >= size:
+                yield held
+                held, n = [], 0
+        if held:
+            yield held

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import zipfile
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark import TaskContext
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions.timestamps import page_ts, ts_to_ms
 from palimpsest.functions.urls import post_urls
 from palimpsest.session import durable
-from palimpsest.sources.files import create_file, expand, move_file, open_file, read_member, zip_entries
-from palimpsest.sources.warc import WarcSource, _Reader, capture, paired, records
+from palimpsest.sources.files import create_file, expand, file_size, move_file, open_file, read_member, remove_folder, text_lines, zip_entries
+from palimpsest.sources.warc import SPLIT, WarcSource, _first_member, _Reader, capture, in_range, paired, records
 
 _CDX = "url string, mime string, status string, digest string, length string, offset string, filename string, timestamp string, method string, requestBody string, referrer string"
 
@@ -108,7 +108,8 @@ class WaczSource(WarcSource):
 
 
 def member_lines(spark: SparkSession, path: str, ends: tuple[str, ...], start: str = "") -> DataFrame:
-    """(archive, line) of the text members of archives, read where the archives are: no line passes the driver."""
+    """(archive, line) of the text members of archives, read where the archives are: no line passes the driver.
+    A member is read line by line, however long it is."""
     paths = [p for p in expand(path) if p.endswith((".wacz", ".zip"))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,8 +117,8 @@ def member_lines(spark: SparkSession, path: str, ends: tuple[str, ...], start: s
             for p in b["path"]:
                 for e in zip_entries(p):
                     if e["filename"].startswith(start) and e["filename"].endswith(ends):
-                        lines = read_member(p, e["filename"], unzip=True).decode("utf-8", "replace").splitlines()
-                        yield pd.DataFrame({"archive": p, "line": pd.Series(lines, dtype=object)})
+                        for lines in text_lines(p, e["filename"]):
+                            yield pd.DataFrame({"archive": p, "line": pd.Series(lines, dtype=object)})
 
     rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
     return rows.mapInPandas(run, "archive string, line string")
@@ -158,36 +159,93 @@ def pages_with_archives(pages: DataFrame, archives: DataFrame) -> DataFrame:
 
 def write_wacz(files: DataFrame, folder: str, title: str = "") -> DataFrame:
     """One archive for each WARC file of ``files`` (path): the file as it is, a CDXJ index of its records,
-    its HTML captures as pages, and a manifest with hashes. Returns (path, n) of the archives."""
+    its HTML captures as pages, and a manifest with hashes. Returns (path, n) of the archives.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Index and pages are written range by range of the WARC files, by tasks of their own; an archive is
+    then put together from them. Nothing is held in memory but a block.
+    """
+    parts = f"{folder}-parts"
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p in b["path"]:
-                name = f"{folder}/{p.rpartition('/')[2].partition('.')[0]}.wacz"
+                size = file_size(p) if p.endswith(".gz") else 0
+                lows = range(0, max(size, 1), SPLIT)
+                yield pd.DataFrame({"path": p, "low": lows, "high": [*lows[1:], -1]})
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, low, high in zip(b["path"], b["low"], b["high"], strict=True):
+                names = [f"{parts}/{_stem(p)}-{low:015d}.{kind}" for kind in ("cdxj", "jsonl")]
+                held = [f"{x}.{TaskContext.get().taskAttemptId()}" for x in names]
+                n = 0
+                with open_file(p) as f, create_file(held[0]) as lines, create_file(held[1]) as pages:
+                    at = low and _first_member(f, low)
+                    rows = in_range(records(f, at, index_only=True), low, None if high < 0 else high) if at is not None else iter(())
+                    for r in (capture(*x) for x in paired(rows)):
+                        if r is None:
+                            continue
+                        n += 1
+                        j = {"url": r["url"], "mime": r["mime"], "status": str(r["status"]), "digest": r["digest"], "offset": str(r["start"]), "length": str(r["length"]), "filename": "data.warc.gz"}
+                        lines.write(f"\n{r['url']} {_ts14(r['ts_ms'])} {json.dumps(j)}".encode())
+                        if r["mime"] == "text/html":
+                            pages.write(("\n" + json.dumps({"id": f"p{r['start']}", "url": r["url"], "ts": str(r["ts_ms"])})).encode())
+                for x, name in zip(held, names, strict=True):
+                    move_file(x, name)
+                yield pd.DataFrame({"path": [p], "low": [low], "cdxj": [names[0]], "jsonl": [names[1]], "n": [n]})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, made, n in zip(b["path"], b["parts"], b["n"], strict=True):
+                name = f"{folder}/{_stem(p)}.wacz"
                 held = f"{name}.{TaskContext.get().taskAttemptId()}"
-                with open_file(p) as f:
-                    rows = [r for r in (capture(*x) for x in paired(records(f, index_only=True))) if r]
-                    f.seek(0)
-                    raw = f.read()
-                index, pages = [], ['{"format": "json-pages-1.0", "id": "pages", "title": "All Pages"}']
-                for r in rows:
-                    j = {"url": r["url"], "mime": r["mime"], "status": str(r["status"]), "digest": r["digest"], "offset": str(r["start"]), "length": str(r["length"]), "filename": "data.warc.gz"}
-                    index.append(f"{r['url']} {_ts14(r['ts_ms'])} {json.dumps(j)}")
-                    if r["mime"] == "text/html":
-                        pages.append(json.dumps({"id": f"p{r['start']}", "url": r["url"], "ts": str(r["ts_ms"])}))
-                members = {"archive/data.warc.gz": raw, "indexes/index.cdxj": "\n".join(index).encode(), "pages/pages.jsonl": "\n".join(pages).encode()}
-                resources = [{"path": k, "hash": "sha256:" + hashlib.sha256(v).hexdigest(), "bytes": len(v)} for k, v in members.items()]
-                members["datapackage.json"] = json.dumps({"profile": "data-package", "title": title, "resources": resources}).encode()
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w") as z:
-                    for k, v in members.items():
-                        z.writestr(zipfile.ZipInfo(k), v, zipfile.ZIP_STORED if k.endswith(".gz") else zipfile.ZIP_DEFLATED)
-                with create_file(held) as f:
-                    f.write(out.getvalue())
+                first = '{"format": "json-pages-1.0", "id": "pages", "title": "All Pages"}'
+                members = {
+                    "archive/data.warc.gz": _blocks([p]), "indexes/index.cdxj": _blocks([x["cdxj"] for x in made], skip=1),
+                    "pages/pages.jsonl": chain([first.encode()], _blocks([x["jsonl"] for x in made])),
+                }
+                resources = []
+                with create_file(held) as f, zipfile.ZipFile(f, "w") as z:
+                    for k, blocks in members.items():
+                        told, size = hashlib.sha256(), 0
+                        with z.open(_entry(k), "w", force_zip64=True) as m:
+                            for data in blocks:
+                                m.write(data)
+                                told.update(data)
+                                size += len(data)
+                        resources.append({"path": k, "hash": "sha256:" + told.hexdigest(), "bytes": size})
+                    z.writestr(_entry("datapackage.json"), json.dumps({"profile": "data-package", "title": title, "resources": resources}))
                 move_file(held, name)
-                yield pd.DataFrame({"path": [name], "n": [len(rows)]})
+                yield pd.DataFrame({"path": [name], "n": [n]})
+
+    ranges = durable(files.select("path").mapInPandas(cut, "path string, low long, high long"))
+    n_ranges, n_files = ranges.count(), ranges.where("low = 0").count()
+    made = ranges.repartitionByRange(max(1, n_ranges), "path", "low").mapInPandas(index, "path string, low long, cdxj string, jsonl string, n long")
+    whole = durable(made).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("low", "cdxj", "jsonl"))).alias("parts"), F.sum("n").alias("n"))
+    out = durable(whole.repartitionByRange(max(1, n_files), "path").mapInPandas(pack, "path string, n long"))
+    if n_files:
+        remove_folder(parts)
+    return out
+
+
+def _stem(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+def _entry(name: str) -> zipfile.ZipInfo:
+    """A member; what is zipped already is stored as it is."""
+    entry = zipfile.ZipInfo(name)
+    entry.compress_type = zipfile.ZIP_STORED if name.endswith(".gz") else zipfile.ZIP_DEFLATED
+    return entry
+
 
-    return durable(files.select("path").mapInPandas(run, "path string, n long"))
+def _blocks(paths: list[str], skip: int = 0) -> Iterator[bytes]:
+    """Blocks of files, one after the other, without the first ``skip`` bytes."""
+    for p in paths:
+        with open_file(p) as f:
+            while data := f.read(1 << 20):
+                yield data[skip:]
+                skip = max(0, skip - len(data))
 
 
 def _ts14(ms: int) -> str:

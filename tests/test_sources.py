@@ -210,3 +210,28 @@ def test_parts_make_whole_files(spark, tmp_path):
     assert spark.read.format("warc").option("infoonly", "true").load(str(tmp_path / "w")).count() == 2
     got = spark.read.format("warc").load(str(tmp_path / "w")).select("url", F.decode("payload", "UTF-8").alias("b")).collect()
     assert sorted((x.url, x.b) for x in got) == sorted((f"http://s.test/{i}", f"b{i}") for i in range(100))
+
+
+def test_archives_are_written_in_ranges_and_read_in_blocks(spark, tmp_path, monkeypatch):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nbody "
+    blocks = [warc._block(k, f"http://s.test/{i}", 1000 * i, http) for i in range(300) for k in ("response", "request")]
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join(map(gzip.compress, blocks)))
+    monkeypatch.setattr(indexes, "SPLIT", 2000)
+    want = [f"http://s.test/{i}" for i in range(300)]
+    for name in (str(path),):
+        made = indexes.write_wacz(spark.createDataFrame([(name,)], "path string"), str(tmp_path / "w")).collect()
+        assert [x.n for x in made] == [300] and [x.name for x in (tmp_path / "w").iterdir()] == ["x.wacz"]
+    archive = str(tmp_path / "w/x.wacz")
+    data = indexes.manifest(archive)["data"]["resources"]
+    for r in data:
+        body = files.read_member(archive, r["path"])
+        assert r["bytes"] == len(body) and r["hash"] == "sha256:" + hashlib.sha256(body).hexdigest() == "sha256:" + files.member_digest(archive, r["path"])
+    assert files.read_member(archive, "archive/data.warc.gz") == path.read_bytes()
+    index = files.read_member(archive, "indexes/index.cdxj").decode()
+    assert [x.split(" ")[0] for x in index.split("\n")] == want
+    lists = list(files.text_lines(archive, "indexes/index.cdxj", most=7))
+    assert max(map(len, lists)) == 7 and [x for part in lists for x in part] == index.split("\n")
+    assert len(list(files.text_lines(archive, "indexes/index.cdxj", size=1))) == 300
+    got = indexes.read_wacz(spark, archive)
+    assert sorted(x.url for x in got["index"].collect()) == sorted(x.url for x in got["pages"].collect()) == sorted(x.url for x in got["captures"].collect()) == sorted(want)
