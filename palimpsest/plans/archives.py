@@ -97,9 +97,9 @@ def warc_info(spark, d):
     return rows.select("title", F.explode("pages").alias("p")).groupBy("title", F.col("p.url").alias("url")).agg(F.count("*").alias("n"))
 
 
-def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+def _packed(spark: SparkSession, d: str, whole: int | None = None) -> tuple[DataFrame, str]:
     folder = _folder(spark, "wacz")
-    written, _ = _written(spark, d)
+    written, _ = _written(spark, d, whole)
     return indexes.write_wacz(written, folder, "T"), folder
 
 
@@ -123,14 +123,12 @@ def wacz_pages(spark, d):
 @register("SELECT member, 'leaf' AS kind, CAST(3 AS BIGINT) AS n, CAST(CASE WHEN member = 'datapackage.json' THEN 0 ELSE 3 END AS BIGINT) AS n_whole FROM (VALUES ('archive/data.warc.gz'), ('indexes/index.cdxj'), ('pages/pages.jsonl'), ('datapackage.json')) t(member)")
 def wacz_manifests(spark, d):
     """Members of archives, and how many have the bytes that the manifest tells."""
-    archives, _ = _packed(spark, d)
+    archives, _ = _packed(spark, d, 3)
     listed = indexes.manifests(archives)
 
     @F.pandas_udf("string")
     def hashed(path: pd.Series, member: pd.Series) -> pd.Series:
-        import hashlib
-
-        return pd.Series(["sha256:" + hashlib.sha256(files.read_member(p, m)).hexdigest() for p, m in zip(path, member, strict=True)])
+        return pd.Series(["sha256:" + files.member_digest(p, m) for p, m in zip(path, member, strict=True)])
 
     told = listed.withColumn("whole", F.coalesce(hashed("path", "member") == F.col("hash"), F.lit(False)))
     return told.groupBy("member", "kind").agg(F.count("*").alias("n"), F.count_if("whole").alias("n_whole"))
