@@ -247,3 +247,20 @@ def test_players_become_frames():
 
     flash = '<object type="application/x-shockwave-flash" data="//www.youtube.com/v/abc?x=1"></object>'
     assert rewrite_html(flash, PRE, BASE) == f'<iframe type="application/x-shockwave-flash" src="{PRE.replace("mp_", "if_")}https://www.youtube.com/embed/abc"></iframe>'
+
+
+def test_links_of_a_page_parse_its_address_once(monkeypatch):
+    from palimpsest.functions import urls
+    from palimpsest.functions.rewrite import html
+
+    parsed = []
+    split = urls.urlsplit
+    monkeypatch.setattr(urls, "urlsplit", lambda *a: (parsed.append(a), split(*a))[1])
+    page = "".join(f'<a href="/p{i}/x.html"></a>' for i in range(100))
+    prefix = "https://replay.example/once/20200101000000mp_/"
+    assert html.rewrite_html(page, prefix, "HTTP://Once.Example:80/d/p") == "".join(f'<a href="/once/20200101000000mp_/http://once.example/p{i}/x.html"></a>' for i in range(100))
+    assert len(parsed) <= 3
+    # paths that something is resolved or encoded in go the whole way, with the same result
+    for base in ("https://u:p@h.test:8/a/b", "http://H.test", "data:x", "", "ftp://f/x"):
+        for path in ("/a", "/a/b.c", "/a/", "/", "//h/x", "/.a", "/a/../b", "/a/./b", "/a//b", "/a;b", "/a;", "/a b", "/a?b", "/a#b", "/a\n", "/é", "/a..b", "/a:b@c", "/%41"):
+            assert urls.whatwg_join(base, path) == urls._join(base, path)
