@@ -103,6 +103,27 @@ def test_lookup_plan_has_no_nested_loop(five):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("options", [lookup.Options(), lookup.Options(no_revisits=True)])
+def test_lookup_shuffles_rows_once(five, options):
+    ask = five.select(F.col("seq").alias("req_id"), "url", "ts_ms")
+    plan = lookup.lookup(ask, five, ["seq"], options)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("options", [lookup.Options(bucket_ms=900), lookup.Options(no_revisits=True, skip5xx=True, bucket_ms=3000)])
+def test_hot_urls_are_cut_into_buckets(spark, monkeypatch, options):
+    monkeypatch.setattr(lookup, "HOT_ROWS", 150)  # some URLs are hot
+    test_lookup_against_brute_force(spark, options)
+    r = random.Random(8)
+    caps = spark.createDataFrame([(i, r.choice(["a", "a", "a", "b", None]), r.randrange(900)) for i in range(400)], "event_id long, url string, ts_ms long").dropDuplicates(["url", "ts_ms"]).localCheckpoint()
+    ask = spark.createDataFrame([(i, r.choice(["a", "a", "b", "c", None]), r.randrange(900)) for i in range(300)], "req_id long, url string, ts_ms long")
+    found = lambda: sorted((x.req_id, x.hit and x.hit.event_id) for x in lookup.nearest(ask, caps, ["event_id"], bucket_ms=70).collect())
+    hot = found()
+    assert all(e is None for i, e in hot if ask.collect()[i].url is None) and len(hot) == 300
+    monkeypatch.setattr(lookup, "HOT_ROWS", 10**9)
+    assert found() == hot
+
+
 def test_priority_dedup_and_upsert(spark):
     kind = "url string, ts_ms long, seq long, mime string, status int"
     a = spark.createDataFrame([("u", 1, 1, "warc/revisit", 200), ("u", 1, 2, "text/html", 404), ("u", 2, 3, "text/html", None), ("v", None, 9, "text/html", 200)], kind)
