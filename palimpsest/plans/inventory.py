@@ -37,6 +37,11 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has: a file of few row groups is read by few, too few for slow functions."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _udf(kind: str, f: Callable):  # noqa: ANN202
     """An Arrow UDF of a scalar function over several columns."""
 
@@ -557,7 +562,7 @@ def page_attributes(spark, d):
     from palimpsest.functions.rewrite.html import page_rewriter
 
     base = F.concat(F.lit("https://u"), "user_id", F.lit(".example/d/p.html"))
-    return table(spark, d, "events").select("event_id", page_rewriter(PREFIX)(F.expr(_PAGE), base).alias("html"))
+    return _spread(table(spark, d, "events").select("event_id", "user_id"), "event_id").select("event_id", page_rewriter(PREFIX)(F.expr(_PAGE), base).alias("html"))
 
 
 @register("""SELECT event_id, '{"imports": {"m": "https://replay.example/coll/20200101000000mp_/https://a.example/m' || user_id || '.js"}}' AS json FROM events""")
@@ -678,7 +683,7 @@ def object_conversion(spark, d):
     from palimpsest.functions.rewrite.html import page_rewriter
 
     page = '<object data="/d.pdf" type="application/pdf">x</object><embed src="/e.bin"><embed src="/i.png" type="image/png"><object data="/o.x">y</object><object data="/v.svg" type="image/svg+xml"></object>'
-    return table(spark, d, "events").select("event_id", page_rewriter(PREFIX)(F.lit(page), F.concat(F.lit("https://u"), "user_id", F.lit(".example/p"))).alias("html"))
+    return _spread(table(spark, d, "events").select("event_id", "user_id"), "event_id").select("event_id", page_rewriter(PREFIX)(F.lit(page), F.concat(F.lit("https://u"), "user_id", F.lit(".example/p"))).alias("html"))
 
 
 @register("""SELECT event_id, '<p>loadOrderID&quot;&#x3A;' || CASE WHEN event_id % 2 = 0 THEN user_id ELSE 123 END || '</p>' AS html FROM events""")
@@ -686,7 +691,7 @@ def text_node_rule(spark, d):
     from palimpsest.functions.rewrite.html import page_rewriter
 
     base = F.concat(F.lit("https://a.example/?x"), F.when(F.expr("event_id % 2 = 0"), "&:loadOrderID=").otherwise("&other="), "user_id")
-    return table(spark, d, "events").select("event_id", page_rewriter(PREFIX)(F.lit("<p>loadOrderID&quot;&#x3A;123</p>"), base).alias("html"))
+    return _spread(table(spark, d, "events").select("event_id", "user_id"), "event_id").select("event_id", page_rewriter(PREFIX)(F.lit("<p>loadOrderID&quot;&#x3A;123</p>"), base).alias("html"))
 
 
 @register("""SELECT event_id, '<iframe src="https://u' || user_id || '.test/f"></iframe><a href="https://u' || user_id || '.example/l">x</a><script>this.location</script>' AS html FROM events""")
@@ -696,7 +701,7 @@ def proxied_pages(spark, d):
 
     fix = _udf("string", lambda text, base: ProxyPageRewriter(base, "example", "test").run(text))
     page = F.concat(F.lit('<iframe src="https://u'), "user_id", F.lit('.example/f"></iframe><a href="https://u'), "user_id", F.lit('.example/l">x</a><script>this.location</script>'))
-    return table(spark, d, "events").select("event_id", fix(page, F.lit("https://a.example/")).alias("html"))
+    return _spread(table(spark, d, "events").select("event_id", "user_id"), "event_id").select("event_id", fix(page, F.lit("https://a.example/")).alias("html"))
 
 
 # --- integrity, statistics, streams --------------------------------------------------------------

@@ -264,3 +264,12 @@ def test_links_of_a_page_parse_its_address_once(monkeypatch):
     for base in ("https://u:p@h.test:8/a/b", "http://H.test", "data:x", "", "ftp://f/x"):
         for path in ("/a", "/a/b.c", "/a/", "/", "//h/x", "/.a", "/a/../b", "/a/./b", "/a//b", "/a;b", "/a;", "/a b", "/a?b", "/a#b", "/a\n", "/é", "/a..b", "/a:b@c", "/%41"):
             assert urls.whatwg_join(base, path) == urls._join(base, path)
+
+
+def test_pages_are_dealt_to_the_tasks_of_a_shuffle(spark):
+    from palimpsest.plans import inventory
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.read.parquet("/root/testdata/sf0.001/events.parquet").rdd.getNumPartitions() < n
+    for name in ("object_conversion", "page_attributes", "text_node_rule", "proxied_pages"):
+        assert inventory.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == n
